@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typeweave.llm import byte_bpe
+from typeweave.llm import byte_bpe, packing
 
-MODULES = (byte_bpe,)
+MODULES = (byte_bpe, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
