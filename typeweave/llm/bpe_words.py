@@ -14,8 +14,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-#: Pieces kept for each Python worker; at most about 150 MB.
-CACHE_PIECES = 400_000
+#: Pieces kept for each Python worker; at most about 200 MB.
+CACHE_PIECES = 700_000
 #: Longer pieces are encoded anew each time.
 CACHE_CHARS = 48
 _CALL_WORDS = 8192
@@ -82,11 +82,9 @@ class PieceEncoder:
 
     def _learn(self, missing: set[str]) -> None:
         """Adds the missing pieces to the cache."""
-        if len(self.pieces) + len(missing) > CACHE_PIECES:
-            self.pieces.clear()
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
         matches, words = self.matches, self.words
+        if len(words) > CACHE_PIECES:
+            words.clear()
         cut = {piece: matches(piece) for piece in missing}
         new = list({w for own in cut.values() for w in own if w not in words})
         words.update(zip(new, self._encode_words(new), strict=True))
@@ -110,10 +108,16 @@ class PieceEncoder:
                 first, *rest = text.split(" ")
                 cut.append(([first] if first else []) + [" " + x for x in rest])
         pieces = self.pieces
-        missing = {p for own in cut if own for p in own if p not in pieces}
+        wanted = set()
+        for own in cut:
+            if own:
+                wanted.update(own)
+        missing = wanted - pieces.keys()
+        full = len(pieces) + len(missing) > CACHE_PIECES
+        if full and 2 * len(missing) > len(wanted):  # what is kept is of little use here
+            pieces.clear()
+            missing, full = wanted, len(wanted) > CACHE_PIECES
         if missing:
-            if len(pieces) + len(missing) > CACHE_PIECES:  # learn() starts afresh
-                missing = {p for own in cut if own for p in own}
             self._learn(missing)
         out = []
         for text, own in zip(texts, cut, strict=True):
@@ -123,8 +127,8 @@ class PieceEncoder:
             else:
                 out.append(b"".join([pieces[p] for p in own]))
         for p in missing:
-            if len(p) > CACHE_CHARS:
-                pieces.pop(p, None)
+            if full or len(p) > CACHE_CHARS:
+                del pieces[p]
         return out
 
 

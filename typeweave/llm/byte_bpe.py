@@ -31,23 +31,47 @@ def _encoder(path: str, pattern: str) -> bpe_words.PieceEncoder:
     return bpe_words.load_ranks(path, pattern)[0]
 
 
+class Table:
+    """Token bytes by id, laid end to end; ids that no rank names stand for nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self.lengths = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids, and the place in them where each id's bytes end."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.flat[at].tobytes(), ends
+
+
 @functools.lru_cache(maxsize=2)
-def _token_bytes(path: str) -> list[bytes]:
-    """Token bytes by id; ids that no rank names stand for nothing."""
-    ranks = bpe_words.read_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return table
+def _table(path: str) -> Table:
+    return Table(bpe_words.read_ranks(path))
+
 
+def _decoded(ids: pa.ListArray, table: Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The bytes of each row's ids, the flat ids, and where each row of them begins."""
+    offsets = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    raw, ends = table.decode(flat)
+    cuts = np.concatenate([[0], ends])[offsets].tolist()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], flat, offsets
 
-def char_offsets(text: str, ids: np.ndarray, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+
+def char_offsets(text: str, ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token, and the one after its last; a split character counts whole."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-    ends = np.cumsum([len(table[i]) for i in ids.tolist()], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return char_of[starts], char_of[ends - 1] + 1
+    ends = np.cumsum(table.lengths[ids])
+    return char_of[ends - table.lengths[ids]], char_of[ends - 1] + 1
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False) -> DataFrame:
@@ -67,7 +91,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
             columns = [part.column(0), list_array(flat, lengths, pa.int32())]
             if offsets:
-                table = _token_bytes(path)
+                table = _table(path)
                 spans = [char_offsets(t, np.frombuffer(x, "<u4"), table) if x else (np.empty(0), np.empty(0)) for t, x in zip(texts, got, strict=True)]
                 for side in (0, 1):
                     columns.append(list_array(np.concatenate([s[side] for s in spans]).astype(np.int32), lengths, pa.int32()))
@@ -88,35 +112,35 @@ def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str |
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        table = _token_bytes(path)
+        table = _table(path)
         for part in slices(batches):
-            raw = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.column(1).to_pylist()]
+            raw = _decoded(part.column(1), table)[0]
             text = [codecs.decode(x, "utf-8", "replace") for x in raw]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary()), pa.array(text, pa.string())], ["id", "ids", "bytes", "text"])
 
     return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, bytes binary, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256) of what decode() returns."""
-    kind = decoded.schema["id"].dataType.simpleString()
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256) of what encode() returns, decoded again."""
+    path = path or public_tokenizers.path(RANKS)
+    kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches):
+        table = _table(path)
         for part in slices(batches):
-            ids, raw = part.column(1), part.column(2)
-            offsets = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            columns = [part.column(0), pa.array([b - a for a, b in spans], pa.int64()), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in spans]), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in raw])]
+            raw, flat, offsets = _decoded(part.column(1), table)
+            flat, spans = flat.astype("<u4"), list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+            columns = [part.column(0), pa.array([b - a for a, b in spans], pa.int64()), pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in spans]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.select("id", "ids", "bytes").mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(decode(encode(docs))).withColumnRenamed("id", "doc_id")
+    return digests(encode(docs)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op8_byte_bpe": query}
