@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from typeweave.llm import bpe_words
@@ -142,7 +141,7 @@ def place(cut_pieces: DataFrame, columns: list[Column | str], size: int = SEQUEN
     rows = plan_rows(plan(histogram, size))
     if len(rows) > MAX_PLAN_ROWS:
         raise ValueError(f"a plan of {len(rows)} rows is too large to broadcast")
-    schema = "length int, rank_from bigint, rank_to bigint, times bigint, first_sequence bigint, first_offset bigint"
+    schema = "of_length int, rank_from bigint, rank_to bigint, times bigint, first_sequence bigint, first_offset bigint"
     slots = spark.createDataFrame(rows, schema)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
@@ -151,11 +150,10 @@ def place(cut_pieces: DataFrame, columns: list[Column | str], size: int = SEQUEN
         cut_pieces.select(*columns, "length", "part", "local_rank")
         .join(earlier, ["length", "part"])
         .withColumn("rank", F.col("earlier") + F.col("local_rank"))
-        .join(F.broadcast(slots), (slots["length"] == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+        .join(F.broadcast(slots), (F.col("of_length") == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
         .withColumn("sequence_id", F.col("first_sequence") + F.expr("(rank - rank_from) div times"))
-        .withColumn("offset", F.col("first_offset") + at % F.col("times") * slots["length"])
-        .drop(slots["length"])
-        .drop("part", "local_rank", "earlier", "rank", "rank_from", "rank_to", "times", "first_sequence", "first_offset")
+        .withColumn("offset", F.col("first_offset") + at % F.col("times") * F.col("length"))
+        .drop("of_length", "part", "local_rank", "earlier", "rank", "rank_from", "rank_to", "times", "first_sequence", "first_offset")
     )
 
 
@@ -164,13 +162,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return place(staged(pieces(df, id_col, text_col, size, end_id, path), "pieces"), ["doc_id", "piece", "start", "ids"], size)
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "piece", "start", F.col("length").cast(T.LongType()).alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each piece of every document: its place, and a digest of its ids."""
-    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    cut_pieces = staged(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces")
+    digest = F.crc32("ids").alias("ids_crc32")
+    return place(cut_pieces, ["doc_id", "piece", "start", digest]).withColumn("length", F.col("length").cast("bigint"))
 
 
 QUERIES = {"op2_best_fit_packing": query}

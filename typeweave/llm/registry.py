@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from typeweave.llm import byte_bpe, packing
+from typeweave.llm.common import ship
 
 MODULES = (byte_bpe, packing)
 
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in MODULES:
-        found.update(module.QUERIES)
+        found.update({name: _shipped(query) for name, query in module.QUERIES.items()})
     return found
 
-
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
     for module in MODULES:
