@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typeweave.llm import byte_bpe, gif_media, packing
+from typeweave.llm import byte_bpe, gif_media, licence_scan, packing
 from typeweave.llm.common import ship
 
-MODULES = (byte_bpe, gif_media, packing)
+MODULES = (byte_bpe, gif_media, licence_scan, packing)
 
 def _shipped(query):
     @functools.wraps(query)
