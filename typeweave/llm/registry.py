@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typeweave.llm import byte_bpe, gif_media, licence_scan, packing, warc
+from typeweave.llm import byte_bpe, chat_format, gif_media, learned_ann, licence_scan, packing, warc
 from typeweave.llm.common import ship
 
-MODULES = (byte_bpe, gif_media, licence_scan, packing, warc)
+MODULES = (byte_bpe, chat_format, gif_media, learned_ann, licence_scan, packing, warc)
 
 def _shipped(query):
     @functools.wraps(query)
