@@ -9,17 +9,21 @@ takes it as its first character, and looks only ahead.
 from __future__ import annotations
 
 import base64
+import gc
+import os
+from struct import pack
 
 import numpy as np
 import regex
+import tiktoken
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: Pieces kept for each Python worker; at most about 200 MB.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 #: Longer pieces are encoded anew each time.
 CACHE_CHARS = 48
-_CALL_WORDS = 8192
-_LOOSE = regex.compile(r"\s ")
+LONG_WORD = 2000
+_LOOSE = regex.compile(r"[\s\0] |\0")
 
 
 def byte_chars() -> list[str]:
@@ -54,89 +58,138 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]) -> Tokenizer:
     return made
 
 
+#: Tasks share the cores already.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
+    A piece is kept under its characters without the blank it begins with; the piece that
+    begins a text has no blank and is kept under a NUL and its characters.
     specials: strings that the tokenizer takes as one token wherever they stand; a text that
     holds one goes to the library whole.
     """
 
     def __init__(self, tokenizer: Tokenizer, pattern: str, specials: tuple[str, ...] = ()):
         self.tokenizer, self.specials = tokenizer, specials
+        self.tokenize, self.shown = tokenizer.model.tokenize, dict(enumerate(byte_chars()))
         self.matches = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\0": b""}
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), _CALL_WORDS):
-            part = words[at : at + _CALL_WORDS]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(part))) * 4
-            last = 0
-            for end in ends.tolist():
-                out.append(ids[last:end])
-                last = end
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        """Adds the missing pieces to the cache."""
-        matches, words = self.matches, self.words
-        if len(words) > CACHE_PIECES:
-            words.clear()
-        cut = {piece: matches(piece) for piece in missing}
-        new = list({w for own in cut.values() for w in own if w not in words})
-        words.update(zip(new, self._encode_words(new), strict=True))
-        for piece, own in cut.items():
-            self.pieces[piece] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del words[w]
+        """The ids of words that are one match of the pattern each, by the tokenizer's model."""
+        tokenize, shown = self.tokenize, self.shown
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        try:
+            out = []
+            for word in words:
+                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(shown))]
+                out.append(pack("<%dI" % len(ids), *ids))
+            return out
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't kept; keeps those there is room for."""
+        whole, several = [], {}
+        for piece in missing:
+            if piece.isalpha():
+                whole.append(piece)
+            else:
+                several[piece] = self.matches(piece[1:] if piece[:1] == "\0" else " " + piece)
+        words = [" " + piece for piece in whole]
+        parts = {w for own in several.values() for w in own}
+        parts.difference_update(words)
+        words += parts
+        ids = dict(zip(words, self._encode_words(words), strict=True))
+        learned = {piece: ids[" " + piece] for piece in whole}
+        for piece, own in several.items():
+            learned[piece] = b"".join([ids[w] for w in own])
+        return learned
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
-        cut: list[list[str] | None] = []
-        for text in texts:
+        pieces, out, later, missing = self.pieces, [], [], set()
+        get = pieces.get
+        for row, text in enumerate(texts):
             if not text:
-                cut.append([])
+                out.append(b"")
             elif any(s in text for s in self.specials):
-                cut.append(None)
+                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             elif _LOOSE.search(text):
-                cut.append(self.matches(text))
+                words = self.matches(text)
+                out.append(b"".join(self._encode_words(words)))
             else:
-                first, *rest = text.split(" ")
-                cut.append(([first] if first else []) + [" " + x for x in rest])
-        pieces = self.pieces
-        wanted = set()
-        for own in cut:
-            if own:
-                wanted.update(own)
-        missing = wanted - pieces.keys()
-        full = len(pieces) + len(missing) > CACHE_PIECES
-        if full and 2 * len(missing) > len(wanted):  # what is kept is of little use here
-            pieces.clear()
-            missing, full = wanted, len(wanted) > CACHE_PIECES
+                own = text.split(" ")
+                own[0] = "\0" + own[0]
+                got = list(map(get, own))
+                if None in got:
+                    missing.update([p for p, ids in zip(own, got, strict=True) if ids is None])
+                    later.append((row, own, got))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(got))
         if missing:
-            self._learn(missing)
+            learned = self._learn(list(missing))
+            if len(pieces) + len(learned) > CACHE_PIECES and 4 * len(learned) > sum(len(own) for _, own, _ in later):
+                pieces.clear()  # what is kept is of little use here
+                pieces["\0"] = b""
+            if len(pieces) + len(learned) <= CACHE_PIECES:
+                pieces.update((p, ids) for p, ids in learned.items() if len(p) <= CACHE_CHARS)
+            for row, own, got in later:
+                out[row] = b"".join([learned[p] if ids is None else ids for p, ids in zip(own, got, strict=True)])
+        return out
+
+
+class RankEncoder:
+    """The ids that a tokenizers file of a byte-level BPE gives, by tiktoken's merges.
+
+    The vocabulary goes over as ranks, which gives equal ids where its ids follow the order of
+    its merges. The tokenizers library itself takes texts that hold its special tokens, which it
+    recognises, and those of very long words, on which tiktoken's time grows with the square.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, pattern: str, specials: tuple[str, ...] = ()):
+        byte_of = {c: b for b, c in enumerate(byte_chars())}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(map(byte_of.__getitem__, token)): number for token, number in vocabulary.items() if token not in specials}
+        self.tokenizer, self.specials = tokenizer, specials
+        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit; a null text has none."""
         out = []
-        for text, own in zip(texts, cut, strict=True):
-            if own is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.asarray(ids, "<u4").tobytes())
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            words = list(map(len, text.split()))
+            gaps = len(text) - sum(words)
+            if any(s in text for s in self.specials) or max(words, default=0) > LONG_WORD or gaps > 4 * len(words) + LONG_WORD:
+                ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
-                out.append(b"".join([pieces[p] for p in own]))
-        for p in missing:
-            if full or len(p) > CACHE_CHARS:
-                del pieces[p]
+                ids = self.core.encode_to_numpy(text, disallowed_special=())
+            out.append(ids.astype("<u4").tobytes())
         return out
 
 
+def _specials(tokenizer: Tokenizer) -> tuple[str, ...]:
+    return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+
 def load_json(path: str, pattern: str) -> PieceEncoder:
     """An encoder from a tokenizers file of a byte-level BPE without normaliser or prefix."""
     tokenizer = Tokenizer.from_file(path)
-    specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    return PieceEncoder(tokenizer, pattern, specials)
+    return PieceEncoder(tokenizer, pattern, _specials(tokenizer))
+
+
+def load_json_ranks(path: str, pattern: str) -> RankEncoder:
+    """The same ids as load_json gives, for long runs over much text."""
+    tokenizer = Tokenizer.from_file(path)
+    return RankEncoder(tokenizer, pattern, _specials(tokenizer))
 
 
 def load_ranks(path: str, pattern: str) -> tuple[PieceEncoder, dict[bytes, int]]:

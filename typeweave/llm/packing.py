@@ -38,8 +38,8 @@ PIECES = "doc_id {}, piece int, start bigint, length int, ids binary, part int,
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> bpe_words.PieceEncoder:
-    return bpe_words.load_json(path, public_tokenizers.PATTERN)
+def _encoder(path: str) -> bpe_words.RankEncoder:
+    return bpe_words.load_json_ranks(path, public_tokenizers.PATTERN)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
