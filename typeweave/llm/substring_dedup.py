@@ -35,7 +35,7 @@ MAX_CHUNK = 512
 GEAR_BYTES = 32
 #: Longer chunks come of texts that repeat a phrase without an end of a chunk in it. Where such
 #: chunks are cut says nothing, so they all count as repeated, under this digest.
-LONG_CHUNK = 256
+LONG_CHUNK = 160
 LONG_DIGEST = 0
 
 _GEAR = np.random.Generator(np.random.PCG64(611)).integers(0, 1 << 32, size=256, dtype=np.uint32)
