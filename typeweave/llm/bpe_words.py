@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gc
 import os
+from array import array
 from struct import pack
 
 import numpy as np
@@ -169,10 +170,10 @@ class RankEncoder:
             words = list(map(len, text.split()))
             gaps = len(text) - sum(words)
             if any(s in text for s in self.specials) or max(words, default=0) > LONG_WORD or gaps > 4 * len(words) + LONG_WORD:
-                ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
-                ids = self.core.encode_to_numpy(text, disallowed_special=())
-            out.append(ids.astype("<u4").tobytes())
+                ids = self.core.encode_ordinary(text)
+            out.append(np.asarray(array("I", ids)).astype("<u4", copy=False).tobytes())
         return out
 
 
