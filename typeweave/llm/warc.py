@@ -16,13 +16,13 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,43 +143,35 @@ def revisits(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes archives into the folder path; rows (archive, records, bytes) of what was written.
 
-    The folder must be one that all executors reach. Archives take pages by a hash of page_id,
-    so each is about as large as archive_bytes.
+    The folder must be one that all executors reach. Each task writes its pages by page_id into
+    archives of about archive_bytes, so that a task run again writes the same archives again.
     """
-    spark = pages.sparkSession
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
-    total = own.agg(F.sum(F.length("payload").cast("bigint") + F.lit(512))).collect()[0][0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    dealt = (
-        own.join(revisits(own), "page_id", "left")
-        .withColumn("archive", F.pmod(F.xxhash64("page_id", F.when(F.col("page_id").isNull(), F.col("url"))), F.lit(archives)).cast("int"))
-        .repartition(max(archives, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive")
-        .sortWithinPartitions("archive", "page_id", "url")
-        .select("archive", "page_id", "url", "payload", "refers_to")
-    )
+    dealt = own.join(revisits(own), "page_id", "left").select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url", "payload")
 
     def run(batches):
         system, folder = pyarrow.fs.FileSystem.from_uri(path)
-        number, records, written = None, [], []
+        task, written = TaskContext.get().partitionId(), []
 
-        def close() -> None:
-            if number is None:
-                return
+        def close(records: list[bytes]) -> None:
             system.create_dir(folder, recursive=True)
-            data, name = write_archive(records), f"{folder}/part-{number:08d}.warc.zst"
+            data, name = write_archive(records), f"part-{task:08d}-{len(written):05d}.warc.zst"
             part = f"{folder}/_{uuid.uuid4().hex}"  # readers pass over names with an underscore
             with system.open_output_stream(part) as out:
                 out.write(data)
-            system.move(part, name)
-            written.append((os.path.basename(name), len(records), len(data)))
+            system.move(part, f"{folder}/{name}")
+            written.append((name, len(records), len(data)))
 
+        records, size = [], 0
         for batch in slices(batches):
-            for archive, page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if archive != number:
-                    close()
-                    number, records = archive, []
+            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 records.append(write_record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
-        close()
+                size += len(records[-1])
+                if size >= archive_bytes:
+                    close(records)
+                    records, size = [], 0
+        if records:
+            close(records)
         yield pa.RecordBatch.from_pylist([{"archive": a, "records": n, "bytes": b} for a, n, b in written], pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     return dealt.mapInArrow(run, "archive string, records bigint, bytes bigint")
