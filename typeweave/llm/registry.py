@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typeweave.llm import byte_bpe, chat_format, gif_media, language_id, learned_ann, licence_scan, packing, substring_dedup, warc
+from typeweave.llm import byte_bpe, chat_format, gif_media, language_id, learned_ann, licence_scan, ngram_jaccard, packing, substring_dedup, warc
 from typeweave.llm.common import ship
 
-MODULES = (byte_bpe, chat_format, gif_media, language_id, learned_ann, licence_scan, packing, substring_dedup, warc)
+MODULES = (byte_bpe, chat_format, gif_media, language_id, learned_ann, licence_scan, ngram_jaccard, packing, substring_dedup, warc)
 
 def _shipped(query):
     @functools.wraps(query)
