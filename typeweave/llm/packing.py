@@ -162,11 +162,16 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return place(staged(pieces(df, id_col, text_col, size, end_id, path), "pieces"), ["doc_id", "piece", "start", "ids"], size)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed_digests(docs: DataFrame) -> DataFrame:
     """Each piece of every document: its place, and a digest of its ids."""
-    cut_pieces = staged(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces")
+    cut_pieces = staged(pieces(docs), "pieces")
     digest = F.crc32("ids").alias("ids_crc32")
     return place(cut_pieces, ["doc_id", "piece", "start", digest]).withColumn("length", F.col("length").cast("bigint"))
 
 
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of every document: its place, and a digest of its ids."""
+    return placed_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {"op2_best_fit_packing": query}
