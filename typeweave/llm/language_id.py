@@ -221,11 +221,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit(sorted(((r["lang"], np.asarray(r["buckets"], np.int32), np.asarray(r["values"], np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, lang_pred, score, *keep) for each row of df."""
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Rows (id, lang_pred, score[, row]) for each row of df; row is a struct of all its columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + (", " + kinds if keep else "")
+    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if keep else [])]
+    own = df.select(*columns)
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = f"id {kinds['id']}, lang_pred string, score double" + (f", row {kinds['row']}" if keep else "")
 
     def run(batches):
         model = shared.value
@@ -235,9 +237,9 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             got = [(UNKNOWN, 0.0)] * len(texts)
             for i, p in zip(known, model.predict([texts[i] for i in known]) if known else [], strict=True):
                 got[i] = p
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), *part.columns[2:]], ["id", "lang_pred", "score", *keep])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), *part.columns[2:]], ["id", "lang_pred", "score", *(["row"] if keep else [])])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in keep)).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
