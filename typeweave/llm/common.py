@@ -56,10 +56,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage."""
+    """df written as Parquet in the shared folder and read again: cuts the lineage.
+
+    The shuffle files behind df are no longer needed then; a collection on the driver lets
+    Spark's cleaner delete them.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    made = spark.read.schema(df.schema).parquet(path)
+    made._typeweave_path = path
+    return made
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what staged() wrote, once no other frame needs it."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._typeweave_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

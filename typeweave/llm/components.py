@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import staged
+from typeweave.llm.common import release, staged
 
 MAX_ROUNDS = 60
 
@@ -39,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), sign).collect()[0]
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, last = mark, now
         now = staged(_small_star(_large_star(now)), "stars")
+        release(last)
     else:
         raise RuntimeError(f"the components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("id")).distinct()

@@ -10,7 +10,7 @@ elsewhere, and every repeated passage of that length stays in its first place on
 
 Cases: null and empty texts have no chunks and stay as they are; white space and case don't count
 in a comparison; repeats within one text count as well; repeated ids are told apart by their
-texts' digests, and equal rows of one id are one document; rows with a null id are left alone;
+texts' hashes, and equal rows of one id are one document; rows with a null id are left alone;
 an empty table gives an empty result; other columns stay as they are.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, list_array, slices, staged, word_bounds
+from typeweave.llm.common import SpanHasher, list_array, normal_words, release, slices, staged, word_bounds
 
 #: A repeated passage has at least this many words.
 MIN_WORDS = 50
@@ -65,25 +65,21 @@ def chunk_ends(raw: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _normal(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text): a key orders documents by id, and tells repeated ids apart."""
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, of, text): of is a hash of the text, which tells repeated ids apart."""
     text = F.col(text_col).cast("string")
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"))
-    return df.where(F.col(id_col).isNotNull()).select(key.alias("key"), text.alias("text"))
+    return df.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), text.alias("text"))
 
 
-def chunks(keyed: DataFrame) -> DataFrame:
-    """Rows (key, digests array<bigint>, words array<int>): a text's chunks, and the words that end in each."""
+def chunks(texts: DataFrame) -> DataFrame:
+    """Rows (id, of, digests array<bigint>, words array<int>, row): a text's chunks, and the words
+    that end in each. row is unique once the result is staged."""
 
     def run(batches):
         for part in slices(batches):
             digests, words = [], []
-            for text in part.column(1).to_pylist():
-                data = _normal(text) if text else b""
+            for text in part.column(2).to_pylist():
+                data = normal_words(text)
                 if not data:
                     digests.append(np.empty(0, np.int64))
                     words.append(np.empty(0, np.int32))
@@ -96,30 +92,31 @@ def chunks(keyed: DataFrame) -> DataFrame:
                 blanks = np.concatenate([[0], np.cumsum(raw == 32)])
                 words.append((blanks[ends] - blanks[starts]).astype(np.int32))
             lengths = np.asarray(list(map(len, digests)))
-            yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(digests), lengths, pa.int64()), list_array(np.concatenate(words), lengths, pa.int32())], ["key", "digests", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(np.concatenate(digests), lengths, pa.int64()), list_array(np.concatenate(words), lengths, pa.int32())], ["id", "of", "digests", "words"])
 
-    kind = keyed.schema["key"].dataType.simpleString()
-    return keyed.where("text is not null").mapInArrow(run, f"key {kind}, digests array<bigint>, words array<int>")
+    kind = texts.schema["id"].dataType.simpleString()
+    made = texts.mapInArrow(run, f"id {kind}, of bigint, digests array<bigint>, words array<int>")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def repeated(items: DataFrame, item: str) -> DataFrame:
-    """The rows of items whose value of a column more than one row has, joined back without a window."""
+    """The rows of items whose value of a column more than one row has; no group comes together."""
     many = items.groupBy(item).agg(F.count("*").alias("n")).where("n > 1").select(item)
     return items.join(many, item)
 
 
 def candidate_runs(chunked: DataFrame) -> DataFrame:
-    """Rows (key, runs array<struct<first, last>>): runs of repeated chunks with RUN_WORDS words or more."""
-    each = chunked.select("key", F.posexplode("digests").alias("at", "digest"))
+    """Rows (row, id, of, runs array<struct<first, last>>): runs of repeated chunks with RUN_WORDS words or more."""
+    each = chunked.select("row", F.posexplode("digests").alias("at", "digest"))
     long = F.col("digest") == LONG_DIGEST
-    found = repeated(each.where(~long), "digest").select("key", "at").unionByName(each.where(long).select("key", "at"))
-    found = found.groupBy("key").agg(F.collect_set("at").alias("places"))
-    kind = chunked.schema["key"].dataType.simpleString()
+    found = repeated(each.where(~long), "digest").select("row", "at").unionByName(each.where(long).select("row", "at"))
+    found = found.groupBy("row").agg(F.collect_set("at").alias("places"))
+    names = ["row", "id", "of", "runs"]
 
     def run(batches):
         for part in slices(batches):
             rows = []
-            for row, (places, words) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            for row, (places, words) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
                 at = np.sort(np.asarray(places, np.int64))
                 breaks = np.flatnonzero(np.diff(at) > 1)
                 firsts, lasts = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
@@ -127,26 +124,28 @@ def candidate_runs(chunked: DataFrame) -> DataFrame:
                 good = sums[lasts + 1] - sums[firsts] >= RUN_WORDS
                 if good.any():
                     rows.append((row, [{"first": a, "last": b} for a, b in zip(firsts[good].tolist(), lasts[good].tolist(), strict=True)]))
-            keys = part.column(0).take(pa.array([r for r, _ in rows], pa.int32()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([x for _, x in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["key", "runs"])
+            keep = pa.array([r for r, _ in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(keep) for k in range(3)), pa.array([x for _, x in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names)
 
-    return found.join(chunked.select("key", "words"), "key").select("key", "places", "words").mapInArrow(run, f"key {kind}, runs array<struct<first:int,last:int>>")
+    kind = chunked.schema["id"].dataType.simpleString()
+    joined = found.join(chunked.select("row", "id", "of", "words"), "row").select("row", "id", "of", "places", "words")
+    return joined.mapInArrow(run, f"row bigint, id {kind}, of bigint, runs array<struct<first:int,last:int>>")
 
 
-def windows(keyed: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (key, at array<int>, hashes array<bigint>): the windows of min_words words in runs, by
-    the number of their first word.
+def windows(texts: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (row, id, of, at array<int>, hashes array<bigint>): the windows of min_words words in
+    runs, by the number of their first word.
 
     A run is taken with a chunk more at either end, and with the bytes before it on which the
     first chunk's beginning depends, for these hold the ends of the passage.
     """
-    kind = keyed.schema["key"].dataType.simpleString()
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches):
             all_at, all_hashes = [], []
-            for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                data = _normal(text)
+            for text, own in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                data = normal_words(text)
                 ends = chunk_ends(np.frombuffer(data, np.uint8))
                 starts, stops = word_bounds(data)
                 wanted = np.zeros(max(0, len(starts) - min_words + 1) + 1, np.int32)
@@ -162,43 +161,48 @@ def windows(keyed: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
                 all_at.append(at.astype(np.int32))
                 all_hashes.append(SpanHasher(data).spans(starts[at], stops[at + min_words - 1]).view(np.int64) if len(at) else np.empty(0, np.int64))
             lengths = np.asarray(list(map(len, all_at)))
-            yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(all_at), lengths, pa.int32()), list_array(np.concatenate(all_hashes), lengths, pa.int64())], ["key", "at", "hashes"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], list_array(np.concatenate(all_at), lengths, pa.int32()), list_array(np.concatenate(all_hashes), lengths, pa.int64())], ["row", "id", "of", "at", "hashes"])
 
-    return keyed.dropDuplicates(["key"]).join(runs, "key").select("key", "text", "runs").mapInArrow(run, f"key {kind}, at array<int>, hashes array<bigint>")
+    once = runs.groupBy("id", "of").agg(F.min(F.struct("row", "runs")).alias("r"))
+    joined = texts.join(once, ["id", "of"]).select(F.col("r.row").alias("row"), "id", "of", "text", F.col("r.runs").alias("runs"))
+    return joined.mapInArrow(run, f"row bigint, id {kind}, of bigint, at array<int>, hashes array<bigint>")
 
 
 def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (key, spans array<struct<first_word, words, first_id>>) of texts that repeat a passage.
+    """Rows (id, of, spans array<struct<first_word, words, first_id>>) of texts that repeat a passage.
 
-    A span begins at the word first_word (from 0) and has words words; first_id is the document
-    that holds the first place of the span's first window.
+    of is the xxhash64 of the text. A span begins at the word first_word (from 0) and has words
+    words; first_id is the document that holds the first place of the span's first window.
     """
-    keyed = _keyed(df, id_col, text_col)
-    chunked = staged(chunks(keyed).dropDuplicates(["key"]), "chunks")
-    runs = candidate_runs(chunked)
-    looked = staged(windows(keyed, runs, min_words), "windows")
-    each = looked.select("key", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("key", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
-    place = F.struct("key", "at")
+    texts = _texts(df, id_col, text_col)
+    chunked = staged(chunks(texts), "chunks")
+    runs = staged(candidate_runs(chunked), "runs")
+    looked = staged(windows(texts, runs, min_words), "windows")
+    release(chunked, runs)
+    each = looked.select("row", "id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("row", "id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
+    place = F.struct("id", "row", "at")
     first = each.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    later = each.join(first, "hash").where(F.col("first") < place).groupBy("key").agg(F.collect_list(F.struct("at", F.col("first.key.id").alias("id"))).alias("found"))
-    keys, ids = df.schema[id_col].dataType.simpleString(), later.schema["key"].dataType.simpleString()
+    later = each.join(first, "hash").where(F.col("first") < place).select("row", "at", F.col("first.id").alias("first_id"))
+    found = later.groupBy("row").agg(F.collect_list(F.struct("at", "first_id")).alias("found"))
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches):
             spans = []
-            for found in part.column(1).to_pylist():
+            for found in part.column(2).to_pylist():
                 found.sort(key=lambda x: x["at"])
                 own = []
                 for x in found:
                     if own and x["at"] <= own[-1]["first_word"] + own[-1]["words"]:
                         own[-1]["words"] = x["at"] + min_words - own[-1]["first_word"]
                     else:
-                        own.append({"first_word": x["at"], "words": min_words, "first_id": x["id"]})
+                        own.append({"first_word": x["at"], "words": min_words, "first_id": x["first_id"]})
                 spans.append(own)
-            kind = part.schema.field(1).type.value_type.field("id").type
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("first_id", kind)])))], ["key", "spans"])
+            of_id = part.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("first_id", of_id)])))], ["id", "of", "spans"])
 
-    return later.mapInArrow(run, f"key {ids}, spans array<struct<first_word:int,words:int,first_id:{keys}>>")
+    joined = found.join(looked.select("row", "id", "of").dropDuplicates(["row"]), "row").select("id", "of", "found")
+    return joined.mapInArrow(run, f"id {kind}, of bigint, spans array<struct<first_word:int,words:int,first_id:{kind}>>")
 
 
 def cut_text(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
@@ -221,9 +225,9 @@ def cut_text(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with repeated passages cut from its text column."""
-    spans = duplicate_spans(df, id_col, text_col, min_words).select(F.col("key.id").alias("__id"), F.col("key.of").alias("__of"), F.col("spans").alias("__spans"))
+    spans = duplicate_spans(df, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("of").alias("__of"), F.col("spans").alias("__spans"))
     text = F.col(text_col).cast("string")
-    joined = df.withColumn("__of", F.xxhash64(text)).join(spans.withColumnRenamed("__of", "__of2"), (F.col(id_col) == F.col("__id")) & (F.col("__of") == F.col("__of2")), "left")
+    joined = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__of")), "left")
     return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cut(text, F.col("__spans")))).select(*df.columns)
 
 
@@ -239,7 +243,7 @@ def cut(text: Column, spans: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each repeated passage that goes: doc_id, first_word, words, first_doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    spans = duplicate_spans(docs).select(F.col("key.id").alias("doc_id"), F.explode("spans").alias("s"))
+    spans = duplicate_spans(docs).select(F.col("id").alias("doc_id"), F.explode("spans").alias("s"))
     return spans.select("doc_id", "s.first_word", "s.words", F.col("s.first_id").alias("first_doc_id"))
 
 
