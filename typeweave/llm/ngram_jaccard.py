@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, mix64, normal_words, slices, staged, word_bounds
+from typeweave.llm.common import SpanHasher, mix64, normal_words, release, slices, staged, word_bounds
 from typeweave.llm.components import components
 
 WORDS = 5
@@ -205,7 +205,9 @@ def candidate_groups(reps: DataFrame, threshold: float) -> DataFrame:
     sigs = reps.select("row", "sig")
     with_sigs = pairs.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sig_b")), "b")
     tied = members.where((F.col("n") > PAIRED) & (F.col("row") != F.col("pivot"))).select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
-    return components(_prune(with_sigs, threshold).unionByName(tied))
+    out = components(_prune(with_sigs, threshold).unionByName(tied))
+    release(members)
+    return out
 
 
 def _unit_rows(rows: list[int], side: list[int], sigs: list[bytes], texts: list[str], n: int, threshold: float) -> list[tuple[int, int, int]]:
@@ -296,6 +298,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     first = made.select("row", "id").join(wanted, "row")  # one document's text stands for its class
     members = staged(texts.join(first, ["id", "digest"]).groupBy("row").agg(F.first("component").alias("component"), F.first("sig").alias("sig"), F.first("text").alias("text")), "members")
     found = staged(verified(members, n, threshold), "links")
+    release(members, reps)
     links = found.groupBy("row").agg(F.sum("links").alias("n_links"))
     tied = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     joined = classes.join(links.withColumnRenamed("row", "rep"), "rep", "left").join(tied.withColumnRenamed("id", "rep"), "rep", "left")
