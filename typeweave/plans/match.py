@@ -183,7 +183,7 @@ class Matcher:
         edges = edges.select(F.col("start_uid").alias(start), F.col("end_uid").alias(end), F.col("type_uid").alias(uid), F.col("t_kind").alias(kind), F.col("t_name").alias(name))
         if p.type and p.type[0] == "name" and p.type[1] not in rows.kinds:
             edges = edges.where(F.lit(False))  # an edge's type is an arrow, never a name
-        if p.term and p.term[0] == "const":
+        if p.term and p.term[0] == "const" and p.term[1] in self.constants:
             edges = edges.where((F.col(kind) == "base") & (F.col(name) == p.term[1]))
         near, far = self.fresh("near"), self.fresh("far")
         forward = edges.withColumns({near: F.col(start), far: F.col(end)})
