@@ -225,10 +225,12 @@ def cut_text(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with repeated passages cut from its text column."""
-    spans = duplicate_spans(df, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("of").alias("__of"), F.col("spans").alias("__spans"))
+    spans = duplicate_spans(df, id_col, text_col, min_words)
     text = F.col(text_col).cast("string")
-    joined = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__of")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cut(text, F.col("__spans")))).select(*df.columns)
+    own = df.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_of"), text.alias("text"), F.struct("*").alias("row"))
+    joined = own.join(spans, (F.col("own_id") == F.col("id")) & (F.col("own_of") == F.col("of")), "left")
+    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans")))
+    return joined.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))
 
 
 def cut(text: Column, spans: Column) -> Column:

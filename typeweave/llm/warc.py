@@ -134,10 +134,10 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, refers_to) of pages whose payload a smaller page_id has."""
-    slim = pages.where((F.length("payload") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", F.sha2("payload", 256).alias("digest"))
+    """Rows (page_id, digest, refers_to) of pages whose payload a smaller page_id has."""
+    slim = pages.where((F.length("payload") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return slim.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return slim.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -146,8 +146,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     The folder must be one that all executors reach. Each task writes its pages by page_id into
     archives of about archive_bytes, so that a task run again writes the same archives again.
     """
-    own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
-    dealt = own.join(revisits(own), "page_id", "left").select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url", "payload")
+    own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "utf-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    dealt = own.join(revisits(own), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to").sortWithinPartitions("page_id", "url", "payload")
 
     def run(batches):
         system, folder = pyarrow.fs.FileSystem.from_uri(path)
@@ -164,8 +164,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
         records, size = [], 0
         for batch in slices(batches):
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                records.append(write_record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
+            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records.append(write_record(page_id, url, payload, digest, refers_to))
                 size += len(records[-1])
                 if size >= archive_bytes:
                     close(records)
