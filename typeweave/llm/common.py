@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from typeweave.functions.shipping import ship
+
+__all__ = ["SpanHasher", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "shared_dir", "ship", "slices", "staged", "word_bounds"]
 
 #: Rows of an Arrow batch that are worked on at a time, so that long texts stay within memory.
 SLICE_ROWS = 256
+SLICE_BYTES = 4 << 20
 
 _M64 = (1 << 64) - 1
 
@@ -34,23 +38,6 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_typeweave_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="typeweave-"), "typeweave.zip")
-    with zipfile.ZipFile(path, "w") as made:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    file = os.path.join(folder, name)
-                    made.write(file, os.path.relpath(file, os.path.dirname(package)))
-    context.addPyFile(path)
-    context._typeweave_shipped = True
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/typeweave/{name}-{uuid.uuid4().hex}"
 
@@ -77,10 +64,29 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of so many rows and bytes at most; a larger row is a part of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        waiting = [(at, min(rows, batch.num_rows - at)) for at in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            at, n = waiting.pop()
+            part = batch.slice(at, n)
+            if n > 1 and part.nbytes > size:
+                waiting += [(at + n // 2, n - n // 2), (at, n // 2)]
+            else:
+                yield part
+
+
+def redealt(df: DataFrame, key: str) -> DataFrame:
+    """df, whose rows a join on key is to deal anew though a grouping has just dealt them so.
+
+    A join of a table with its own grouped keys would stand on the grouping's exchange, and Spark
+    splits large partitions only of joins whose sides are both dealt for the join itself. The
+    grouped side is small; the other one may have hot keys.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    same = F.col(key).bitwiseXOR(F.lit(0).cast(kind)) if kind in ("bigint", "int") else F.concat(F.col(key), F.lit("").cast(kind))
+    return df.withColumn(key, same)
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

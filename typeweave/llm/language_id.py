@@ -194,7 +194,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
 
 
 def labelled_sample(df: DataFrame) -> DataFrame:
-    """Rows (lang, buckets, values): at most about FIT_ROWS_EACH of each language of df(id, text, lang).
+    """Rows (lang, buckets binary of int32, values binary of float32): at most about FIT_ROWS_EACH of each language of df(id, text, lang).
 
     A language's rows are thinned by a threshold on the hash of their id, so no task gets all
     rows of a frequent language.
@@ -203,22 +203,22 @@ def labelled_sample(df: DataFrame) -> DataFrame:
     usable = df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return spark.createDataFrame([], "lang string, buckets array<int>, values array<float>")
+        return spark.createDataFrame([], "lang string, buckets binary, values binary")
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, FIT_ROWS_EACH / n))))
     draw = F.pmod(F.xxhash64(F.lit("language id"), F.col("id")), F.lit(1 << 20)) / (1 << 20)
 
     def run(batches):
         for part in slices(batches):
             got = [mean_features(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))], ["lang", "buckets", "values"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["lang", "buckets", "values"])
 
-    return usable.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, buckets array<int>, values array<float>")
+    return usable.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, buckets binary, values binary")
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = labelled_sample(own).collect()
-    return fit(sorted(((r["lang"], np.asarray(r["buckets"], np.int32), np.asarray(r["values"], np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
+    return fit(sorted(((r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

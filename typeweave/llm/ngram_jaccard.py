@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, mix64, normal_words, release, slices, staged, word_bounds
+from typeweave.llm.common import SpanHasher, mix64, normal_words, redealt, release, slices, staged, word_bounds
 from typeweave.llm.components import components
 
 WORDS = 5
@@ -199,7 +199,7 @@ def candidate_groups(reps: DataFrame, threshold: float) -> DataFrame:
     """Rows (id, component): groups of classes (row, bands, sig) outside which no two are linked."""
     each = reps.select("row", F.explode("bands").alias("key"))
     buckets = each.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("pivot")).where("n > 1")
-    members = staged(each.join(buckets, "key"), "buckets")
+    members = staged(each.join(redealt(buckets, "key"), "key"), "buckets")
     listed = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("l"))
     pairs = listed.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b").distinct()
     sigs = reps.select("row", "sig")
@@ -305,7 +305,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     joined = joined.withColumn("component", F.coalesce("component", "rep"))
     names = joined.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_class = joined.join(names, "component").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = known.select("id", "digest").join(by_class, "digest").select("id", "digest", "class_id", "n_links", "n_copies")
+    out = known.select("id", "digest").join(redealt(by_class, "digest"), "digest").select("id", "digest", "class_id", "n_links", "n_copies")
     alone = made.where("digest is null").select("id", "digest", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     nameless = df.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("digest"), F.col(id_col).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     return out.unionByName(alone).unionByName(nameless)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, list_array, normal_words, release, slices, staged, word_bounds
+from typeweave.llm.common import SpanHasher, list_array, normal_words, redealt, release, slices, staged, word_bounds
 
 #: A repeated passage has at least this many words.
 MIN_WORDS = 50
@@ -102,7 +102,7 @@ def chunks(texts: DataFrame) -> DataFrame:
 def repeated(items: DataFrame, item: str) -> DataFrame:
     """The rows of items whose value of a column more than one row has; no group comes together."""
     many = items.groupBy(item).agg(F.count("*").alias("n")).where("n > 1").select(item)
-    return items.join(many, item)
+    return items.join(redealt(many, item), item)
 
 
 def candidate_runs(chunked: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = looked.select("row", "id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("row", "id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
     place = F.struct("id", "row", "at")
     first = each.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    later = each.join(first, "hash").where(F.col("first") < place).select("row", "at", F.col("first.id").alias("first_id"))
+    later = each.join(redealt(first, "hash"), "hash").where(F.col("first") < place).select("row", "at", F.col("first.id").alias("first_id"))
     found = later.groupBy("row").agg(F.collect_list(F.struct("at", "first_id")).alias("found"))
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import new_path, slices
+from typeweave.llm.common import new_path, redealt, slices
 
 #: Payloads below this are never deduplicated.
 MIN_REVISIT_BYTES = 100
@@ -137,7 +137,7 @@ def revisits(pages: DataFrame) -> DataFrame:
     """Rows (page_id, digest, refers_to) of pages whose payload a smaller page_id has."""
     slim = pages.where((F.length("payload") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return slim.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    return slim.join(redealt(first, "digest"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
