@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     made = spark.read.schema(df.schema).parquet(path)
     made._typeweave_path = path

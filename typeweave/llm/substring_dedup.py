@@ -177,12 +177,13 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = _texts(df, id_col, text_col)
     chunked = staged(chunks(texts), "chunks")
     runs = staged(candidate_runs(chunked), "runs")
+    release(chunked)
     looked = staged(windows(texts, runs, min_words), "windows")
-    release(chunked, runs)
+    release(runs)
     each = looked.select("row", "id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("row", "id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
-    place = F.struct("id", "row", "at")
-    first = each.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    later = each.join(redealt(first, "hash"), "hash").where(F.col("first") < place).select("row", "at", F.col("first.id").alias("first_id"))
+    first = each.groupBy("hash").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first.*")
+    first = redealt(first, "hash").toDF("hash", "first_id", "first_row", "first_at")
+    later = each.select("row", "at", "hash").join(first, "hash").where("row <> first_row OR at <> first_at").select("row", "at", "first_id")
     found = later.groupBy("row").agg(F.collect_list(F.struct("at", "first_id")).alias("found"))
     kind = df.schema[id_col].dataType.simpleString()
 
