@@ -14,7 +14,7 @@ from typeweave.functions.values import plain_props, props_of, show_props
 from typeweave.operators.frames import NODES, Frames, LocalStore, local_frame
 from typeweave.operators.tables import TableStore, literal_props
 from typeweave.plans.inference import Constant, bound, infer
-from typeweave.plans.match import Matcher, Rows
+from typeweave.plans.match import Matcher, Rows, column
 from typeweave.plans.patterns import PathPattern, parse_path
 
 #: Rows of bindings that a graph on the driver takes; with more, it moves into tables.
@@ -128,7 +128,7 @@ class Graph:
         return Query(self)
 
     def nodes(self) -> list[Node]:
-        rows = Rows(self.frames().nodes.select(F.col("uid").alias("v_n")), {"n": "node"})
+        rows = Rows(self.frames().nodes.select(F.col("uid").alias(column("n"))), {"n": "node"})
         return [row["n"] for row in self.elements(rows, ("n",))]
 
     def edges(self) -> list[Edge]:
@@ -178,24 +178,24 @@ class Graph:
         types = frames.types.select("uid", "repr")
         terms = frames.terms.select(F.col("type_uid").alias("uid"), "repr")
         for name in dict.fromkeys(names):
-            kind, v = rows.kinds[name], F.col("v_" + name)
+            kind, v = rows.kinds[name], F.col(column(name))
             if kind in ("type", "term"):
-                own = (types if kind == "type" else terms).select(F.col("uid").alias("_u"), F.struct("uid", "repr").alias("r_" + name))
+                own = (types if kind == "type" else terms).select(F.col("uid").alias("_u"), F.struct("uid", "repr").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             elif kind == "node":
                 own = frames.nodes.join(types, "uid", "left").withColumnRenamed("repr", "type").join(terms, "uid", "left").withColumnRenamed("repr", "term")
-                own = own.select(F.col("uid").alias("_u"), F.struct("uid", "type", "term", "props").alias("r_" + name))
+                own = own.select(F.col("uid").alias("_u"), F.struct("uid", "type", "term", "props").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             else:
                 t, x = (d.withColumnRenamed("uid", "type_uid") for d in (types, terms))
                 own = frames.edges.join(t, "type_uid", "left").withColumnRenamed("repr", "type").join(x, "type_uid", "left").withColumnRenamed("repr", "term")
-                own = own.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), F.struct("start_uid", "end_uid", "type_uid", "type", "term", "props").alias("r_" + name))
+                own = own.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), F.struct("start_uid", "end_uid", "type_uid", "type", "term", "props").alias(column(name, "r_")))
                 df = df.join(own, (v["start"] == F.col("_s")) & (v["end"] == F.col("_e")), "left").drop("_s", "_e")
-        return df.select(*(F.col("r_" + name).alias(name) for name in names)) if names else df.select(F.lit(0).alias("_"))
+        return df.select(*(F.col(column(name, "r_")).alias(name) for name in names)) if names else df.select(F.lit(0).alias("_"))
 
     def elements(self, rows: Rows, names: tuple[str, ...]) -> Iterator[dict[str, Element]]:
         if isinstance(self.store, LocalStore):
-            columns = [F.col("v_" + n) for n in names] or [F.lit(0)]
+            columns = [F.col(column(n)) for n in names] or [F.lit(0)]
             for row in rows.df.select(*columns).collect():
                 yield {n: self._local(rows.kinds[n], value) for n, value in zip(names, row, strict=False)}
             return
@@ -278,7 +278,7 @@ class Query:
         names = variables or tuple(rows.kinds)
         if (rows := self.checked(rows, names)) is None:
             raise MissingError("there is no such variable")
-        return rows.df.select(*(F.col("v_" + n).alias(n) for n in names))
+        return rows.df.select(*(F.col(column(n)).alias(n) for n in names))
 
     def to_table(self, *variables: str) -> DataFrame:
         """The elements, lazily: a struct column for each variable."""
@@ -309,7 +309,7 @@ class Query:
         return Matcher(self.graph.frames(), self.graph.constants, self.graph.strict_edge_props).match(path, rows)
 
     def _where(self, rows: Rows, condition: Any) -> Rows:
-        named = rows.df.withColumns({n: F.col("v_" + n) for n in rows.kinds})
+        named = rows.df.withColumns({n: F.col(column(n)) for n in rows.kinds})
         return Rows(named.where(F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))).drop(*rows.kinds), rows.kinds)
 
     def _create(self, rows: Rows, path: PathPattern) -> Rows:
@@ -327,7 +327,7 @@ class Query:
         if rows.df is None:
             return [{}]
         names = list(rows.kinds)
-        got = rows.df.select(*(F.col("v_" + n) for n in names), F.lit(0)).limit(LOCAL_ROWS + 1).collect()
+        got = rows.df.select(*(F.col(column(n)) for n in names), F.lit(0)).limit(LOCAL_ROWS + 1).collect()
         return None if len(got) > LOCAL_ROWS else [dict(zip(names, row[: len(names)], strict=True)) for row in got]
 
     def _create_local(self, rows: Rows, path: PathPattern, local: list[dict[str, Any]]) -> Rows:
@@ -361,7 +361,7 @@ class Query:
     def _from_bindings(self, found: list[dict], kinds: dict[str, str]) -> Rows:
         parts, columns = [], []
         for name, kind in kinds.items():
-            parts += [f"v_{name} string"] if kind != "edge" else [f"s_{name} string", f"e_{name} string"]
+            parts += [column(name, p) + " string" for p in (("s_", "e_") if kind == "edge" else ("v_",))]
         for bindings in found:
             row: list[str] = []
             for name, kind in kinds.items():
@@ -371,7 +371,8 @@ class Query:
         df = local_frame(self.graph.spark, columns, ", ".join([*parts, "_seed string"]))
         for name, kind in kinds.items():
             if kind == "edge":
-                df = df.withColumn("v_" + name, F.struct(F.col("s_" + name).alias("start"), F.col("e_" + name).alias("end"))).drop("s_" + name, "e_" + name)
+                start, end = column(name, "s_"), column(name, "e_")
+                df = df.withColumn(column(name), F.struct(F.col(start).alias("start"), F.col(end).alias("end"))).drop(start, end)
         return Rows(df, dict(kinds))
 
     def _keys(self, rows: Rows, name: str, clause: str) -> DataFrame | None:
@@ -379,7 +380,7 @@ class Query:
         if name not in rows.kinds:
             self.checked(rows, ()).fail(MissingError(f"there is no variable {name}"))
             return None
-        kind, v = rows.kinds[name], F.col("v_" + name)
+        kind, v = rows.kinds[name], F.col(column(name))
         if kind not in ("node", "edge"):
             rows.fail(PatternError(f"{clause} takes nodes and edges; {name} is a {kind}"))
             return None
@@ -408,5 +409,5 @@ class Query:
                     store.remove_node(key["uid"]) if kind == "node" else store.remove_edge(tuple(key))
             else:
                 store.remove(kind, keys)
-            rows = Rows(rows.df.drop("v_" + name), {n: k for n, k in rows.kinds.items() if n != name})
+            rows = Rows(rows.df.drop(column(name)), {n: k for n, k in rows.kinds.items() if n != name})
         return rows

@@ -109,7 +109,10 @@ def show_props(values: dict[str, Any]) -> str:
 
 
 def cell_equals(c: Column, value: Any) -> Column:
-    """Whether a cell equals a Python value: of the same kind, floats within EPSILON, null never."""
+    """Whether a cell equals a Python value: of the same kind, floats within EPSILON, null never.
+
+    Null stands for false, as it does in a filter; so the comparison can reach a scan.
+    """
     own = cell(value)
     tag = own["t"]
     if tag == "n":
@@ -121,14 +124,14 @@ def cell_equals(c: Column, value: Any) -> Column:
     else:
         field = "i" if tag in "io" else tag
         same = c[field] == F.lit(own[field])
-    return F.coalesce((c["t"] == F.lit(tag)) & same, F.lit(False))
+    return (c["t"] == F.lit(tag)) & same
 
 
 def matches(props: Column, wanted: dict[str, Any], missing: bool) -> Column:
     """Whether a property map has all wanted values; missing is what an absent name counts as."""
     out = F.lit(True)
     for name, value in wanted.items():
-        c = F.element_at(props, F.lit(name))
+        c = props[name]  # over a map made of columns, this folds to the column
         same = cell_equals(c, value)
         out = out & (F.when(c.isNull(), F.lit(missing)).otherwise(same) if missing else same)
     return out

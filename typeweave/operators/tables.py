@@ -13,6 +13,7 @@ from dataclasses import replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from typeweave.functions.errors import MissingError
 from typeweave.functions.shipping import ship
@@ -20,7 +21,7 @@ from typeweave.functions.types import apply, read_term, read_type, subterms, sub
 from typeweave.functions.values import CELL, PROPS, props_of
 from typeweave.operators.frames import EDGES, NODES, TERMS, TYPES, Frames, term_row, type_row
 from typeweave.plans.inference import Constant, infer, infer_term
-from typeweave.plans.match import Rows
+from typeweave.plans.match import Rows, column
 from typeweave.plans.patterns import PathPattern
 
 MAX_ROUNDS = 200
@@ -86,26 +87,27 @@ class TableStore:
         types, terms = self._now.types, self._now.terms
         df = rows.df if rows.df is not None else self.spark.range(1).select(F.lit(0).alias("_seed"))
         for name, kind in rows.kinds.items():
-            uid = F.col("v_" + name)
+            uid = F.col(column(name))
             if kind == "edge":
                 ends = self._now.edges.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), F.col("type_uid").alias("_k"))
                 df = df.join(ends, (uid["start"] == F.col("_s")) & (uid["end"] == F.col("_e"))).drop("_s", "_e")
                 uid = F.col("_k")
             if kind in ("type", "node"):
-                df = df.join(types.select(F.col("uid").alias("_u"), F.col("repr").alias("t_" + name)), uid == F.col("_u"), "left").drop("_u")
+                df = df.join(types.select(F.col("uid").alias("_u"), F.col("repr").alias(column(name, "t_"))), uid == F.col("_u"), "left").drop("_u")
             if kind in ("term", "node", "edge"):
-                df = df.join(terms.select(F.col("type_uid").alias("_u"), F.col("full").alias("x_" + name)), uid == F.col("_u"), "left").drop("_u", "_k")
+                df = df.join(terms.select(F.col("type_uid").alias("_u"), F.col("full").alias(column(name, "x_"))), uid == F.col("_u"), "left").drop("_u", "_k")
         return df
 
     def create(self, path: PathPattern, rows: Rows) -> Rows:
         """Adds what a path gives for each row; the rows with the new bindings."""
         constants = self.constants
-        inputs = [(prefix + name, name, kind) for name, kind in rows.kinds.items() for prefix, kinds in (("t_", ("type", "node")), ("x_", ("term", "node", "edge"))) if kind in kinds]
+        inputs = [(column(name, prefix), name, kind) for name, kind in rows.kinds.items() for prefix, kinds in (("t_", ("type", "node")), ("x_", ("term", "node", "edge"))) if kind in kinds]
         df = self.bindings(path, rows)
         kept = [c for c in df.columns if c.startswith("v_")]
         named = {p.var: kind for kind, ps in (("node", path.nodes), ("edge", path.edges)) for p in ps if p.var and p.var not in rows.kinds}
         sent = df.select(F.struct(*kept, F.lit(0).alias("_")).alias("kept"), F.struct(*(F.col(c) for c, _, _ in inputs), F.lit(0).alias("_")).alias("known"))
-        schema = f"kept {sent.schema['kept'].dataType.simpleString()}, nodes array<struct<k:int,uid:string,full:string>>, edges array<struct<k:int,s:string,e:string,full:string>>, types array<{_STRUCT_DDL(TYPE_COLUMNS)}>, terms array<{_STRUCT_DDL(TERM_COLUMNS)}>, made map<string,string>"
+        made = "nodes array<struct<k:int,uid:string,full:string>>, edges array<struct<k:int,s:string,e:string,full:string>>, types array<" + _STRUCT_DDL(TYPE_COLUMNS) + ">, terms array<" + _STRUCT_DDL(TERM_COLUMNS) + ">, made map<string,string>"
+        schema = T.StructType([sent.schema["kept"], *self.spark.createDataFrame([], made).schema])
 
         def run(batches):
             kinds = [pa.list_(pa.struct([("k", pa.int32()), ("uid", pa.string()), ("full", pa.string())])), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.string()), ("e", pa.string()), ("full", pa.string())])), pa.list_(_STRUCT(TYPE_COLUMNS)), pa.list_(_STRUCT(TERM_COLUMNS)), pa.map_(pa.string(), pa.string())]
@@ -113,11 +115,11 @@ class TableStore:
                 out = ([], [], [], [], [])
                 for known in batch.column(1).to_pylist():
                     own = {}
-                    for column, name, kind in inputs:
-                        value = known[column]
+                    for at, name, kind in inputs:
+                        value = known[at]
                         if kind == "node":
                             t, term = own.get(name, ("node", (None, None)))[1]
-                            own[name] = ("node", (read_type(value), term) if column[0] == "t" else (t, read_term(value) if value else None))
+                            own[name] = ("node", (read_type(value), term) if at[0] == "t" else (t, read_term(value) if value else None))
                         else:
                             own[name] = (kind, read_type(value) if kind == "type" else read_term(value))
                     got = infer(path, own, constants)
@@ -153,8 +155,8 @@ class TableStore:
         new = []
         for name, kind in named.items():
             uid = F.col("made")[name]
-            new.append((uid if kind == "node" else F.struct(F.split(uid, ",")[0].alias("start"), F.split(uid, ",")[1].alias("end"))).alias("v_" + name))
-        new += [F.col("made")[name].alias("v_" + name) for name in [*captures, *variables]]
+            new.append((uid if kind == "node" else F.struct(F.split(uid, ",")[0].alias("start"), F.split(uid, ",")[1].alias("end"))).alias(column(name)))
+        new += [F.col("made")[name].alias(column(name)) for name in [*captures, *variables]]
         df = found.select(*(F.col("kept")[c].alias(c) for c in kept), *new, *([] if kept or new else [F.lit(0).alias("_seed")]))
         return Rows(df, rows.kinds | named | dict.fromkeys(captures, "type") | dict.fromkeys(variables, "term"))
 

@@ -24,6 +24,12 @@ from typeweave.plans.patterns import EdgePattern, NodePattern, PathPattern
 CURSOR = "_cur"
 
 
+def column(name: str, prefix: str = "v_") -> str:
+    """The column of a variable. Spark's names do not tell case apart, so places of capitals are added."""
+    capitals = "".join(f":{k}" for k, c in enumerate(name) if c != c.lower())
+    return f"{prefix}{name}{capitals}"
+
+
 @dataclass
 class Rows:
     """Rows of bindings; df is None for the one empty row that a query begins with."""
@@ -64,7 +70,7 @@ class Matcher:
         if schema[0] == "name":
             if rows.kinds[schema[1]] != "type":
                 rows.fail(PatternError(f"the variable {schema[1]} is a {rows.kinds[schema[1]]}, not a type"))
-            return replace(rows, df=rows.df.where(F.col(uid) == F.col(prefix + schema[1])))
+            return replace(rows, df=rows.df.where(F.col(uid) == F.col(column(schema[1], prefix))))
         if schema[0] == "arrow":
             key, left, right = self.fresh("t"), self.fresh("l"), self.fresh("r")
             types = self.frames.types.where("kind = 'arr'").select(F.col("uid").alias(key), F.col("left_uid").alias(left), F.col("right_uid").alias(right))
@@ -78,7 +84,7 @@ class Matcher:
         if name in rows.kinds:
             rows.fail(MissingError(f"the variable {name} is there already"))
             return rows
-        return Rows(rows.df.withColumn(prefix + name, F.col(uid)), rows.kinds | {name: kind})
+        return Rows(rows.df.withColumn(column(name, prefix), F.col(uid)), rows.kinds | {name: kind})
 
     @staticmethod
     def drop(rows: Rows, *columns: str) -> Rows:
@@ -99,7 +105,7 @@ class Matcher:
                 return self.bind(rows, schema[1], "term", uid)
             if rows.kinds[schema[1]] != "term":
                 rows.fail(PatternError(f"the variable {schema[1]} is a {rows.kinds[schema[1]]}, not a term"))
-            return replace(rows, df=rows.df.where(F.col(uid) == F.col("v_" + schema[1])))
+            return replace(rows, df=rows.df.where(F.col(uid) == F.col(column(schema[1]))))
         if schema[0] == "app":
             key, function, argument = self.fresh("k"), self.fresh("f"), self.fresh("x")
             terms = self.frames.terms.where("kind = 'app'").select(F.col("type_uid").alias(key), F.col("function_uid").alias(function), F.col("argument_uid").alias(argument))
@@ -126,8 +132,8 @@ class Matcher:
         inner = self.type_filter(Rows(rows.df, {}), uid, constant.schema, prefix)
         rows = replace(rows, df=inner.df)
         for name, arg in zip(constant.parameters, args, strict=False):
-            rows = self.type_filter(rows, prefix + name, arg)
-        return self.drop(rows, *(prefix + name for name in inner.kinds))
+            rows = self.type_filter(rows, column(name, prefix), arg)
+        return self.drop(rows, *(column(name, prefix) for name in inner.kinds))
 
     # elements
 
@@ -139,7 +145,7 @@ class Matcher:
         """Rows with the cursor on a node of the graph, or on a bound one."""
         if p.var in rows.kinds:
             self.check_kind(rows, p.var, "node")
-            return self.node_filters(replace(rows, df=rows.df.withColumn(CURSOR, F.col("v_" + p.var))), p)
+            return self.node_filters(replace(rows, df=rows.df.withColumn(CURSOR, F.col(column(p.var)))), p)
         nodes = self.frames.nodes
         if p.props:
             nodes = nodes.where(matches(F.col("props"), p.props, missing=False))
@@ -147,7 +153,7 @@ class Matcher:
         if rows.df is None:
             rows = replace(rows, df=nodes)
         elif p.type and p.type[0] == "name" and rows.kinds.get(p.type[1]) == "type":
-            rows = replace(rows, df=rows.df.join(nodes, F.col("v_" + p.type[1]) == F.col(CURSOR)))
+            rows = replace(rows, df=rows.df.join(nodes, F.col(column(p.type[1])) == F.col(CURSOR)))
         else:
             if p.type and (t := self.ground(p.type, rows.kinds)) is not None:
                 nodes = nodes.where(F.col(CURSOR) == F.lit(type_uid(t)))
@@ -169,7 +175,7 @@ class Matcher:
     def next_node(self, rows: Rows, p: NodePattern) -> Rows:
         if p.var in rows.kinds:
             self.check_kind(rows, p.var, "node")
-            rows = replace(rows, df=rows.df.where(F.col("v_" + p.var) == F.col(CURSOR)))
+            rows = replace(rows, df=rows.df.where(F.col(column(p.var)) == F.col(CURSOR)))
             return self.node_filters(rows, p)
         rows = self.node_filters(rows, p)
         return self.bind(rows, p.var, "node", CURSOR) if p.var else rows
@@ -192,7 +198,7 @@ class Matcher:
         condition = F.col(CURSOR) == F.col(near)
         if p.var in rows.kinds:
             self.check_kind(rows, p.var, "edge")
-            v = F.col("v_" + p.var)
+            v = F.col(column(p.var))
             condition = condition & (v["start"] == F.col(start)) & (v["end"] == F.col(end))
         rows = replace(rows, df=rows.df.join(both[p.direction], condition).withColumn(CURSOR, F.col(far)).drop(near, far))
         if p.type:
@@ -200,7 +206,7 @@ class Matcher:
         if p.term:
             rows = self.term_filter(rows, uid, p.term, (kind, name))
         if p.var and p.var not in rows.kinds:
-            rows = Rows(rows.df.withColumn("v_" + p.var, F.struct(F.col(start).alias("start"), F.col(end).alias("end"))), rows.kinds | {p.var: "edge"})
+            rows = Rows(rows.df.withColumn(column(p.var), F.struct(F.col(start).alias("start"), F.col(end).alias("end"))), rows.kinds | {p.var: "edge"})
         return self.drop(rows, start, end, uid, kind, name)
 
     def edge_type(self, rows: Rows, schema: tuple, start: str, end: str, uid: str) -> Rows:

@@ -63,7 +63,7 @@ def props_column(df: DataFrame, columns: list[str], **literals: str) -> Column:
         parts += [F.lit(name), cell_column(F.lit(value), "s")]
     if not parts:
         return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<t:string,i:bigint,d:double,b:boolean,s:string,j:string>>")).cast(PROPS)
-    return F.create_map(*parts).cast(PROPS)
+    return F.create_map(*parts)
 
 
 def _name(kind: str, key: str) -> Column:
