@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from typeweave.functions.shipping import ship
 
-__all__ = ["SpanHasher", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "shared_dir", "ship", "slices", "staged", "word_bounds"]
+__all__ = ["SpanHasher", "free_shuffles", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "shared_dir", "ship", "slices", "staged", "word_bounds"]
 
 #: Rows of an Arrow batch that are worked on at a time, so that long texts stay within memory.
 SLICE_ROWS = 256
@@ -43,16 +44,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/typeweave/{name}-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files that no frame needs any more.
+
+    It does so when the driver's JVM finds their owners unreachable. The first collection is for
+    what Python let go of, which the JVM learns a moment later; the second finds it gone.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.4)
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage.
 
-    The shuffle files behind df are no longer needed then; a collection on the driver lets
-    Spark's cleaner delete them.
+    The shuffle files behind df are no longer needed then, and are freed.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     made = spark.read.schema(df.schema).parquet(path)
     made._typeweave_path = path
     return made
