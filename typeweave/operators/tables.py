@@ -1,7 +1,8 @@
 """A graph in DataFrames: creation, removal and properties as transformations of its four tables.
 
-Every change gives a new snapshot: tables are written to the shared folder and read again, and the
-store then points to them, so a change that fails leaves the graph as it was.
+A change writes what is new, or the keys of what goes, to the shared folder; the table is then the
+old one with that added or taken away. A table with MAX_CHANGES of these is written anew. The store
+points to new tables only once they are written, so a change that fails leaves the graph as it was.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from typeweave.plans.match import Rows, column
 from typeweave.plans.patterns import PathPattern
 
 MAX_ROUNDS = 200
+MAX_CHANGES = 8
 
 
 def _columns(schema: str) -> list[str]:
@@ -73,12 +75,28 @@ class TableStore:
     def __init__(self, spark: SparkSession, constants: dict[str, Constant], frames: Frames):
         ship(spark)
         self.spark, self.constants, self._now = spark, constants, frames
+        self._changes: dict[str, int] = {}
 
     def frames(self) -> Frames:
         return self._now
 
     def commit(self, **tables: DataFrame) -> None:
-        self._now = replace(self._now, **{name: saved(df, name) for name, df in tables.items()})
+        """Takes tables that are plans over the old ones and what was saved."""
+        for name in tables:
+            self._changes[name] = self._changes.get(name, 0) + 1
+            if self._changes[name] > MAX_CHANGES:
+                tables[name], self._changes[name] = saved(tables[name], name), 0
+        self._now = replace(self._now, **tables)
+
+    def added(self, name: str, new: DataFrame, key: list[str], replacing: bool = False) -> DataFrame:
+        """A table with new rows; replacing takes rows of the same keys away, else these stay."""
+        old = getattr(self._now, name)
+        if not replacing:
+            return old.unionByName(saved(new.join(old.select(*key), key, "left_anti").select(*old.columns), name))
+        new = saved(new.select(*old.columns), name)
+        if not new.join(old.select(*key), key, "left_semi").isEmpty():
+            old = old.join(new.select(*key), key, "left_anti").select(*old.columns)
+        return old.unionByName(new)
 
     # CREATE
 
@@ -175,25 +193,24 @@ class TableStore:
         to the smaller term.
         """
         now = self._now
-        merge = lambda old, new, key: old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns))
         edge_terms = edges.groupBy("s", "e").agg(F.max(F.struct("k", "full")).alias("top"), F.max_by("props", F.struct("k", "full")).alias("props"))
         by_full = terms.select(*TERM_COLUMNS).dropDuplicates(["full"])
-        chosen = edge_terms.select(F.col("top.full").alias("full")).join(by_full, "full").select(*TERM_COLUMNS).dropDuplicates(["type_uid"])
+        chosen = saved(edge_terms.select(F.col("top.full").alias("full")).join(by_full, "full").select(*TERM_COLUMNS).dropDuplicates(["type_uid"]), "chosen")
         node_fulls = nodes.where("full is not null").groupBy("uid").agg(F.min(F.struct("k", "full")).alias("top")).select(F.col("top.full").alias("full"))
         first = node_fulls.join(by_full, "full").select(*TERM_COLUMNS).dropDuplicates(["type_uid"])
-        rest = by_full.join(chosen.select("type_uid").unionByName(first.select("type_uid")).distinct(), "type_uid", "left_anti").groupBy("type_uid").agg(F.min(F.struct(*TERM_COLUMNS)).alias("m")).select("m.*")
-        kept = now.terms.join(chosen.select("type_uid"), "type_uid", "left_anti").select(*TERM_COLUMNS)
-        fresh = first.unionByName(rest).join(chosen.select("type_uid"), "type_uid", "left_anti")
-        new_terms = merge(kept.unionByName(chosen), fresh, "type_uid")
-        new_nodes = merge(now.nodes, nodes.groupBy("uid").agg(F.min_by("props", "k").alias("props")), "uid")
+        rest = by_full.join(first.select("type_uid"), "type_uid", "left_anti").groupBy("type_uid").agg(F.min(F.struct(*TERM_COLUMNS)).alias("m")).select("m.*")
+        fresh = saved(first.unionByName(rest).join(chosen.select("type_uid"), "type_uid", "left_anti").join(now.terms.select("type_uid"), "type_uid", "left_anti"), "fresh")
         arrows = edge_terms.select(F.col("s").alias("start_uid"), F.col("e").alias("end_uid"), "top", "props")
         added = arrows.join(by_full.select(F.col("full").alias("_f"), "type_uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name")), F.col("top.full") == F.col("_f")).select(*EDGE_COLUMNS)
-        new_edges = now.edges.join(added.select("start_uid", "end_uid"), ["start_uid", "end_uid"], "left_anti").select(*EDGE_COLUMNS).unionByName(added)
-        touched = first.select("type_uid").join(now.terms.select("type_uid"), "type_uid", "left_anti").join(nodes.select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi")
-        before = saved(touched, "touched")
+        touched = fresh.select("type_uid").join(nodes.select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi")
         starts = saved(added.select("start_uid", "end_uid"), "added")
-        self.commit(types=merge(now.types, types, "uid"), terms=new_terms, nodes=new_nodes, edges=new_edges)
-        self.spread(before, starts)
+        self.commit(
+            types=self.added("types", types.dropDuplicates(["uid"]), ["uid"]),
+            terms=self.added("terms", chosen, ["type_uid"], replacing=True).unionByName(fresh.select(*TERM_COLUMNS)),
+            nodes=self.added("nodes", nodes.groupBy("uid").agg(F.min_by("props", "k").alias("props")), ["uid"]),
+            edges=self.added("edges", added, ["start_uid", "end_uid"], replacing=True),
+        )
+        self.spread(touched, starts)
 
     # propagation
 
@@ -212,9 +229,8 @@ class TableStore:
                 own = saved(own, "arrows")
                 ends = own.select(F.explode(F.array("start_uid", "end_uid")).alias("uid")).distinct().join(now.nodes.select("uid"), "uid", "left_anti")
                 given = saved(self.constant_terms(ends), "given")
-                edges = now.edges.join(own.select("start_uid", "end_uid"), ["start_uid", "end_uid"], "left_anti").select(*EDGE_COLUMNS).unionByName(own)
-                more = given.where("full is not null").select(*TERM_COLUMNS).join(now.terms.select("type_uid"), "type_uid", "left_anti").select(*TERM_COLUMNS)
-                self.commit(nodes=now.nodes.unionByName(given.select("uid", literal_props({}).alias("props"))), edges=edges, terms=now.terms.unionByName(more))
+                more = saved(given.where("full is not null").select(*TERM_COLUMNS).join(now.terms.select("type_uid"), "type_uid", "left_anti").select(*TERM_COLUMNS), "terms")
+                self.commit(nodes=now.nodes.unionByName(given.select("uid", literal_props({}).alias("props"))), edges=self.added("edges", own, ["start_uid", "end_uid"], replacing=True), terms=now.terms.unionByName(more))
                 now, fresh, added = self._now, fresh.unionByName(more.select("type_uid")), added.unionByName(own.select("start_uid", "end_uid"))
             has = now.terms.select(F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"))
             lacks = now.terms.select(F.col("type_uid").alias("end_uid"))
