@@ -186,7 +186,7 @@ def _edge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).query().match("(a)-[e::@contains()]->(b)").to_table("e").select(F.col("e")["start_uid"].alias("s"), F.col("e")["end_uid"].alias("e"), F.element_at(F.col("e")["props"], "l_linenumber")["i"].alias("line"))
 
 
-_add("edge_last_wins", _edge_last, f"SELECT {_var('order', 'l_orderkey')} AS s, {_var('part', 'l_partkey')} AS e, max(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey, l_partkey")
+_add("edge_last_wins", _edge_last, f"SELECT {_var('order', 'l_orderkey')} AS s, {_var('part', 'l_partkey')} AS e, max(l_linenumber)::BIGINT AS line FROM lineitem GROUP BY l_orderkey, l_partkey")
 
 
 def _propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
