@@ -191,7 +191,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & valid(F.col("vector")))
+    kind = "array<double>" if "double" in df.schema[vector_col].dataType.simpleString() else "array<float>"
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(kind).alias("vector")).where(F.col("id").isNotNull() & valid(F.col("vector")))
     sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return empty
@@ -210,7 +211,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
             routes = [order[i] if q else order[i, :1] for i, q in enumerate(asked)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(order[:, 0], pa.int32()), list_array(np.concatenate(routes), np.asarray(list(map(len, routes))), pa.int32())], ["id", "vector", "asked", "part", "routes"])
 
-    dealt = staged(rows.select("id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked")).mapInArrow(deal, "id bigint, vector array<float>, asked boolean, part int, routes array<int>"), "ann")
+    dealt = staged(rows.select("id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked")).mapInArrow(deal, f"id bigint, vector {kind}, asked boolean, part int, routes array<int>"), "ann")
     counts = [0] * parts
     for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect():
         counts[r["part"]] = r["n"]
