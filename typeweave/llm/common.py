@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from typeweave.functions.shipping import ship
 
-__all__ = ["SpanHasher", "free_shuffles", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "shared_dir", "ship", "slices", "staged", "word_bounds"]
+__all__ = ["SpanHasher", "free_shuffles", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "rows_of", "shared_dir", "ship", "slices", "staged", "word_bounds"]
 
 #: Rows of an Arrow batch that are worked on at a time, so that long texts stay within memory.
 SLICE_ROWS = 256
@@ -109,6 +109,12 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def rows_of(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The values of each row of a list column of numbers without nulls."""
+    offsets, values = column.offsets.to_numpy().tolist(), column.values.to_numpy(zero_copy_only=False)
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values: two rounds of shift, xor and odd multiplier."""
     x = x ^ (x >> np.uint64(32))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, list_array, normal_words, redealt, release, slices, staged, word_bounds
+from typeweave.llm.common import SpanHasher, list_array, normal_words, redealt, release, rows_of, slices, staged, word_bounds
 
 #: A repeated passage has at least this many words.
 MIN_WORDS = 50
@@ -116,8 +116,9 @@ def candidate_runs(chunked: DataFrame) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             rows = []
-            for row, (places, words) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                at = np.sort(np.asarray(places, np.int64))
+            all_places, all_words = (rows_of(part.column(k)) for k in (3, 4))
+            for row, (places, words) in enumerate(zip(all_places, all_words, strict=True)):
+                at = np.sort(places)
                 breaks = np.flatnonzero(np.diff(at) > 1)
                 firsts, lasts = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
                 sums = np.concatenate([[0], np.cumsum(words)])
@@ -190,15 +191,16 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         for part in slices(batches):
             spans = []
-            for found in part.column(2).to_pylist():
-                found.sort(key=lambda x: x["at"])
-                own = []
-                for x in found:
-                    if own and x["at"] <= own[-1]["first_word"] + own[-1]["words"]:
-                        own[-1]["words"] = x["at"] + min_words - own[-1]["first_word"]
-                    else:
-                        own.append({"first_word": x["at"], "words": min_words, "first_id": x["first_id"]})
-                spans.append(own)
+            found = part.column(2)
+            offsets = found.offsets.to_numpy()
+            all_at, ids = found.values.field("at").to_numpy(), found.values.field("first_id")
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                order = np.argsort(all_at[a:b], kind="stable")
+                at = all_at[a:b][order]
+                begins = np.concatenate([[0], np.flatnonzero(np.diff(at) > min_words) + 1])
+                ends = np.concatenate([begins[1:] - 1, [len(at) - 1]])
+                own = zip(at[begins].tolist(), (at[ends] - at[begins] + min_words).tolist(), order[begins].tolist(), strict=True)
+                spans.append([{"first_word": first, "words": words, "first_id": ids[a + k].as_py()} for first, words, k in own])
             of_id = part.schema.field(0).type
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("first_id", of_id)])))], ["id", "of", "spans"])
 
