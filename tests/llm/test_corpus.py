@@ -218,7 +218,7 @@ def test_licences(docs, shipped):
     assert got == sorted(wanted, key=repr)
     assert licence_scan.scan(docs([]), known).collect() == []
     assert {r.licence_id for r in licence_scan.scan(docs(rows), known.limit(0)).collect()} == {None}
-    assert licence_scan.known_licences(shipped).select(licence_scan.digest(F.col("licence_text"))).distinct().count() == len(LICENCES)
+    assert licence_scan.digests(licence_scan.known_licences(shipped), "licence_id", F.col("licence_text")).select("digest").distinct().count() == len(LICENCES)
     plan = licence_scan.scan(docs(rows), known)._jdf.queryExecution().toString()
     assert "Python" not in plan.split("== Physical Plan ==")[1].replace("ExistingRDD", "").split("Scan")[0]
 

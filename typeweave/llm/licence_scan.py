@@ -45,10 +45,13 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def digest(text: Column) -> Column:
-    """Lower-case hex SHA-256 of the canonical text; null where it is empty."""
-    words = canonical(text)
-    return F.when(words != "", F.sha2(words, 256))
+def digests(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """Rows (key, digest): lower-case hex SHA-256 of the canonical text; null where it is empty.
+
+    The canonical text is a column of its own first, or it would be made twice.
+    """
+    words = df.select(F.col(key), canonical(text).alias("words"))
+    return words.select(key, F.when(F.col("words") != "", F.sha2("words", 256)).alias("digest"))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -57,8 +60,8 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, digest, licence_id) for each row of df; known has licence_id and licence_text."""
-    own = df.select(F.col(id_col).alias("id"), digest(F.col(text_col).cast("string")).alias("digest"))
-    sides = known.select("licence_id", digest(F.col("licence_text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    own = digests(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", F.col("text"))
+    sides = digests(known, "licence_id", F.col("licence_text")).where("digest is not null").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
     if sides.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         sides = F.broadcast(sides)
     return own.join(sides, "digest", "left").select("id", "digest", "licence_id")
