@@ -309,6 +309,7 @@ class Query:
         return Matcher(self.graph.frames(), self.graph.constants, self.graph.strict_edge_props).match(path, rows)
 
     def _where(self, rows: Rows, condition: Any) -> Rows:
+        rows = self.checked(rows, ())
         named = rows.df.withColumns({n: F.col(column(n)) for n in rows.kinds})
         return Rows(named.where(F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))).drop(*rows.kinds), rows.kinds)
 
