@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from typeweave.llm.common import list_array, slices, staged
 
-#: Vectors that parts and network are fitted to, by the order of their ids' hashes.
+#: Vectors that parts and network are fitted to, about; those whose ids have small hashes.
 FIT_ROWS = 4096
 HELD_BACK = 512
 GRAPH_NEIGHBOURS = 10
@@ -198,8 +198,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         return empty
     dim = min(sizes, key=lambda d: (-sizes[d], d))
     rows = rows.where(F.size("vector") == dim).groupBy("id").agg(F.min("vector").alias("vector"))
-    sample = np.asarray([r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()], np.float32)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / (1 << 30)
+    drawn = rows.where(draw < min(1.0, FIT_ROWS / sizes[dim])).collect()
+    sample = np.asarray([r["vector"] for r in sorted(drawn, key=lambda r: r["id"])], np.float32).reshape(-1, dim)
     parts = min(MAX_PARTS, max(MIN_PARTS, -(-sizes[dim] // PART_ROWS)), max(1, len(sample) // 16))
+    sample = sample[np.random.default_rng(1).permutation(len(sample))]
     network, visits = fit(sample, parts, k) if parts > 1 else (None, 1)
 
     def deal(batches):
