@@ -171,7 +171,11 @@ def test_ground_types_and_known_nodes_need_no_joins(spark, tmp_path):
     plan = plan_of(graph.query().match("(n:nation_3)").to_df())
     assert "Join" not in plan and f"EqualTo(uid,{type_uid('nation_3')})" in plan
     plan = plan_of(graph.query().match("()-[e:nation_3 -> region_1]->()").to_df("e"))
-    assert plan.count("Join") == 1 and "Cartesian" not in plan and f"EqualTo(end_uid,{type_uid('region_1')})" in plan
+    assert "Join" not in plan and f"EqualTo(end_uid,{type_uid('region_1')})" in plan
+    plan = plan_of(graph.query().match("(c)-[]->(n)-[]->(r { r_name: 'ASIA' })").to_df())
+    assert plan.count("Join") == 2 and plan.count("FileScan") == 3 and "NestedLoop" not in plan
+    plan = plan_of(graph.query().match("()-[e::@in_region()]->()").match("(a)-[e]->(b)").to_df())
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
     plan = plan_of(graph.query().match("(:nation_3)-[]->(n)").match("(n)-[]->(m)").to_df())
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.functions.errors import MissingError, PatternError
@@ -180,34 +180,68 @@ class Matcher:
         rows = self.node_filters(rows, p)
         return self.bind(rows, p.var, "node", CURSOR) if p.var else rows
 
-    def edge(self, rows: Rows, p: EdgePattern) -> Rows:
-        """Rows with the cursor moved along edges."""
-        start, end, uid, kind, name = (self.fresh(n) for n in ("s", "e", "u", "k", "n"))
+    def edge_table(self, p: EdgePattern, kinds: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+        """The edges that may fit a pattern, from either end, and the names of their columns."""
+        c = {n: self.fresh(n) for n in ("start", "end", "uid", "kind", "name", "near", "far")}
         edges = self.frames.edges
         if p.props:
             edges = edges.where(matches(F.col("props"), p.props, missing=not self.strict))
-        edges = edges.select(F.col("start_uid").alias(start), F.col("end_uid").alias(end), F.col("type_uid").alias(uid), F.col("t_kind").alias(kind), F.col("t_name").alias(name))
-        if p.type and p.type[0] == "name" and p.type[1] not in rows.kinds:
+        edges = edges.select(F.col("start_uid").alias(c["start"]), F.col("end_uid").alias(c["end"]), F.col("type_uid").alias(c["uid"]), F.col("t_kind").alias(c["kind"]), F.col("t_name").alias(c["name"]))
+        if p.type and p.type[0] == "name" and p.type[1] not in kinds:
             edges = edges.where(F.lit(False))  # an edge's type is an arrow, never a name
         if p.term and p.term[0] == "const" and p.term[1] in self.constants:
-            edges = edges.where((F.col(kind) == "base") & (F.col(name) == p.term[1]))
-        near, far = self.fresh("near"), self.fresh("far")
-        forward = edges.withColumns({near: F.col(start), far: F.col(end)})
-        backward = edges.withColumns({near: F.col(end), far: F.col(start)})
-        both = {"forward": forward, "backward": backward, "any": forward.unionByName(backward.where(F.col(start) != F.col(end)))}
-        condition = F.col(CURSOR) == F.col(near)
+            edges = edges.where((F.col(c["kind"]) == "base") & (F.col(c["name"]) == p.term[1]))
+        start, end = F.col(c["start"]), F.col(c["end"])
+        forward, backward = (edges.withColumns({c["near"]: near, c["far"]: far}) for near, far in ((start, end), (end, start)))
+        if p.direction == "any":
+            return forward.unionByName(backward.where(start != end)), c
+        return (forward if p.direction == "forward" else backward), c
+
+    def is_bound_edge(self, rows: Rows, p: EdgePattern, c: dict[str, str]) -> Column:
+        self.check_kind(rows, p.var, "edge")
+        v = F.col(column(p.var))
+        return (v["start"] == F.col(c["start"])) & (v["end"] == F.col(c["end"]))
+
+    def first_edge(self, rows: Rows, node: NodePattern, p: EdgePattern) -> Rows:
+        """Rows with the cursor behind the first edge of a path whose first node is not bound.
+
+        The ends of edges are nodes, so the path begins with the edges and scans no nodes.
+        """
+        edges, c = self.edge_table(p, rows.kinds)
+        near = F.col(c["near"])
+        if p.var in rows.kinds:
+            df = rows.df.join(edges, self.is_bound_edge(rows, p, c))
+        elif node.type and node.type[0] == "name" and rows.kinds.get(node.type[1]) == "type":
+            df = rows.df.join(edges, F.col(column(node.type[1])) == near)
+        else:
+            if node.type and (t := self.ground(node.type, rows.kinds)) is not None:
+                edges = edges.where(near == F.lit(type_uid(t)))
+            df = edges if rows.df is None else rows.df.crossJoin(edges)
+        rows = self.node_filters(replace(rows, df=df.withColumn(CURSOR, near)), node)
+        if node.var:
+            rows = self.bind(rows, node.var, "node", CURSOR)
+            if node.var == p.var:
+                self.check_kind(rows, p.var, "edge")
+        return self.edge_filters(rows, p, c)
+
+    def edge(self, rows: Rows, p: EdgePattern) -> Rows:
+        """Rows with the cursor moved along edges."""
+        edges, c = self.edge_table(p, rows.kinds)
+        condition = F.col(CURSOR) == F.col(c["near"])
         if p.var in rows.kinds:
-            self.check_kind(rows, p.var, "edge")
-            v = F.col(column(p.var))
-            condition = condition & (v["start"] == F.col(start)) & (v["end"] == F.col(end))
-        rows = replace(rows, df=rows.df.join(both[p.direction], condition).withColumn(CURSOR, F.col(far)).drop(near, far))
+            condition = condition & self.is_bound_edge(rows, p, c)
+        return self.edge_filters(replace(rows, df=rows.df.join(edges, condition)), p, c)
+
+    def edge_filters(self, rows: Rows, p: EdgePattern, c: dict[str, str]) -> Rows:
+        rows = replace(rows, df=rows.df.withColumn(CURSOR, F.col(c["far"])).drop(c["near"], c["far"]))
         if p.type:
-            rows = self.edge_type(rows, p.type, start, end, uid)
+            rows = self.edge_type(rows, p.type, c["start"], c["end"], c["uid"])
         if p.term:
-            rows = self.term_filter(rows, uid, p.term, (kind, name))
+            rows = self.term_filter(rows, c["uid"], p.term, (c["kind"], c["name"]))
         if p.var and p.var not in rows.kinds:
-            rows = Rows(rows.df.withColumn(column(p.var), F.struct(F.col(start).alias("start"), F.col(end).alias("end"))), rows.kinds | {p.var: "edge"})
-        return self.drop(rows, start, end, uid, kind, name)
+            ends = F.struct(F.col(c["start"]).alias("start"), F.col(c["end"]).alias("end"))
+            rows = Rows(rows.df.withColumn(column(p.var), ends), rows.kinds | {p.var: "edge"})
+        return self.drop(rows, *(c[n] for n in ("start", "end", "uid", "kind", "name")))
 
     def edge_type(self, rows: Rows, schema: tuple, start: str, end: str, uid: str) -> Rows:
         if schema[0] == "arrow":
@@ -216,10 +250,45 @@ class Matcher:
             return self.bind(self.edge_type(rows, schema[2], start, end, uid), schema[1], "type", uid)
         return self.type_filter(rows, uid, schema)
 
+    def anchored(self, path: PathPattern, rows: Rows) -> PathPattern:
+        """The path from its other end, if only that is selective and nothing depends on the order.
+
+        Captures and term variables bind from left to right, so with these the order stays.
+        """
+        every = [*path.nodes, *path.edges]
+        if any(p.type and _binds(p.type) or p.term and _term_binds(p.term) for p in every):
+            return path
+        first, last = (self.selective(p, rows) for p in (path.nodes[0], path.nodes[-1]))
+        if first or not last:
+            return path
+        turned = {"forward": "backward", "backward": "forward", "any": "any"}
+        return PathPattern(path.text, path.nodes[::-1], [replace(e, direction=turned[e.direction]) for e in path.edges[::-1]])
+
+    def selective(self, p: NodePattern, rows: Rows) -> bool:
+        return p.var in rows.kinds or bool(p.props) or bool(p.type) and (self.ground(p.type, rows.kinds) is not None or p.type[0] == "name")
+
     def match(self, path: PathPattern, rows: Rows) -> Rows:
         """Rows with those bindings that a path gives, for each row."""
-        path.check()
-        rows = self.first_node(rows, path.nodes[0])
-        for edge, node in zip(path.edges, path.nodes[1:], strict=True):
+        path = self.anchored(path.check(), rows)
+        edges, nodes = path.edges, path.nodes
+        if edges and nodes[0].var not in rows.kinds:
+            rows = self.next_node(self.first_edge(rows, nodes[0], edges[0]), nodes[1])
+            edges, nodes = edges[1:], nodes[1:]
+        else:
+            rows = self.first_node(rows, nodes[0])
+        for edge, node in zip(edges, nodes[1:], strict=True):
             rows = self.next_node(self.edge(rows, edge), node)
         return self.drop(rows, CURSOR)
+
+
+def _binds(schema: tuple) -> bool:
+    """Whether a type schema binds a variable."""
+    if schema[0] == "arrow":
+        return _binds(schema[1]) or _binds(schema[2])
+    return schema[0] == "capture"
+
+
+def _term_binds(schema: tuple) -> bool:
+    if schema[0] == "app":
+        return _term_binds(schema[1]) or _term_binds(schema[2])
+    return schema[0] == "name" or schema[0] == "const" and any(map(_binds, schema[2]))
