@@ -19,7 +19,7 @@ __all__ = ["SpanHasher", "free_shuffles", "list_array", "mix64", "new_path", "no
 
 #: Rows of an Arrow batch that are worked on at a time, so that long texts stay within memory.
 SLICE_ROWS = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _M64 = (1 << 64) - 1
 
@@ -88,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
                 waiting += [(at + n // 2, n - n // 2), (at, n // 2)]
             else:
                 yield part
+        pa.default_memory_pool().release_unused()
 
 
 def redealt(df: DataFrame, key: str) -> DataFrame:

@@ -222,22 +222,23 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Rows (id, lang_pred, score[, row]) for each row of df; row is a struct of all its columns."""
+    """Rows (id, lang_pred, score) for each row of df; with keep, (row, lang_pred, score), where row
+    is a struct of all its columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if keep else [])]
-    own = df.select(*columns)
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    schema = f"id {kinds['id']}, lang_pred string, score double" + (f", row {kinds['row']}" if keep else "")
+    own = df.select(F.struct("*").alias("row")) if keep else df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    first = own.schema[0]
+    schema = f"{first.name} {first.dataType.simpleString()}, lang_pred string, score double"
 
     def run(batches):
         model = shared.value
         for part in slices(batches):
-            texts = part.column(1).to_pylist()
+            column = part.column(0).field(text_col) if keep else part.column(1)
+            texts = column.cast(pa.string()).to_pylist()
             known = [i for i, t in enumerate(texts) if model and has_letters(t)]
             got = [(UNKNOWN, 0.0)] * len(texts)
             for i, p in zip(known, model.predict([texts[i] for i in known]) if known else [], strict=True):
                 got[i] = p
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), *part.columns[2:]], ["id", "lang_pred", "score", *(["row"] if keep else [])])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [first.name, "lang_pred", "score"])
 
     return own.mapInArrow(run, schema)
 
