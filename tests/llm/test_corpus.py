@@ -357,3 +357,18 @@ def test_pipeline(shipped, tmp_path, near_copies, passages):
         assert r.n_chars == len(r.text)
     assert all(s.columns == ["doc_id", "text", "lang", "source", "n_chars"] for s in stages[:3])
     assert {r.doc_id for r in stages[3].collect()} == keep
+
+
+def test_pipeline_of_odd_tables(shipped, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, digest string"
+    for number, rows in enumerate([[], [(None, "a text without id", None, None, None, "x", "y", "z"), (1, None, None, None, None, "x", "y", "z"), (2, "a word", "en", "s", 6, "x", "y", "z"), (2, "a word", "en", "s", 6, "x", "y", "z")]]):
+        df = shipped.createDataFrame(rows, kinds)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            df = stage(shipped, df, str(tmp_path))
+            df.write.parquet(str(tmp_path / f"{number}-{k}"))
+            df = shipped.read.parquet(str(tmp_path / f"{number}-{k}"))
+            if k < 3:
+                assert df.columns == [part.split()[0] for part in kinds.split(", ")]
+        assert sorted(str(r.doc_id) for r in df.collect()) == (["2", "None"] if rows else [])
