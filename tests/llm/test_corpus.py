@@ -182,6 +182,25 @@ def test_repeated_passages(docs, passages):
     assert substring_dedup.dedup(docs([])).collect() == []
 
 
+@pytest.mark.parametrize("letters, words", [((1, 1), 50), ((1, 2), 50), ((1, 3), 55), ((2, 4), 60), ((3, 9), 50), ((40, 90), 50), ((600, 700), 50)])
+def test_no_repeated_passage_is_missed(docs, letters, words):
+    rng = random.Random(words)
+
+    def random_words(n):
+        return ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(*letters))) for _ in range(n)]
+
+    rows = []
+    for k in range(150):
+        shared = random_words(words)
+        for doc in (2 * k, 2 * k + 1):
+            rows.append((doc, " ".join(random_words(rng.randrange(0, 30)) + shared + random_words(rng.randrange(0, 30)))))
+    got = {}
+    for r in substring_dedup.duplicate_spans(docs(rows)).collect():
+        for s in r.spans:
+            got.setdefault(r.id, set()).update(range(s.first_word, s.first_word + s.words))
+    assert got == {doc: gone for (doc, _), gone in brute_spans(rows, 50).items()}
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(5)
     words = prose(rng, 3000)

@@ -1,12 +1,18 @@
 """Operator 6: substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text's words; a chunk ends where its top bits are zero, so
-the ends depend on the last 32 bytes only and an insertion shifts no others. Chunks are matched
-by digest. Runs of chunks that more than one place holds, long enough to matter, are then looked
-at word by word: every window of MIN_WORDS words in them is matched by its hash, and of equal
-windows all but the first (by document, then place) are duplicates. What is removed is the union
-of a text's duplicate windows, so a removed span has at least MIN_WORDS words, all of which stand
-elsewhere, and every repeated passage of that length stays in its first place only.
+A gear hash rolls over the bytes of a text's words; a chunk ends behind the word whose hash is the
+smallest of some run of words, so the ends depend on the words around only and an insertion shifts
+no others. Chunks are matched by digest. A window of MIN_WORDS words is looked at if all chunks that
+its own words fix are held by more than one place: it is matched by its hash, and of equal windows
+all but the first (by document, then place) are duplicates. What is removed is the union of a text's
+duplicate windows, so a removed span has at least MIN_WORDS words, all of which stand elsewhere, and
+every repeated passage of that length stays in its first place only.
+
+No repeated window escapes, whatever the bytes of its words. The hash behind each of its words but the
+first GEAR_WORDS depends on its own bytes, and these words hold two runs of run_words() words without
+one in common. So at least two ends are fixed by the window alone, and between the first and the last
+such end there is no other: an end that a run reaching outside gave would have a smaller hash than one
+of the two. Equal windows hence have the same chunks there.
 
 Cases: null and empty texts have no chunks and stay as they are; white space and case don't count
 in a comparison; repeats within one text count as well; repeated ids are told apart by their
@@ -26,17 +32,10 @@ from typeweave.llm.common import SpanHasher, list_array, normal_words, redealt,
 
 #: A repeated passage has at least this many words.
 MIN_WORDS = 50
-#: Runs of repeated chunks with fewer words are not looked at: a passage loses a part of a chunk
-#: at either end, with a mean of 2**CHUNK_BITS bytes.
-RUN_WORDS = 12
-CHUNK_BITS = 5
 MAX_CHUNK = 512
-#: Bytes on which a gear hash depends.
+#: Bytes on which a gear hash depends, and the words that hold so many bytes even if each has one letter.
 GEAR_BYTES = 32
-#: Longer chunks come of texts that repeat a phrase without an end of a chunk in it. Where such
-#: chunks are cut says nothing, so they all count as repeated, under this digest.
-LONG_CHUNK = 160
-LONG_DIGEST = 0
+GEAR_WORDS = 16
 
 _GEAR = np.random.Generator(np.random.PCG64(611)).integers(0, 1 << 32, size=256, dtype=np.uint32)
 
@@ -52,10 +51,32 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(raw: np.ndarray) -> np.ndarray:
+def run_words(min_words: int) -> int:
+    """The words of a run, of which the smallest hash ends a chunk: two runs fit into what a window fixes."""
+    if min_words < GEAR_WORDS + 2:
+        raise ValueError(f"passages must have {GEAR_WORDS + 2} words at least")
+    return (min_words - GEAR_WORDS) // 2
+
+
+def picked_words(raw: np.ndarray, stops: np.ndarray, width: int) -> np.ndarray:
+    """For each run of width words, by its first one: the word with the smallest gear hash behind it,
+    the last of equal ones. These never decrease."""
+    n = len(stops)
+    if n < width:
+        return np.empty(0, np.int64)
+    least = gear(raw)[stops - 1].astype(np.uint64) << np.uint64(32) | np.arange(n - 1, -1, -1, dtype=np.uint64)
+    size = 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[: n - width + 1], least[width - size :])
+    return n - 1 - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def chunk_ends(raw: np.ndarray, width: int = run_words(MIN_WORDS)) -> np.ndarray:
     """Ends of the chunks of a byte string; no chunk is longer than MAX_CHUNK."""
-    ends = np.flatnonzero(gear(raw) >> np.uint32(32 - CHUNK_BITS) == 0) + 1
-    ends = np.concatenate([ends, [len(raw)]]) if not len(ends) or ends[-1] != len(raw) else ends
+    stops = np.append(np.flatnonzero(raw == 32), len(raw))
+    ends = stops[np.unique(np.append(picked_words(raw, stops, width), len(stops) - 1))]
     lengths = np.diff(ends, prepend=0)
     if lengths.max() > MAX_CHUNK:
         pieces = -(-lengths // MAX_CHUNK)
@@ -71,31 +92,29 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), text.alias("text"))
 
 
-def chunks(texts: DataFrame) -> DataFrame:
-    """Rows (id, of, digests array<bigint>, words array<int>, row): a text's chunks, and the words
-    that end in each. row is unique once the result is staged."""
+def chunks(texts: DataFrame, min_words: int) -> DataFrame:
+    """Rows (id, of, digests array<bigint>, row): a text's chunks. row is unique once the result is staged.
+
+    A digest is that of the chunk and of the bytes before it on which its beginning depends.
+    """
+    width = run_words(min_words)
 
     def run(batches):
         for part in slices(batches):
-            digests, words = [], []
+            digests = []
             for text in part.column(2).to_pylist():
                 data = normal_words(text)
                 if not data:
                     digests.append(np.empty(0, np.int64))
-                    words.append(np.empty(0, np.int32))
                     continue
-                raw = np.frombuffer(data, np.uint8)
-                ends = chunk_ends(raw)
+                ends = chunk_ends(np.frombuffer(data, np.uint8), width)
                 starts = np.concatenate([[0], ends[:-1]])
-                hashes = SpanHasher(data).spans(starts, ends).view(np.int64)
-                digests.append(np.where(ends - starts > LONG_CHUNK, LONG_DIGEST, hashes))
-                blanks = np.concatenate([[0], np.cumsum(raw == 32)])
-                words.append((blanks[ends] - blanks[starts]).astype(np.int32))
+                digests.append(SpanHasher(data).spans(np.maximum(starts - GEAR_BYTES, 0), ends).view(np.int64))
             lengths = np.asarray(list(map(len, digests)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(np.concatenate(digests), lengths, pa.int64()), list_array(np.concatenate(words), lengths, pa.int32())], ["id", "of", "digests", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(np.concatenate(digests), lengths, pa.int64())], ["id", "of", "digests"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    made = texts.mapInArrow(run, f"id {kind}, of bigint, digests array<bigint>, words array<int>")
+    made = texts.mapInArrow(run, f"id {kind}, of bigint, digests array<bigint>")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -106,59 +125,50 @@ def repeated(items: DataFrame, item: str) -> DataFrame:
 
 
 def candidate_runs(chunked: DataFrame) -> DataFrame:
-    """Rows (row, id, of, runs array<struct<first, last>>): runs of repeated chunks with RUN_WORDS words or more."""
+    """Rows (row, id, of, runs array<struct<first, last>>): all runs of repeated chunks."""
     each = chunked.select("row", F.posexplode("digests").alias("at", "digest"))
-    long = F.col("digest") == LONG_DIGEST
-    found = repeated(each.where(~long), "digest").select("row", "at").unionByName(each.where(long).select("row", "at"))
-    found = found.groupBy("row").agg(F.collect_set("at").alias("places"))
+    found = repeated(each, "digest").groupBy("row").agg(F.collect_set("at").alias("places"))
     names = ["row", "id", "of", "runs"]
 
     def run(batches):
         for part in slices(batches):
-            rows = []
-            all_places, all_words = (rows_of(part.column(k)) for k in (3, 4))
-            for row, (places, words) in enumerate(zip(all_places, all_words, strict=True)):
+            runs = []
+            for places in rows_of(part.column(3)):
                 at = np.sort(places)
                 breaks = np.flatnonzero(np.diff(at) > 1)
                 firsts, lasts = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
-                sums = np.concatenate([[0], np.cumsum(words)])
-                good = sums[lasts + 1] - sums[firsts] >= RUN_WORDS
-                if good.any():
-                    rows.append((row, [{"first": a, "last": b} for a, b in zip(firsts[good].tolist(), lasts[good].tolist(), strict=True)]))
-            keep = pa.array([r for r, _ in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(part.column(k).take(keep) for k in range(3)), pa.array([x for _, x in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names)
+                runs.append([{"first": a, "last": b} for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names)
 
     kind = chunked.schema["id"].dataType.simpleString()
-    joined = found.join(chunked.select("row", "id", "of", "words"), "row").select("row", "id", "of", "places", "words")
+    joined = found.join(chunked.select("row", "id", "of"), "row").select("row", "id", "of", "places")
     return joined.mapInArrow(run, f"row bigint, id {kind}, of bigint, runs array<struct<first:int,last:int>>")
 
 
 def windows(texts: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (row, id, of, at array<int>, hashes array<bigint>): the windows of min_words words in
-    runs, by the number of their first word.
-
-    A run is taken with a chunk more at either end, and with the bytes before it on which the
-    first chunk's beginning depends, for these hold the ends of the passage.
+    """Rows (row, id, of, at array<int>, hashes array<bigint>): the windows of min_words words, by
+    the number of their first word, whose own chunks are all in runs: those between the first and
+    the last end that the window fixes.
     """
     kind = texts.schema["id"].dataType.simpleString()
+    width = run_words(min_words)
 
     def run(batches):
         for part in slices(batches):
             all_at, all_hashes = [], []
             for text, own in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                 data = normal_words(text)
-                ends = chunk_ends(np.frombuffer(data, np.uint8))
+                raw = np.frombuffer(data, np.uint8)
+                ends = chunk_ends(raw, width)
                 starts, stops = word_bounds(data)
-                wanted = np.zeros(max(0, len(starts) - min_words + 1) + 1, np.int32)
+                lone = np.ones(len(ends) + 1, np.int32)
                 for span in own:
-                    left = (0 if span["first"] < 2 else int(ends[span["first"] - 2])) - GEAR_BYTES
-                    right = int(ends[min(span["last"] + 1, len(ends) - 1)])
-                    first = int(np.searchsorted(starts, left))
-                    after = int(np.searchsorted(stops, right, "right")) - min_words + 1
-                    if first < after:
-                        wanted[first] += 1
-                        wanted[after] -= 1
-                at = np.flatnonzero(np.cumsum(wanted)[:-1])
+                    lone[span["first"] + 1 : span["last"] + 2] = 0
+                lone = np.cumsum(lone)
+                n = max(0, len(starts) - min_words + 1)
+                behind = np.searchsorted(ends, stops[picked_words(raw, stops, width)]) + 1
+                first, last = (behind[at : at + n] for at in (GEAR_WORDS, min_words - width))
+                at = np.flatnonzero(lone[last] == lone[first]) if n else np.empty(0, np.int64)
                 all_at.append(at.astype(np.int32))
                 all_hashes.append(SpanHasher(data).spans(starts[at], stops[at + min_words - 1]).view(np.int64) if len(at) else np.empty(0, np.int64))
             lengths = np.asarray(list(map(len, all_at)))
@@ -176,7 +186,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words; first_id is the document that holds the first place of the span's first window.
     """
     texts = _texts(df, id_col, text_col)
-    chunked = staged(chunks(texts), "chunks")
+    chunked = staged(chunks(texts, min_words), "chunks")
     runs = staged(candidate_runs(chunked), "runs")
     release(chunked)
     looked = staged(windows(texts, runs, min_words), "windows")
