@@ -378,6 +378,25 @@ def test_pipeline(shipped, tmp_path, near_copies, passages):
     assert {r.doc_id for r in stages[3].collect()} == keep
 
 
+def test_pipeline_rejects_what_is_in_no_known_language(shipped):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    foreign = [
+        "w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie że każdy może przyjść i zobaczyć",
+        "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+        "mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan",
+        "мой дядя самых честных правил когда не в шутку занемог он уважать себя заставил и лучше выдумать не мог",
+        "床前明月光 疑是地上霜 举头望明月 低头思故乡",
+    ]
+    foreign += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (3, 10, 100, 1000)]
+    docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = docs.where("doc_id % 5 = 1").withColumn("lang", F.lit(None).cast("string"))
+    extra = shipped.createDataFrame([(10**9 + k, t, lang, "s", len(t)) for k, t in enumerate(foreign) for lang in (None, "en")], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.known_language(shipped, docs.where("doc_id % 5 <> 1").unionByName(clean).unionByName(extra), "").select("doc_id").collect()}
+    assert got == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_pipeline_of_odd_tables(shipped, tmp_path):
     import corpus_pipeline
 

@@ -6,6 +6,10 @@ support vector machines tell its languages apart, and the language with most vot
 largest sum of margins, is taken. Scores are probabilities: that of the family, from its margin,
 times the mean of the pairwise ones.
 
+Scores only compare the languages of the model. Whether a text is in one of them at all is told by
+the share of its trigrams that the labelled rows hold: foreign texts and random letters have a low
+one, however many languages there are. Its least value is taken from the labelled rows themselves.
+
 The models are fitted on the driver to a bounded sample of labelled rows: at most
 FIT_ROWS_EACH rows of a language, those with the smallest hashes of their ids. Whole texts are
 read, in fitting and in prediction.
@@ -30,6 +34,14 @@ from typeweave.llm.common import slices
 
 UNKNOWN = "und"
 FIT_ROWS_EACH = 400
+#: Of fewer labelled rows no least share of known trigrams is taken: they hold too little of a language.
+SHARE_ROWS = 50
+#: A trigram is known if a labelled row has it, and one more for each so many, so that a few odd rows add none.
+ROWS_A_VOTE = 500
+#: Known trigrams that each text is given, or one odd word would be too many in a short one.
+GIVEN = 8
+#: The least share is this part of the share that 99 % of the labelled rows have.
+SHARE_PART = 0.9
 #: Buckets of hashed n-grams, and the lengths of n-grams in bytes.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -74,6 +86,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+#: The bucket of a blank.
+_BLANK = int(grams([""])[0][0, 0])
+
+
+def trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's trigrams that begin with a letter, and the number of each."""
+    at, counts = np.unique(codes[ORDERS.index(3)][codes[ORDERS.index(1)] != _BLANK], return_counts=True)
+    return at, counts.astype(np.uint32)
+
+
+def known_trigrams(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Whether each bucket is one of a known trigram, and the least share of them in a text; from
+    the trigrams of the labelled rows. A row's own vote doesn't count for its share."""
+    rows_of = np.zeros(BUCKETS, np.int32)
+    for at, _ in rows:
+        rows_of[at] += 1
+    votes = 1 + len(rows) // ROWS_A_VOTE
+    if len(rows) < SHARE_ROWS:
+        return rows_of >= votes, 0.0
+    shares = [known_share(at, counts, rows_of > votes) for at, counts in rows]
+    return rows_of >= votes, SHARE_PART * float(np.quantile(shares, 0.01, method="lower"))
+
+
+def known_share(at: np.ndarray, counts: np.ndarray, known: np.ndarray) -> float:
+    return float((counts[known[at]].sum() + GIVEN) / (counts.sum() + GIVEN))
+
+
 def mean_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares among its n-grams."""
     codes, _ = grams([text])
@@ -113,6 +152,7 @@ class Model:
     """families: names and their languages; weights: a column for each binary model.
 
     one_versus_rest[f] is family f's column; pairs has (family, first, second, column).
+    known: whether each bucket is one of a known trigram; least_share: what a text must have of them.
     """
 
     families: list[tuple[str, list[str]]]
@@ -121,8 +161,11 @@ class Model:
     scales: np.ndarray
     one_versus_rest: list[int]
     pairs: list[tuple[int, int, int, int]]
+    known: np.ndarray | None = None
+    least_share: float = 0.0
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Language, score and share of known trigrams of each text."""
         codes, starts = grams(texts)
         sums = np.zeros((len(texts), self.weights.shape[1]), np.float64)
         norms = np.empty(len(texts))
@@ -158,7 +201,8 @@ class Model:
                     likely[j] += 1 - p
             best = max(range(len(names)), key=lambda k: (votes[k], margins[k]))
             within = likely[best] / (len(names) - 1) if len(names) > 1 else 1.0
-            out.append((names[best], float(min(1.0, family_chance * within))))
+            share = 1.0 if self.known is None else known_share(*trigrams(codes[:, starts[row] : starts[row + 1]]), self.known)
+            out.append((names[best], float(min(1.0, family_chance * within)), share))
         return out
 
 
@@ -194,7 +238,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
 
 
 def labelled_sample(df: DataFrame) -> DataFrame:
-    """Rows (lang, buckets binary of int32, values binary of float32): at most about FIT_ROWS_EACH of each language of df(id, text, lang).
+    """Rows (lang, buckets binary of int32, values binary of float32, trigrams binary of uint16, counts binary of uint32): at most about FIT_ROWS_EACH of each language of df(id, text, lang).
 
     A language's rows are thinned by a threshold on the hash of their id, so no task gets all
     rows of a frequent language.
@@ -203,31 +247,36 @@ def labelled_sample(df: DataFrame) -> DataFrame:
     usable = df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return spark.createDataFrame([], "lang string, buckets binary, values binary")
+        return spark.createDataFrame([], "lang string, buckets binary, values binary, trigrams binary, counts binary")
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, FIT_ROWS_EACH / n))))
     draw = F.pmod(F.xxhash64(F.lit("language id"), F.col("id")), F.lit(1 << 20)) / (1 << 20)
 
     def run(batches):
         for part in slices(batches):
-            got = [mean_features(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["lang", "buckets", "values"])
+            texts = part.column(1).to_pylist()
+            got = [mean_features(t) for t in texts]
+            own = [trigrams(grams([t])[0]) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary()), pa.array([a.tobytes() for a, _ in own], pa.binary()), pa.array([n.tobytes() for _, n in own], pa.binary())], ["lang", "buckets", "values", "trigrams", "counts"])
 
-    return usable.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, buckets binary, values binary")
+    return usable.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, buckets binary, values binary, trigrams binary, counts binary")
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = labelled_sample(own).collect()
-    return fit(sorted(((r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
+    model = fit(sorted(((r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
+    if model is not None:
+        model.known, model.least_share = known_trigrams([(np.frombuffer(r["trigrams"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows])
+    return model
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Rows (id, lang_pred, score) for each row of df; with keep, (row, lang_pred, score), where row
-    is a struct of all its columns."""
+    """Rows (id, lang_pred, score, share) for each row of df; with keep, (row, lang_pred, score, share),
+    where row is a struct of all its columns. share is that of known trigrams."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     own = df.select(F.struct("*").alias("row")) if keep else df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     first = own.schema[0]
-    schema = f"{first.name} {first.dataType.simpleString()}, lang_pred string, score double"
+    schema = f"{first.name} {first.dataType.simpleString()}, lang_pred string, score double, share double"
 
     def run(batches):
         model = shared.value
@@ -235,10 +284,10 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             column = part.column(0).field(text_col) if keep else part.column(1)
             texts = column.cast(pa.string()).to_pylist()
             known = [i for i, t in enumerate(texts) if model and has_letters(t)]
-            got = [(UNKNOWN, 0.0)] * len(texts)
+            got = [(UNKNOWN, 0.0, 0.0)] * len(texts)
             for i, p in zip(known, model.predict([texts[i] for i in known]) if known else [], strict=True):
                 got[i] = p
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [first.name, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g for g, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()), pa.array([k for _, _, k in got], pa.float64())], [first.name, "lang_pred", "score", "share"])
 
     return own.mapInArrow(run, schema)
 
