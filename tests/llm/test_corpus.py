@@ -397,6 +397,17 @@ def test_pipeline_rejects_what_is_in_no_known_language(shipped):
     assert got == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_keeps_one_text_of_a_repeated_id(shipped):
+    import corpus_pipeline
+
+    words = prose(random.Random(1), 100)
+    near = [" ".join(words), " ".join([*words, "end"])]
+    rows = [(1, near[0]), (1, near[1]), (1, "another text of the same id"), (2, near[0])]
+    df = shipped.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.no_near_duplicates(shipped, df, "").collect()]
+    assert len(kept) == 2 and (1, rows[2][1]) in kept and {k for k, _ in kept} == {1}
+
+
 def test_pipeline_of_odd_tables(shipped, tmp_path):
     import corpus_pipeline
 

@@ -281,9 +281,10 @@ def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (id, digest, class_id, n_links, n_copies), one for each row of df.
+    """Rows (id, digest, class_id, keeper, n_links, n_copies), one for each row of df.
 
-    class_id is the smallest id among the documents that links and copies connect; n_links counts
+    class_id is the smallest id among the documents that links and copies connect; keeper is
+    the digest of the one text that stands for them: of that id's texts, if it has more, the smallest; n_links counts
     the different texts that this text is linked to; n_copies the documents of this very text;
     digest is the MD5 of the text.
     """
@@ -303,11 +304,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     tied = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     joined = classes.join(links.withColumnRenamed("row", "rep"), "rep", "left").join(tied.withColumnRenamed("id", "rep"), "rep", "left")
     joined = joined.withColumn("component", F.coalesce("component", "rep"))
-    names = joined.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    by_class = joined.join(names, "component").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = known.select("id", "digest").join(redealt(by_class, "digest"), "digest").select("id", "digest", "class_id", "n_links", "n_copies")
-    alone = made.where("digest is null").select("id", "digest", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    nameless = df.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("digest"), F.col(id_col).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    names = joined.groupBy("component").agg(F.min(F.struct("first_id", "digest")).alias("k")).select("component", F.col("k.first_id").alias("class_id"), F.col("k.digest").alias("keeper"))
+    by_class = joined.join(names, "component").select("digest", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    out = known.select("id", "digest").join(redealt(by_class, "digest"), "digest").select("id", "digest", "class_id", "keeper", "n_links", "n_copies")
+    alone = made.where("digest is null").select("id", "digest", F.col("id").alias("class_id"), F.col("digest").alias("keeper"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    nameless = df.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("digest"), F.col(id_col).alias("class_id"), F.lit(None).cast("binary").alias("keeper"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     return out.unionByName(alone).unionByName(nameless)
 
 
