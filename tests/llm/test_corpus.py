@@ -2,6 +2,7 @@
 against brute-force versions on small tables."""
 
 import random
+import unicodedata
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,25 @@ def prose(rng, n):
     return [rng.choice(WORDS) for _ in range(n)]
 
 
+SCRIPTS = {"HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR"}
+
+
+def brute_words(text):
+    """Lower-cased words; each character of a script without blanks is one."""
+    out = []
+    for word in text.lower().split():
+        last = ""
+        for c in word:
+            name = unicodedata.name(c, "")
+            if name.startswith("CJK UNIFIED") or name.split(" ")[0] in SCRIPTS and "PROLONGED" not in name:
+                out += [last, c] if last else [c]
+                last = ""
+            else:
+                last += c
+        out += [last] if last else []
+    return out
+
+
 # near duplicates
 
 
@@ -29,7 +49,7 @@ def brute_groups(rows, n=5, threshold=0.8):
             texts.setdefault(("null", k) if text is None else text, []).append(k)
     sets = {}
     for text in texts:
-        words = text.lower().split() if isinstance(text, str) else []
+        words = brute_words(text) if isinstance(text, str) else []
         m = min(n, len(words))
         sets[text] = {tuple(words[i : i + m]) for i in range(len(words) - m + 1)} if words else set()
     links = {t: set() for t in texts}
@@ -64,13 +84,26 @@ def near_copies():
             number += 1
     rows += [(number + k, t) for k, t in enumerate([rows[0][1], rows[0][1].upper(), rows[5][1].replace(" ", "\n  "), "", "", None, None, "one", "ONE", "one two", "a b c d e f", "a b c d e f", "x " * 4000])]
     rows += [rows[3], (rows[3][0], "repeated id, another text"), (None, rows[4][1])]
+    for script in UNSPACED_SCRIPTS:
+        original = rng.choices(script, k=300)
+        for k in range(4):
+            letters = list(original)
+            for _ in range(3 * k):
+                letters[rng.randrange(300)] = rng.choice(script)
+            rows.append((number + 100, "".join(letters[:150]) + " Latin, word " + "".join(letters[150:])))
+            number += 1
     return rows
 
 
-@pytest.mark.parametrize("paired, block", [(40, 256), (2, 16)])
-def test_near_duplicates(docs, near_copies, monkeypatch, paired, block):
+#: Characters of scripts that put no blanks between words.
+UNSPACED_SCRIPTS = ["".join(map(chr, range(a, a + n))) for a, n in ((0x4E00, 400), (0x3041, 80), (0x0E01, 46), (0x1780, 35), (0x20000, 300))]
+
+
+@pytest.mark.parametrize("paired, block, least", [(40, 256, 64), (2, 16, 64), (2, 2048, 3)])
+def test_near_duplicates(docs, near_copies, monkeypatch, paired, block, least):
     monkeypatch.setattr(ngram_jaccard, "PAIRED", paired)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(ngram_jaccard, "LEAST_TEXTS", least)
     got = ngram_jaccard.groups(docs(near_copies)).collect()
     wanted = brute_groups(near_copies)
     expected = sorted([(near_copies[k][0], *v) for k, v in wanted.items()])
@@ -97,12 +130,25 @@ def test_pruning_keeps_pairs_above_the_threshold():
     assert set(zip(range(60), range(60))) <= set(zip(a.tolist(), b.tolist()))
 
 
-def test_common_counts_are_those_of_sets():
+def test_common_counts_of_differences_are_those_of_sets():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(25)]
+    pivot = np.unique(rng.integers(0, 4000, 300).astype(np.uint64))
+    sets = [pivot]
+    for k in range(24):
+        if k % 3:
+            own = np.union1d(rng.choice(pivot, len(pivot) - 5 * k, replace=False), rng.integers(0, 4000, 4 * k).astype(np.uint64))
+        else:
+            own = np.unique(rng.integers(0, 4000, rng.integers(1, 300)).astype(np.uint64))
+        sets.append(own)
+    near, keys, drops, shared = zip(*(ngram_jaccard.difference(own, pivot) for own in sets))
+    assert sum(near) == 17 and len(keys[0]) == 0
+    made = ngram_jaccard.Sets(np.asarray(near), list(keys), np.asarray(drops), np.asarray(list(map(len, sets))), np.asarray(shared), len(pivot))
     a, b = np.triu_indices(25, 1)
     wanted = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
-    assert ngram_jaccard._common_counts(sets, sets, a, b, width=64).tolist() == wanted
+    assert made.common(a, b).tolist() == wanted
+    assert made.common(a[:30], b[:30]).tolist() == wanted[:30]
+    base = made.common(a, b) - made._few(a, b)
+    assert (base + made._many(a, b, width=64)).tolist() == wanted
 
 
 def test_components(shipped):
@@ -131,7 +177,7 @@ def brute_spans(rows, n):
     """{(id, text): numbers of the words that go}"""
     seen, out = {}, {}
     for doc, text in sorted({(d, t) for d, t in rows if d is not None and t}, key=lambda r: (r[0], rows.index(r))):
-        words = text.lower().split()
+        words = brute_words(text)
         for k in range(len(words) - n + 1):
             key = tuple(words[k : k + n])
             if key in seen:
@@ -155,6 +201,10 @@ def passages():
         rows.append((k, text.upper() if k % 9 == 4 else text.replace(" ", "  \n", 3)))
     rows += [(50, None), (51, ""), (52, "tick tock " * 200), (53, rows[3][1]), (54, " ".join(shared[1])), (55, "13 " * 70), (56, "ab" * 30_000)]
     rows += [rows[7], (None, rows[8][1])]
+    for k, script in enumerate(UNSPACED_SCRIPTS):
+        shared = "".join(rng.choices(script, k=55))
+        for doc in range(3):
+            rows.append((100 + 3 * k + doc, "".join(rng.choices(script, k=rng.randrange(30))) + shared[: 20 + doc % 2] + " " * (doc % 2) + shared[20 + doc % 2 :] + " Latin " + "".join(rng.choices(script, k=40))))
     return rows
 
 
@@ -178,7 +228,7 @@ def test_repeated_passages(docs, passages):
             assert text in [t for d, t in passages if d == doc]
     for doc, text in texts:
         olds = [t for d, t in passages if d == doc]
-        assert any((text is None and t is None) or (t is not None and text is not None and text.split() == [w for k, w in enumerate(t.split()) if k not in wanted.get((doc, t), set())]) for t in olds)
+        assert any((text is None and t is None) or (t is not None and text is not None and brute_words(text) == [w for k, w in enumerate(brute_words(t)) if k not in wanted.get((doc, t), set())]) for t in olds)
     assert substring_dedup.dedup(docs([])).collect() == []
 
 
@@ -372,7 +422,7 @@ def test_pipeline(shipped, tmp_path, near_copies, passages):
     gone = brute_spans(sorted(second.items()), 50)
     for r in stages[2].collect():
         old = second[r.doc_id]
-        assert r.text.split() == [w for k, w in enumerate(old.split()) if k not in gone.get((r.doc_id, old), set())]
+        assert brute_words(r.text) == [w for k, w in enumerate(brute_words(old)) if k not in gone.get((r.doc_id, old), set())]
         assert r.n_chars == len(r.text)
     assert all(s.columns == ["doc_id", "text", "lang", "source", "n_chars"] for s in stages[:3])
     assert {r.doc_id for r in stages[3].collect()} == keep

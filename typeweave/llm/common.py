@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeweave.functions.shipping import ship
 
-__all__ = ["SpanHasher", "free_shuffles", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "rows_of", "shared_dir", "ship", "slices", "staged", "word_bounds"]
+__all__ = ["SpanHasher", "clear", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "rows_of", "shared_dir", "ship", "slices", "staged", "word_bounds", "word_places"]
 
 #: Rows of an Arrow batch that are worked on at a time, so that long texts stay within memory.
 SLICE_ROWS = 256
@@ -27,54 +28,68 @@ _M64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir; where that is unset, a local master gets a temporary
+    It is spark.checkpoint.dir; where that is unset, a master of one process gets a temporary
     folder of its own and any other master is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="typeweave-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/typeweave/{name}-{uuid.uuid4().hex}"
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/typeweave/{spark.sparkContext.applicationId}"
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files that no frame needs any more.
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    It does so when the driver's JVM finds their owners unreachable. The first collection is for
-    what Python let go of, which the JVM learns a moment later; the second finds it gone.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.4)
-    spark.sparkContext._jvm.System.gc()
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Within it, Spark deletes the shuffle files of an execution when that has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage.
 
-    The shuffle files behind df are no longer needed then, and are freed.
+    The shuffle files of the write are deleted with its end. The table stays until release() or
+    clear(), for what is made of it reads it when it is run.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    free_shuffles(spark)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._typeweave_path = path
     return made
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes what staged() wrote, once no other frame needs it."""
     for df in frames:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._typeweave_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._typeweave_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; for when its results are written or taken."""
+    _delete(spark, _own_folder(spark))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -170,6 +185,33 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
 
 
+#: Scripts that put no blanks between words. Each of their characters is a word of its own.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_UNSPACED = regex.compile(f"([{UNSPACED}])")
+_WORD_PART = regex.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
+
+
 def normal_words(text: str | None) -> bytes:
-    """Lower-cased words parted by single blanks, in UTF-8; nothing for a null text."""
-    return " ".join(text.lower().split()).encode("utf-8", "surrogatepass") if text else b""
+    """Lower-cased words parted by single blanks, in UTF-8; nothing for a null text.
+
+    Words end at white space; each character of a script without blanks is a word.
+    """
+    if not text:
+        return b""
+    data = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    if data and np.frombuffer(data, np.uint8).max() >= 0xE0:  # such scripts begin at U+0E00
+        text = data.decode("utf-8", "surrogatepass")
+        if _UNSPACED.search(text):
+            data = " ".join(_UNSPACED.sub(r" \1 ", text).split()).encode("utf-8", "surrogatepass")
+    return data
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """First character and end of each word that normal_words() makes of a text."""
+    places, at = [], 0
+    unspaced = _UNSPACED.search(text) is not None
+    for word in text.split():
+        at = text.index(word, at)
+        places += [(at + m.start(), at + m.end()) for m in _WORD_PART.finditer(word)] if unspaced else [(at, at + len(word))]
+        at += len(word)
+    return places

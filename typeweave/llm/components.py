@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from typeweave.llm.common import redealt, release, staged
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u goes to the smallest of u and its neighbours."""
@@ -31,18 +29,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every id in edges(a, b); a component is named by its smallest id.
 
-    Edges of equal or null ends add nothing; repeated edges count once.
+    Edges of equal or null ends add nothing; repeated edges count once. The round that changes no
+    edge is the last, however many there are before.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     sign, before = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         mark = now.agg(F.count("*"), sign).collect()[0]
         if mark == before or not mark[0]:
             break
         before, last = mark, now
         now = staged(_small_star(_large_star(now)), "stars")
         release(last)
-    else:
-        raise RuntimeError(f"the components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))

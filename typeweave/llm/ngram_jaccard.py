@@ -1,18 +1,21 @@
 """Operator 1: n-gram Jaccard join with Bayesian candidate pruning.
 
-Documents are compared by the sets of their n-grams of words (lower case, split at white space;
-fewer than n words are one n-gram). Two different texts are linked where the Jaccard similarity
-of their sets reaches a threshold.
+Documents are compared by the sets of their n-grams of words (lower case, split at white space; each
+character of a script without blanks is a word; fewer than n words are one n-gram). Two different
+texts are linked where the Jaccard similarity of their sets reaches a threshold.
 
 1. A sketch of MinHash values is made of each text; equal texts become one class.
 2. Classes that agree in a band of values are candidates. Pairs of small buckets are listed;
    pruning compares their values a few at a time and drops a pair when the posterior probability
    of reaching the threshold falls below TOLERANCE. Buckets of many classes are never paired:
    their members are tied to one of them instead.
-3. Ties and remaining pairs give groups, inside which alone a link can be. The texts of a group
-   come together in blocks of bounded size, each two blocks in one unit; a unit prunes all its
-   pairs in the same way and verifies the rest exactly on the sets.
-4. Units give, for each text, its number of links and one tie of a spanning forest, so a group of
+3. Ties and remaining pairs give groups, inside which alone a link can be. A group is dealt into
+   blocks, each two of which are a unit. Sketches alone, of 128 bytes, go through all units, which
+   prune their pairs in the same way; only classes that a unit leaves a partner go on in it.
+4. These are verified exactly, on sets that are written as differences from the set of one class of
+   their group where that is shorter: near copies are sent and compared by the few n-grams in
+   which they differ, and no text is sent more than once.
+5. Units give, for each text, its number of links and one tie of a spanning forest, so a group of
    m texts gives no m*m rows, but every link is counted.
 
 The chance that a pair at the threshold shares no band is about 5e-8; above it, less.
@@ -24,6 +27,8 @@ ids and rows are documents each; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from math import comb
 
 import numpy as np
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, mix64, normal_words, redealt, release, slices, staged, word_bounds
+from typeweave.llm.common import UNSPACED, SpanHasher, mix64, normal_words, redealt, release, slices, staged, word_bounds
 from typeweave.llm.components import components
 
 WORDS = 5
@@ -43,9 +48,11 @@ CHECKS = (16, 32, 64, 96, 128)
 TOLERANCE = 1e-6
 #: Classes of a bucket that are paired at most; larger buckets are tied.
 PAIRED = 40
-#: Texts, and bytes of text, of a block, about.
-BLOCK_TEXTS = 256
+#: Classes, and bytes of their differences, of a block at most, about.
+BLOCK_TEXTS = 2048
 BLOCK_BYTES = 8 << 20
+#: Below that, a group has this many blocks, of so many classes at least: many units of one size share tasks evenly.
+SPREAD_BLOCKS, LEAST_TEXTS = 24, 64
 
 _RNG = np.random.Generator(np.random.PCG64(98))
 _A = _RNG.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -128,35 +135,76 @@ def surviving_pairs(left: np.ndarray, right: np.ndarray, threshold: float, same:
     return a[alive], b[alive]
 
 
-def linked_pairs(sets_a: list[np.ndarray], sets_b: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (a, b) of sets reach the threshold, exactly."""
-    sizes_a, sizes_b = (np.asarray(list(map(len, s)), np.int64) for s in (sets_a, sets_b))
-    if len(a) <= 64:
-        common = np.asarray([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    else:
-        common = _common_counts(sets_a, sets_b, a, b)
-    union = sizes_a[a] + sizes_b[b] - common
-    return common >= threshold * union - 1e-9
-
-
-def _common_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int = 8192) -> np.ndarray:
-    """Sizes of intersections by products of 0/1 matrices, a range of the n-grams at a time."""
-    used_a, used_b = np.unique(a), np.unique(b)
-    own = [sets_a[i] for i in used_a.tolist()], [sets_b[j] for j in used_b.tolist()]
-    shared = np.intersect1d(np.unique(np.concatenate(own[0])), np.unique(np.concatenate(own[1])), assume_unique=True)
-    counts = np.zeros((len(used_a), len(used_b)), np.float32)
-    for at in range(0, len(shared), width):
-        part = shared[at : at + width]
-        sides = []
-        for sets in own:
-            made = np.zeros((len(sets), len(part)), np.float32)
-            for row, values in enumerate(sets):
-                place = np.searchsorted(part, values)
-                place[place == len(part)] = 0
-                made[row, place[part[place] == values]] = 1
-            sides.append(made)
-        counts += sides[0] @ sides[1].T
-    return np.rint(counts[np.searchsorted(used_a, a), np.searchsorted(used_b, b)]).astype(np.int64)
+def difference(own: np.ndarray, pivot: np.ndarray) -> tuple[bool, np.ndarray, int, int]:
+    """(near, keys, drops, shared): a set written by another one, if that is shorter, else as it is.
+
+    Near sets are the pivot without the last drops keys and with the others; shared is the number
+    of n-grams that both have.
+    """
+    shared = len(np.intersect1d(own, pivot, assume_unique=True))
+    if len(own) + len(pivot) - 2 * shared >= len(own):
+        return False, own, 0, shared
+    drops = np.setdiff1d(pivot, own, assume_unique=True)
+    return True, np.concatenate([np.setdiff1d(own, pivot, assume_unique=True), drops]), len(drops), shared
+
+
+@dataclass
+class Sets:
+    """Sets of one group as differences from its pivot's set of pivot_size n-grams."""
+
+    near: np.ndarray
+    keys: list[np.ndarray]
+    drops: np.ndarray
+    sizes: np.ndarray
+    shared: np.ndarray
+    pivot_size: int
+
+    def signs(self, k: int) -> np.ndarray:
+        made = np.ones(len(self.keys[k]), np.float32)
+        made[len(made) - int(self.drops[k]) :] = -1
+        return made
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the pairs (a, b).
+
+        What two sets share is what their pivot parts share, corrected by the keys: one that both
+        add or both drop counts 1, one that a near set drops and a whole set has counts -1.
+        """
+        both = self.near[a].astype(np.int64) + self.near[b]
+        base = np.where(both == 2, self.shared[a] + self.shared[b] - self.pivot_size, 0)
+        base = np.where(both == 1, np.where(self.near[a], self.shared[b], self.shared[a]), base)
+        return base + (self._few(a, b) if len(a) <= 64 else self._many(a, b))
+
+    def _few(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            _, x, y = np.intersect1d(self.keys[i], self.keys[j], assume_unique=True, return_indices=True)
+            out.append(int(self.signs(i)[x] @ self.signs(j)[y]))
+        return np.asarray(out, np.int64)
+
+    def _many(self, a: np.ndarray, b: np.ndarray, width: int = 8192) -> np.ndarray:
+        """By products of matrices of 1, -1 and 0, a range of the keys at a time."""
+        sides = [np.unique(x) for x in (a, b)]
+        shared = np.intersect1d(*(np.unique(np.concatenate([self.keys[k] for k in own.tolist()])) for own in sides), assume_unique=True)
+        counts = np.zeros((len(sides[0]), len(sides[1])))
+        for at in range(0, len(shared), width):
+            part = shared[at : at + width]
+            made = []
+            for own in sides:
+                matrix = np.zeros((len(own), len(part)), np.float32)
+                for row, k in enumerate(own.tolist()):
+                    place = np.searchsorted(part, self.keys[k])
+                    place[place == len(part)] = 0
+                    there = part[place] == self.keys[k]
+                    matrix[row, place[there]] = self.signs(k)[there]
+                made.append(matrix)
+            counts += made[0] @ made[1].T
+        return np.rint(counts[np.searchsorted(sides[0], a), np.searchsorted(sides[1], b)]).astype(np.int64)
+
+    def linked(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the pairs (a, b) reach the threshold, exactly."""
+        common = self.common(a, b)
+        return common >= threshold * (self.sizes[a] + self.sizes[b] - common) - 1e-9
 
 
 def sketch(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -210,26 +258,8 @@ def candidate_groups(reps: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def _unit_rows(rows: list[int], side: list[int], sigs: list[bytes], texts: list[str], n: int, threshold: float) -> list[tuple[int, int, int]]:
-    """(row, links, root) of the classes of a unit that have links in it.
-
-    side tells the block: 0 or 1 of a unit of two blocks, 2 of a unit of one.
-    """
-    same = side[0] == 2
-    left = [k for k, s in enumerate(side) if s != 1]
-    right = left if same else [k for k, s in enumerate(side) if s == 1]
-    if not right or len(left) + len(right) < 2:
-        return []
-    values = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, VALUES)
-    a, b = surviving_pairs(values[left], values[right], threshold, same)
-    if not len(a):
-        return []
-    left, right = np.asarray(left), np.asarray(right)
-    sets: list[np.ndarray] = [np.empty(0, np.uint64)] * len(rows)
-    for k in np.unique(np.concatenate([left[a], right[b]])).tolist():
-        sets[k] = ngram_hashes(texts[k], n)
-    good = linked_pairs([sets[k] for k in left], [sets[k] for k in right], a, b, threshold)
-    x, y = left[a[good]], right[b[good]]
+def spanning(rows: list[int], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, links, root) of the rows that the links (x, y), by place, connect."""
     links = np.bincount(np.concatenate([x, y]), minlength=len(rows))
     root = list(range(len(rows)))
 
@@ -246,38 +276,124 @@ def _unit_rows(rows: list[int], side: list[int], sigs: list[bytes], texts: list[
     return [(rows[k], int(links[k]), rows[find(k)]) for k in np.flatnonzero(links).tolist()]
 
 
-def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Rows (row, links, root) for members(row, component, sig, text) of candidate groups."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum(F.length("text").cast("bigint")).alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_BYTES)).cast("int")
-    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "row", "sig", "text"
-    )
-    # a unit (x, x) holds one block; (x, y) holds both
-    dealt = units.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "row")
+def unit_pairs(side: list[int], sigs: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a unit, by place, that survive pruning.
+
+    side tells the block: 0 or 1 of a unit of two blocks, 2 of a unit of one.
+    """
+    side = np.asarray(side)
+    same = bool(side[0] == 2)
+    left = np.flatnonzero(side != 1)
+    right = left if same else np.flatnonzero(side == 1)
+    if not len(right) or not len(left):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    values = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, VALUES)
+    a, b = surviving_pairs(values[left], values[right], threshold, same)
+    return left[a], right[b]
+
+
+def in_units(dealt: DataFrame, work: Callable[..., list[tuple]], names: list[str]) -> DataFrame:
+    """Rows of long columns that work gives for the columns behind (component, x, y) of each unit."""
+    width = len(dealt.columns)
 
     def run(batches):
-        key, columns, out = None, ([], [], [], []), []
+        key, columns, out = None, [[] for _ in range(width - 3)], []
         for part in slices(batches):
-            component, x, y, side, row, sig, text = (c.to_pylist() for c in part.columns)
+            own = [c.to_pylist() for c in part.columns]
             for k in range(part.num_rows):
-                own = component[k], x[k], y[k]
-                if own != key:
+                unit = own[0][k], own[1][k], own[2][k]
+                if unit != key:
                     if columns[0]:
-                        out += _unit_rows(columns[0], columns[1], columns[2], columns[3], n, threshold)
-                    key, columns = own, ([], [], [], [])
-                for to, value in zip(columns, (row[k], side[k], sig[k], text[k]), strict=True):
-                    to.append(value)
+                        out += work(key, *columns)
+                    key, columns = unit, [[] for _ in range(width - 3)]
+                for to, values in zip(columns, own[3:], strict=True):
+                    to.append(values[k])
             if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
                 out = []
         if columns[0]:
-            out += _unit_rows(columns[0], columns[1], columns[2], columns[3], n, threshold)
+            out += work(key, *columns)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+    ordered = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "row")
+    return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
-    return dealt.mapInArrow(run, "row bigint, links bigint, root bigint")
+
+def with_sets(members: DataFrame, n: int) -> DataFrame:
+    """Rows (row, component, sig, size, near, keys, drops, shared, pivot_size) for members(row, component, sig, text).
+
+    The pivot of a group is its class with the smallest row. Members are dealt into shares of
+    LEAST_TEXTS or more, each of which is led by the pivot's set, so no group comes together.
+    """
+    kinds = "row bigint, component bigint, sig binary, size bigint, near boolean, keys binary, drops bigint, shared bigint, pivot_size bigint"
+    names = [kind.split()[0] for kind in kinds.split(", ")]
+
+    def hashed(batches):
+        for part in slices(batches):
+            own = [ngram_hashes(t, n) for t in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([h.tobytes() for h in own], pa.binary())], ["row", "component", "sig", "hashes"])
+
+    def written(batches):
+        pivot = np.empty(0, np.uint64)
+        for part in slices(batches):
+            keep, sizes, near, keys, drops, shared, pivots = [], [], [], [], [], [], []
+            for k, (leads, data) in enumerate(zip(part.column(2).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                own = np.frombuffer(data, np.uint64)
+                if leads:
+                    pivot = own
+                    continue
+                got = difference(own, pivot)
+                keep.append(k)
+                sizes.append(len(own))
+                pivots.append(len(pivot))
+                for to, value in zip((near, keys, drops, shared), got, strict=True):
+                    to.append(value)
+            rest = part.take(pa.array(keep, pa.int32()))
+            made = [pa.array(sizes, pa.int64()), pa.array(near, pa.bool_()), pa.array([k.tobytes() for k in keys], pa.binary()), *(pa.array(c, pa.int64()) for c in (drops, shared, pivots))]
+            yield pa.RecordBatch.from_arrays([rest.column(3), rest.column(0), rest.column(4), *made], names)
+
+    sets = staged(members.select("row", "component", "sig", "text").mapInArrow(hashed, "row bigint, component bigint, sig binary, hashes binary"), "sets")
+    groups = sets.groupBy("component").agg(F.min("row").alias("pivot"), F.ceil(F.count("*") / (8 * LEAST_TEXTS)).cast("int").alias("shares"))
+    dealt = sets.join(redealt(groups, "component"), "component")
+    own = dealt.select("component", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("leads"), "row", "sig", "hashes")
+    pivots = sets.join(groups.select(F.col("pivot").alias("row"), "shares"), "row")
+    led = pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("leads"), "row", "sig", "hashes")
+    ordered = own.unionByName(led).repartition("component", "share").sortWithinPartitions("component", "share", F.col("leads").desc(), "row")
+    out = staged(ordered.mapInArrow(written, kinds), "differences")
+    release(sets)
+    return out
+
+
+def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Rows (row, links, root) for members(row, component, sig, text) of candidate groups."""
+    sets = with_sets(members, n)
+    sizes = sets.groupBy("component").agg(F.count("*").alias("texts"), F.sum(F.length("keys").cast("bigint")).alias("bytes"))
+    even = F.least(F.lit(SPREAD_BLOCKS), F.ceil(F.col("texts") / LEAST_TEXTS))
+    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES), even).cast("int")
+    blocked = sizes.select("component", blocks.alias("blocks"))
+    placed = sets.select("row", "component", "sig").join(redealt(blocked, "component"), "component").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    # a unit (x, x) holds one block; (x, y) holds both
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "row", "sig"
+    )
+
+    def partners(unit, side, rows, sigs):
+        left = np.unique(np.concatenate(unit_pairs(side, sigs, threshold)))
+        return [(*unit, side[k], rows[k]) for k in left.tolist()]
+
+    def links(unit, side, rows, sigs, size, near, keys, drops, shared, pivot_size):
+        a, b = unit_pairs(side, sigs, threshold)
+        if not len(a):
+            return []
+        own = Sets(np.asarray(near), [np.frombuffer(k, np.uint64) for k in keys], np.asarray(drops), np.asarray(size), np.asarray(shared), pivot_size[0])
+        good = own.linked(a, b, threshold)
+        return spanning(rows, a[good], b[good]) if good.any() else []
+
+    alive = staged(in_units(units, partners, ["component", "x", "y", "side", "row"]), "partners")
+    columns = ["sig", "size", "near", "keys", "drops", "shared", "pivot_size"]
+    dealt = alive.join(sets.select("row", *columns), "row").select("component", "x", "y", "side", "row", *columns)
+    return in_units(dealt, links, ["row", "links", "root"])
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -323,7 +439,7 @@ ORACLES = {
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE c AS (
   SELECT text, min(doc_id) AS first_id, count(*) AS n_copies,
-         list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w
+         list_filter(string_split_regex(regexp_replace(lower(text), '([UNSPACED])', ' \1 ', 'g'), '\s+'), lambda x: x <> '') AS w
   FROM documents WHERE text IS NOT NULL GROUP BY text),
 s AS (
   SELECT DISTINCT first_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -340,5 +456,5 @@ d AS (SELECT a AS first_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies
 FROM documents JOIN c USING (text) JOIN k USING (first_id) LEFT JOIN d USING (first_id)
 UNION ALL SELECT doc_id, doc_id, 0, 1 FROM documents WHERE text IS NULL
-"""
+""".replace("UNSPACED", UNSPACED)
 }

@@ -15,7 +15,7 @@ such end there is no other: an end that a run reaching outside gave would have a
 of the two. Equal windows hence have the same chunks there.
 
 Cases: null and empty texts have no chunks and stay as they are; white space and case don't count
-in a comparison; repeats within one text count as well; repeated ids are told apart by their
+in a comparison; each character of a script without blanks is a word; repeats within one text count as well; repeated ids are told apart by their
 texts' hashes, and equal rows of one id are one document; rows with a null id are left alone;
 an empty table gives an empty result; other columns stay as they are.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import SpanHasher, list_array, normal_words, redealt, release, rows_of, slices, staged, word_bounds
+from typeweave.llm.common import UNSPACED, SpanHasher, list_array, normal_words, redealt, release, rows_of, slices, staged, word_bounds, word_places
 
 #: A repeated passage has at least this many words.
 MIN_WORDS = 50
@@ -220,11 +220,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def cut_text(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
     """text without the words of spans, and the spans in characters; white space around stays once."""
-    bounds, at = [], 0
-    for word in text.split():
-        at = text.index(word, at)
-        bounds.append((at, at + len(word)))
-        at += len(word)
+    bounds = word_places(text)
     pieces, removed, last = [], [], 0
     for span in sorted(spans, key=lambda s: s["first_word"]):
         a = bounds[span["first_word"]][0]
@@ -263,3 +259,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substring_dedup": query}
+ORACLES = {
+    "op6_substring_dedup": r"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '([UNSPACED])', ' \1 ', 'g'), '\s+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, unnest(range(len(w) - 49)) AS pos,
+             unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i+49], ' ')))) AS h
+      FROM t WHERE len(w) >= 50),
+n AS (SELECT doc_id, pos, row_number() OVER e AS place, first_value(doc_id) OVER e AS first_id
+      FROM g WINDOW e AS (PARTITION BY h ORDER BY doc_id, pos)),
+b AS (SELECT doc_id, pos, first_id, pos - lag(pos, 1, -999) OVER (PARTITION BY doc_id ORDER BY pos) > 50 AS begins
+      FROM n WHERE place > 1),
+s AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM b)
+SELECT doc_id, min(pos)::INTEGER AS first_word, (max(pos) - min(pos) + 50)::INTEGER AS words, arg_min(first_id, pos) AS first_doc_id
+FROM s GROUP BY doc_id, span
+""".replace("UNSPACED", UNSPACED)
+}
