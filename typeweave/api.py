@@ -17,7 +17,7 @@ from typeweave.plans.inference import Constant, bound, infer
 from typeweave.plans.match import Matcher, Rows, column
 from typeweave.plans.patterns import PathPattern, parse_path
 
-#: Rows of bindings that a graph on the driver takes; with more, it moves into tables.
+#: Rows of bindings that a graph on the driver takes; with more, it moves into tables, where the same rules hold.
 LOCAL_ROWS = 10_000
 
 
@@ -348,15 +348,9 @@ class Query:
                 else:
                     bindings[name] = ("edge", store.terms[store.edge_type((value["start"], value["end"]))])
             created.append(infer(path, bindings, store.constants))
-        kinds: dict[str, str] = {}
-        out = []
-        for got in created:
-            for k, t, term in got.nodes:
-                store.add_node(t, term, dict(node_props[k]))
-            for k, term in got.edges:
-                store.add_edge(term, dict(edge_props[k]))
-            out.append(got.bindings)
-            kinds |= {name: kind for name, (kind, _) in got.bindings.items()}
+        store.add([n for got in created for n in got.nodes], [e for got in created for e in got.edges], node_props, edge_props)
+        out = [got.bindings for got in created]
+        kinds = {name: kind for own in out for name, (kind, _) in own.items()}
         return self._from_bindings(out, kinds or rows.kinds)
 
     def _from_bindings(self, found: list[dict], kinds: dict[str, str]) -> Rows:

@@ -97,8 +97,8 @@ def _plain(t: Term) -> list:
 
 
 def write_term(t: Term) -> str:
-    """A term with the types of its base terms, as JSON."""
-    return json.dumps(_plain(t), ensure_ascii=False)
+    """A term with the types of its base terms, as JSON without blanks between."""
+    return json.dumps(_plain(t), ensure_ascii=False, separators=(",", ":"))
 
 
 def _build(plain: list) -> Term:

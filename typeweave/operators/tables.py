@@ -2,48 +2,39 @@
 
 A change writes what is new, or the keys of what goes, to the shared folder; the table is then the
 old one with that added or taken away. A table with MAX_CHANGES of these is written anew. The store
-points to new tables only once they are written, so a change that fails leaves the graph as it was.
+points to new tables only once all of them are written and terms have spread, so a change that fails
+leaves the graph as it was.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from typeweave.functions.errors import MissingError
-from typeweave.functions.shipping import ship
-from typeweave.functions.types import apply, read_term, read_type, subterms, subtypes, type_uid
 from typeweave.functions.values import CELL, PROPS, props_of
-from typeweave.operators.frames import EDGES, NODES, TERMS, TYPES, Frames, term_row, type_row
-from typeweave.plans.inference import Constant, infer, infer_term
+from typeweave.operators.creation import Lookups, compiled
+from typeweave.operators.frames import EDGE_COLUMNS, NODES, OF_EDGE, TERM_COLUMNS, TERMS, TYPE_COLUMNS, Frames
+from typeweave.plans.inference import CONSTANT, Constant, Ref, TermRef
 from typeweave.plans.match import Rows, column
 from typeweave.plans.patterns import PathPattern
 
-MAX_ROUNDS = 200
 MAX_CHANGES = 8
 
 
-def _columns(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(" map<")[0].split(", ")]
-
-
-TYPE_COLUMNS, TERM_COLUMNS, EDGE_COLUMNS = _columns(TYPES), _columns(TERMS), _columns(EDGES)
-_STRUCT = lambda columns: pa.struct([(c, pa.string()) for c in columns])
-_STRUCT_DDL = lambda columns: "struct<" + ",".join(f"{c}:string" for c in columns) + ">"
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local master may do without the setting."""
+    """The folder in spark.checkpoint.dir; a master of one process may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="typeweave-graph-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -73,14 +64,23 @@ class TableStore:
     """A graph of any size."""
 
     def __init__(self, spark: SparkSession, constants: dict[str, Constant], frames: Frames):
-        ship(spark)
         self.spark, self.constants, self._now = spark, constants, frames
         self._changes: dict[str, int] = {}
 
     def frames(self) -> Frames:
         return self._now
 
-    def commit(self, **tables: DataFrame) -> None:
+    @contextmanager
+    def change(self) -> Iterator[None]:
+        """What fails within it has changed nothing."""
+        before = self._now, dict(self._changes)
+        try:
+            yield
+        except BaseException:
+            self._now, self._changes = before
+            raise
+
+    def take(self, **tables: DataFrame) -> None:
         """Takes tables that are plans over the old ones and what was saved."""
         for name in tables:
             self._changes[name] = self._changes.get(name, 0) + 1
@@ -88,95 +88,37 @@ class TableStore:
                 tables[name], self._changes[name] = saved(tables[name], name), 0
         self._now = replace(self._now, **tables)
 
-    def added(self, name: str, new: DataFrame, key: list[str], replacing: bool = False) -> DataFrame:
-        """A table with new rows; replacing takes rows of the same keys away, else these stay."""
+    def with_new(self, name: str, new: DataFrame, key: list[str]) -> None:
+        """Adds those of new rows whose key isn't there."""
         old = getattr(self._now, name)
-        if not replacing:
-            return old.unionByName(saved(new.join(old.select(*key), key, "left_anti").select(*old.columns), name))
-        new = saved(new.select(*old.columns), name)
+        self.take(**{name: old.unionByName(saved(new.join(old.select(*key), key, "left_anti").select(*old.columns), name))})
+
+    def with_edges(self, new: DataFrame) -> None:
+        """Adds saved edges in place of those of the same ends."""
+        key, old = ["start_uid", "end_uid"], self._now.edges
         if not new.join(old.select(*key), key, "left_semi").isEmpty():
             old = old.join(new.select(*key), key, "left_anti").select(*old.columns)
-        return old.unionByName(new)
+        self.take(edges=old.unionByName(new.select(*old.columns)))
 
     # CREATE
 
-    def bindings(self, path: PathPattern, rows: Rows) -> DataFrame:
-        """rows with a column b of what inference needs: JSON-free strings of bound types and terms."""
-        types, terms = self._now.types, self._now.terms
-        df = rows.df if rows.df is not None else self.spark.range(1).select(F.lit(0).alias("_seed"))
-        for name, kind in rows.kinds.items():
-            uid = F.col(column(name))
-            if kind == "edge":
-                ends = self._now.edges.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), F.col("type_uid").alias("_k"))
-                df = df.join(ends, (uid["start"] == F.col("_s")) & (uid["end"] == F.col("_e"))).drop("_s", "_e")
-                uid = F.col("_k")
-            if kind in ("type", "node"):
-                df = df.join(types.select(F.col("uid").alias("_u"), F.col("repr").alias(column(name, "t_"))), uid == F.col("_u"), "left").drop("_u")
-            if kind in ("term", "node", "edge"):
-                df = df.join(terms.select(F.col("type_uid").alias("_u"), F.col("full").alias(column(name, "x_"))), uid == F.col("_u"), "left").drop("_u", "_k")
-        return df
-
     def create(self, path: PathPattern, rows: Rows) -> Rows:
         """Adds what a path gives for each row; the rows with the new bindings."""
-        constants = self.constants
-        inputs = [(column(name, prefix), name, kind) for name, kind in rows.kinds.items() for prefix, kinds in (("t_", ("type", "node")), ("x_", ("term", "node", "edge"))) if kind in kinds]
-        df = self.bindings(path, rows)
-        kept = [c for c in df.columns if c.startswith("v_")]
-        named = {p.var: kind for kind, ps in (("node", path.nodes), ("edge", path.edges)) for p in ps if p.var and p.var not in rows.kinds}
-        sent = df.select(F.struct(*kept, F.lit(0).alias("_")).alias("kept"), F.struct(*(F.col(c) for c, _, _ in inputs), F.lit(0).alias("_")).alias("known"))
-        made = "nodes array<struct<k:int,uid:string,full:string>>, edges array<struct<k:int,s:string,e:string,full:string>>, types array<" + _STRUCT_DDL(TYPE_COLUMNS) + ">, terms array<" + _STRUCT_DDL(TERM_COLUMNS) + ">, made map<string,string>"
-        schema = T.StructType([sent.schema["kept"], *self.spark.createDataFrame([], made).schema])
-
-        def run(batches):
-            kinds = [pa.list_(pa.struct([("k", pa.int32()), ("uid", pa.string()), ("full", pa.string())])), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.string()), ("e", pa.string()), ("full", pa.string())])), pa.list_(_STRUCT(TYPE_COLUMNS)), pa.list_(_STRUCT(TERM_COLUMNS)), pa.map_(pa.string(), pa.string())]
-            for batch in batches:
-                out = ([], [], [], [], [])
-                for known in batch.column(1).to_pylist():
-                    own = {}
-                    for at, name, kind in inputs:
-                        value = known[at]
-                        if kind == "node":
-                            t, term = own.get(name, ("node", (None, None)))[1]
-                            own[name] = ("node", (read_type(value), term) if at[0] == "t" else (t, read_term(value) if value else None))
-                        else:
-                            own[name] = (kind, read_type(value) if kind == "type" else read_term(value))
-                    got = infer(path, own, constants)
-                    types, terms = {}, {}
-                    for _, t, term in got.nodes:
-                        types |= {type_uid(x): x for x in subtypes(t)}
-                        terms |= {type_uid(x[-1]): x for x in subterms(term)} if term else {}
-                    for _, term in got.edges:
-                        terms |= {type_uid(x[-1]): x for x in subterms(term)}
-                    for term in terms.values():
-                        types |= {type_uid(x): x for x in subtypes(term[-1])}
-                    made = {}
-                    for name, (kind, value) in got.bindings.items():
-                        if name not in own:
-                            made[name] = type_uid(value) if kind == "type" else type_uid(value[-1]) if kind == "term" else type_uid(value[0]) if kind == "node" else f"{type_uid(value[-1][0])},{type_uid(value[-1][1])}"
-                    full = lambda term: term_row(term)[-1] if term else None
-                    out[0].append([{"k": k, "uid": type_uid(t), "full": full(term)} for k, t, term in got.nodes])
-                    out[1].append([{"k": k, "s": type_uid(term[-1][0]), "e": type_uid(term[-1][1]), "full": full(term)} for k, term in got.edges])
-                    out[2].append([dict(zip(TYPE_COLUMNS, type_row(t), strict=True)) for t in types.values()])
-                    out[3].append([dict(zip(TERM_COLUMNS, term_row(t), strict=True)) for t in terms.values()])
-                    out[4].append(list(made.items()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["kept", "nodes", "edges", "types", "terms", "made"])
-
-        found = saved(sent.mapInArrow(run, schema), "create")
-        self.add(
-            found.select(F.explode("types").alias("x")).select("x.*"),
-            found.select(F.explode("terms").alias("x")).select("x.*"),
-            self.with_props(found.select(F.explode("nodes").alias("x")).select("x.*"), path.nodes),
-            self.with_props(found.select(F.explode("edges").alias("x")).select("x.*"), path.edges),
-        )
-        captures = sorted({k for p in [*path.nodes, *path.edges] if p.type for k in _captures(p.type)} - set(rows.kinds) - set(named))
-        variables = sorted({k for p in [*path.nodes, *path.edges] if p.term for k in _variables(p.term)} - set(rows.kinds) - set(named) - set(captures))
-        new = []
-        for name, kind in named.items():
-            uid = F.col("made")[name]
-            new.append((uid if kind == "node" else F.struct(F.split(uid, ",")[0].alias("start"), F.split(uid, ",")[1].alias("end"))).alias(column(name)))
-        new += [F.col("made")[name].alias(column(name)) for name in [*captures, *variables]]
-        df = found.select(*(F.col("kept")[c].alias(c) for c in kept), *new, *([] if kept or new else [F.lit(0).alias("_seed")]))
-        return Rows(df, rows.kinds | named | dict.fromkeys(captures, "type") | dict.fromkeys(variables, "term"))
+        work, new, errors, there = compiled(path, rows.kinds, self.constants)
+        df = rows.df if rows.df is not None else self.spark.range(1).select(F.lit(0).alias("_seed"))
+        if not any(there.values()) and len(errors) == 1:  # no row can do anything but fail
+            rows.fail(errors[0])
+        with self.change():
+            try:
+                found = saved(work(df, self._now), "create")
+            except Exception as failed:
+                for error in errors:
+                    if str(error) in str(failed):
+                        raise error from None
+                raise
+            self.add(found, path, there)
+        names = [column(name) for name in [*rows.kinds, *new]]
+        return Rows(found.select(*names, *([] if names else [F.lit(0).alias("_seed")])), rows.kinds | new)
 
     @staticmethod
     def with_props(df: DataFrame, patterns: list) -> DataFrame:
@@ -186,91 +128,118 @@ class TableStore:
                 props = F.when(F.col("k") == k, literal_props(p.props)).otherwise(props)
         return df.withColumn("props", props)
 
-    def add(self, types: DataFrame, terms: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
+    def add(self, found: DataFrame, path: PathPattern, there: dict[str, bool]) -> None:
         """Merges candidates: nodes keep what they have, edges take what is new; then terms spread.
 
-        Among candidates of one node the first of the pattern counts, of one edge the last; ties go
-        to the smaller term.
+        Of several terms of one type, that of an edge is taken, of the last in the pattern; else one that is
+        there; else that of a node, of the first in the pattern; else a part of these. Ties go to
+        the smaller term as written.
         """
+        each = lambda name: found.select(F.explode(name).alias("x")).select("x.*")
         now = self._now
-        edge_terms = edges.groupBy("s", "e").agg(F.max(F.struct("k", "full")).alias("top"), F.max_by("props", F.struct("k", "full")).alias("props"))
-        by_full = terms.select(*TERM_COLUMNS).dropDuplicates(["full"])
-        chosen = saved(edge_terms.select(F.col("top.full").alias("full")).join(by_full, "full").select(*TERM_COLUMNS).dropDuplicates(["type_uid"]), "chosen")
-        node_fulls = nodes.where("full is not null").groupBy("uid").agg(F.min(F.struct("k", "full")).alias("top")).select(F.col("top.full").alias("full"))
-        first = node_fulls.join(by_full, "full").select(*TERM_COLUMNS).dropDuplicates(["type_uid"])
-        rest = by_full.join(first.select("type_uid"), "type_uid", "left_anti").groupBy("type_uid").agg(F.min(F.struct(*TERM_COLUMNS)).alias("m")).select("m.*")
-        fresh = saved(first.unionByName(rest).join(chosen.select("type_uid"), "type_uid", "left_anti").join(now.terms.select("type_uid"), "type_uid", "left_anti"), "fresh")
-        arrows = edge_terms.select(F.col("s").alias("start_uid"), F.col("e").alias("end_uid"), "top", "props")
-        added = arrows.join(by_full.select(F.col("full").alias("_f"), "type_uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name")), F.col("top.full") == F.col("_f")).select(*EDGE_COLUMNS)
-        touched = fresh.select("type_uid").join(nodes.select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi")
-        starts = saved(added.select("start_uid", "end_uid"), "added")
-        self.commit(
-            types=self.added("types", types.dropDuplicates(["uid"]), ["uid"]),
-            terms=self.added("terms", chosen, ["type_uid"], replacing=True).unionByName(fresh.select(*TERM_COLUMNS)),
-            nodes=self.added("nodes", nodes.groupBy("uid").agg(F.min_by("props", "k").alias("props")), ["uid"]),
-            edges=self.added("edges", added, ["start_uid", "end_uid"], replacing=True),
-        )
-        self.spread(touched, starts)
+        if there["types"]:
+            self.with_new("types", each("types").dropDuplicates(["uid"]), ["uid"])
+        fresh = None
+        if there["terms"]:
+            best = each("terms").groupBy("type_uid").agg(F.min(F.struct("rank", "place", "full", *(c for c in TERM_COLUMNS if c not in ("full", "type_uid")))).alias("best"))
+            best = best.select("type_uid", "best.*")
+            old = now.terms.select("type_uid", F.lit(True).alias("old"))
+            new = saved(best.join(old, "type_uid", "left").where((F.col("rank") == OF_EDGE) | F.col("old").isNull()).select(*TERM_COLUMNS, "old"), "terms")
+            terms, replaced = now.terms, new.where("old").select("type_uid")
+            if there["edges"] and not replaced.isEmpty():
+                terms = terms.join(replaced, "type_uid", "left_anti").select(*TERM_COLUMNS)
+            self.take(terms=terms.unionByName(new.select(*TERM_COLUMNS)))
+            fresh = new.where("old IS NULL")
+        if there["nodes"]:
+            nodes = self.with_props(each("nodes"), path.nodes)
+            self.with_new("nodes", nodes.groupBy("uid").agg(F.min_by("props", "k").alias("props")), ["uid"])
+        fresh = fresh.join(each("nodes").select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi") if there["nodes"] and fresh is not None else None
+        added = None
+        if there["edges"]:
+            first = F.struct((-F.col("k")).alias("place"), "full")
+            edges = self.with_props(each("edges"), path.edges).groupBy("s", "e").agg(F.min(F.struct((-F.col("k")).alias("place"), "full", "type_uid", "t_kind", "t_name")).alias("best"), F.min_by("props", first).alias("props"))
+            edges = edges.select(F.col("s").alias("start_uid"), F.col("e").alias("end_uid"), "best.type_uid", "best.t_kind", "best.t_name", "props")
+            added = saved(edges.select(*EDGE_COLUMNS), "edges")
+            self.with_edges(added)
+        self.spread(self.with_types(fresh) if fresh is not None else None, added)
 
     # propagation
 
-    def spread(self, fresh: DataFrame, added: DataFrame) -> None:
-        """Carries terms on until nothing changes.
+    def with_types(self, fresh: DataFrame) -> DataFrame:
+        """Fresh terms with the ends of their types, where these are arrows; saved."""
+        ends = self._now.types.select(F.col("uid").alias("type_uid"), "left_uid", "right_uid")
+        return saved(fresh.select(*TERM_COLUMNS).join(ends, "type_uid"), "fresh")
+
+    def spread(self, fresh: DataFrame | None, added: DataFrame | None) -> None:
+        """Carries terms on, in rounds, until nothing changes.
 
-        fresh(type_uid) are nodes that just got a term; added(start_uid, end_uid) are new edges. A
-        node with a term gives one to each node that its edges lead to and that has none; a fresh
-        term of an arrow type is an edge of its own.
+        fresh(*terms, left_uid, right_uid) are nodes that just got a term, added new edges. A fresh
+        term of an arrow type is an edge of its own, whose missing ends are made; then a node that has
+        a term gives one to each node that its edges lead to and that has none, the smallest (start,
+        function, argument) of several. Rounds join what is new with the edges; terms are taken at the end.
         """
-        for _ in range(MAX_ROUNDS):
-            now = self._now
-            arrows = now.types.where("kind = 'arr'").join(fresh.withColumnRenamed("type_uid", "uid"), "uid").join(now.terms.withColumnRenamed("type_uid", "uid").select("uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name")), "uid")
-            own = arrows.select(F.col("left_uid").alias("start_uid"), F.col("right_uid").alias("end_uid"), F.col("uid").alias("type_uid"), "t_kind", "t_name", literal_props({}).alias("props"))
-            if not own.isEmpty():
-                own = saved(own, "arrows")
-                ends = own.select(F.explode(F.array("start_uid", "end_uid")).alias("uid")).distinct().join(now.nodes.select("uid"), "uid", "left_anti")
-                given = saved(self.constant_terms(ends), "given")
-                more = saved(given.where("full is not null").select(*TERM_COLUMNS).join(now.terms.select("type_uid"), "type_uid", "left_anti").select(*TERM_COLUMNS), "terms")
-                self.commit(nodes=now.nodes.unionByName(given.select("uid", literal_props({}).alias("props"))), edges=self.added("edges", own, ["start_uid", "end_uid"], replacing=True), terms=now.terms.unionByName(more))
-                now, fresh, added = self._now, fresh.unionByName(more.select("type_uid")), added.unionByName(own.select("start_uid", "end_uid"))
-            has = now.terms.select(F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"))
-            lacks = now.terms.select(F.col("type_uid").alias("end_uid"))
-            from_fresh = now.edges.join(fresh.select(F.col("type_uid").alias("start_uid")).distinct(), "start_uid", "left_semi").select("start_uid", "end_uid", "type_uid")
-            from_added = now.edges.join(added.distinct(), ["start_uid", "end_uid"], "left_semi").select("start_uid", "end_uid", "type_uid")
-            steps = from_fresh.unionByName(from_added).join(lacks, "end_uid", "left_anti").join(has, "start_uid").join(now.terms.select("type_uid", F.col("full").alias("function")), "type_uid")
-            chosen = steps.groupBy("end_uid").agg(F.min(F.struct("start_uid", "function", "argument")).alias("m")).select("m.function", "m.argument")
-            got = saved(self.applied(chosen), "applied")
-            if got.isEmpty():
-                return
-            self.commit(terms=now.terms.unionByName(got))
-            fresh, added = got.select("type_uid"), self.spark.createDataFrame([], "start_uid string, end_uid string")
-        raise RuntimeError(f"terms did not settle in {MAX_ROUNDS} rounds")
+        known, got_all = self._now.terms, []
+
+        def learned(new: DataFrame) -> None:
+            nonlocal known
+            known = known.unionByName(new.select(*TERM_COLUMNS))
+            got_all.append(new)
+
+        while fresh is not None or added is not None:
+            sources = []
+            arrows = None if fresh is None else fresh.where("left_uid IS NOT NULL")
+            if arrows is not None and not arrows.isEmpty():
+                own = arrows.select(F.col("left_uid").alias("start_uid"), F.col("right_uid").alias("end_uid"), "type_uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), literal_props({}).alias("props"))
+                own = saved(own.dropDuplicates(["start_uid", "end_uid"]), "arrows")
+                ends = own.select(F.explode(F.array("start_uid", "end_uid")).alias("uid")).distinct().join(self._now.nodes.select("uid"), "uid", "left_anti")
+                ends = saved(ends, "ends")
+                made = self.with_types(self.constant_terms(ends).join(known.select("type_uid"), "type_uid", "left_anti"))
+                self.take(nodes=self._now.nodes.unionByName(ends.select("uid", literal_props({}).alias("props"))))
+                self.with_edges(own)
+                if not made.isEmpty():
+                    learned(made)
+                    fresh = fresh.unionByName(made)
+                else:
+                    made = None
+                added = own if added is None else added.unionByName(own)
+            else:
+                made = None
+            edges = self._now.edges.select("start_uid", "end_uid", "type_uid")
+            if fresh is not None:
+                starts = fresh.select(F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"), F.col("repr").alias("shown"))
+                sources.append(edges.join(starts, "start_uid"))
+            if added is not None:
+                starts = known.select(F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"), F.col("repr").alias("shown"))
+                sources.append(added.select("start_uid", "end_uid", "type_uid").join(starts, "start_uid"))
+            steps = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1]).distinct()
+            steps = steps.join(known.select(F.col("type_uid").alias("end_uid")), "end_uid", "left_anti")
+            steps = steps.join(known.select("type_uid", F.col("full").alias("function"), F.col("repr").alias("f_shown")), "type_uid")
+            best = steps.groupBy("end_uid").agg(F.min(F.struct("start_uid", "function", "argument", "type_uid", "f_shown", "shown")).alias("m")).select("end_uid", "m.*")
+            shown = F.concat(F.lit("("), F.col("f_shown"), F.lit(" "), F.col("shown"), F.lit(")"))
+            full = F.concat(F.lit("["), F.col("function"), F.lit(","), F.col("argument"), F.lit("]"))
+            terms = best.select(F.col("end_uid").alias("type_uid"), F.lit("app").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("type_uid").alias("function_uid"), F.col("start_uid").alias("argument_uid"), shown.alias("repr"), full.alias("full"))
+            got = self.with_types(terms)
+            fresh = None if got.isEmpty() else got
+            if fresh is not None:
+                learned(got)
+                fresh = got if made is None else got.unionByName(made)
+            elif made is not None:
+                fresh = made
+            added = None
+        if got_all:
+            new = got_all[0] if len(got_all) == 1 else saved(_union([g.select(*TERM_COLUMNS) for g in got_all]), "terms")
+            self.take(terms=self._now.terms.unionByName(new.select(*TERM_COLUMNS)))
 
     def constant_terms(self, ends: DataFrame) -> DataFrame:
-        """Rows (uid, *terms) of types, with the term of the first constant that fits, or nulls."""
-        constants = self.constants
-
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for shown in batch.column(1).to_pylist():
-                    term = infer_term(read_type(shown), constants)
-                    rows.append(term_row(term) if term else (None,) * len(TERM_COLUMNS))
-                columns = list(zip(*rows, strict=True)) or [[]] * len(TERM_COLUMNS)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], ["uid", *TERM_COLUMNS])
-
-        return ends.join(self._now.types.select("uid", "repr"), "uid").mapInArrow(run, "uid string, " + TERMS)
-
-    @staticmethod
-    def applied(chosen: DataFrame) -> DataFrame:
-        """The rows of terms that functions give for arguments."""
-
-        def run(batches):
-            for batch in batches:
-                rows = [term_row(apply(read_term(f), read_term(x))) for f, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                columns = list(zip(*rows, strict=True)) or [[]] * len(TERM_COLUMNS)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], TERM_COLUMNS)
-
-        return chosen.mapInArrow(run, TERMS)
+        """Terms of the first constants that the types of ends(uid) fit; types that fit none have no row."""
+        at, ref = Lookups({"end": "type"}, self.constants), Ref(("end",))
+        term = TermRef(CONSTANT, ref)
+        rows: dict = {}
+        at.term_rows(term, OF_EDGE, 0, rows, {})
+        (_, _, full, uid, kind, *rest), fits = rows[term, OF_EDGE, 0], at.constant(ref).isNotNull()
+        named = dict(zip([c for c in TERM_COLUMNS if c != "full"], [uid, kind, *rest], strict=True)) | {"full": full}
+        df = at.joined(ends.select(F.col("uid").alias(column("end"))), self._now)
+        return df.where(fits).select(*(c.cast("string").alias(name) for name, c in named.items()))
 
     # REMOVE and SET
 
@@ -278,12 +247,12 @@ class TableStore:
         """Removes nodes(uid) with their edges, or edges(start_uid, end_uid)."""
         now, keys = self._now, saved(keys.distinct(), "removed")
         if kind == "edge":
-            self.commit(edges=now.edges.join(keys, ["start_uid", "end_uid"], "left_anti").select(*now.edges.columns))
+            self.take(edges=now.edges.join(keys, ["start_uid", "end_uid"], "left_anti").select(*now.edges.columns))
             return
         edges = now.edges
         for end in ("start_uid", "end_uid"):
             edges = edges.join(keys.withColumnRenamed("uid", end), end, "left_anti").select(*now.edges.columns)
-        self.commit(nodes=now.nodes.join(keys, "uid", "left_anti").select(*now.nodes.columns), edges=edges)
+        self.take(nodes=now.nodes.join(keys, "uid", "left_anti").select(*now.nodes.columns), edges=edges)
 
     def set_props(self, kind: str, changes: DataFrame, overwrite: bool) -> None:
         """Takes the property maps in changes(*key, new); of several for one element, one is taken."""
@@ -296,19 +265,14 @@ class TableStore:
         old, new = F.col("props"), F.col("new")
         merged = new if overwrite else F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
         out = table.join(changes, key, "left").withColumn("props", F.when(new.isNull(), old).otherwise(merged)).select(*table.columns)
-        self.commit(**{"nodes" if kind == "node" else "edges": out})
-
-
-def _captures(schema: tuple) -> list[str]:
-    if schema[0] == "arrow":
-        return _captures(schema[1]) + _captures(schema[2])
-    return [*_captures(schema[2]), schema[1]] if schema[0] == "capture" else []
+        self.take(**{"nodes" if kind == "node" else "edges": out})
 
 
-def _variables(schema: tuple) -> list[str]:
-    if schema[0] == "app":
-        return _variables(schema[1]) + _variables(schema[2])
-    return [schema[1]] if schema[0] == "name" else []
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
 
 
-__all__ = ["NODES", "TableStore", "checkpoint_dir", "literal_props", "saved"]
+__all__ = ["NODES", "TERMS", "TYPE_COLUMNS", "TableStore", "checkpoint_dir", "literal_props", "saved"]
