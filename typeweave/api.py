@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeweave.functions.errors import MissingError, PatternError
 from typeweave.functions.types import show_term, show_type, type_uid
-from typeweave.functions.values import plain_props, props_of, show_props
-from typeweave.operators.frames import NODES, Frames, LocalStore, local_frame
+from typeweave.functions.values import PROPS, plain_props, props_of, show_props, shown_props
+from typeweave.operators.frames import Frames, LocalStore, local_frame
 from typeweave.operators.tables import TableStore, literal_props
 from typeweave.plans.inference import Constant, bound, infer
-from typeweave.plans.match import Matcher, Rows, column
+from typeweave.plans.match import SHOWN, Matcher, Rows, column, edge_shown
 from typeweave.plans.patterns import PathPattern, parse_path
 
 #: Rows of bindings that a graph on the driver takes; with more, it moves into tables, where the same rules hold.
@@ -145,7 +145,7 @@ class Graph:
             for uid, own in made.items():
                 self.store.set_props("node", uid, own, overwrite)
         elif made:
-            changes = local_frame(self.spark, [(uid, list(own.items())) for uid, own in made.items()], NODES)
+            changes = local_frame(self.spark, [(uid, list(own.items())) for uid, own in made.items()], f"uid string, props {PROPS}")
             self.store.set_props("node", changes.withColumnRenamed("props", "new"), overwrite)
 
     def set_edge_properties(self, values: dict[tuple[str, str], dict[str, Any]], overwrite: bool = True) -> None:
@@ -158,7 +158,7 @@ class Graph:
             for edge, own in made.items():
                 self.store.set_props("edge", edge, own, overwrite)
         elif made:
-            changes = local_frame(self.spark, [(*edge, list(own.items())) for edge, own in made.items()], "start_uid string, end_uid string, " + NODES.split(", ", 1)[1])
+            changes = local_frame(self.spark, [(*edge, list(own.items())) for edge, own in made.items()], f"start_uid string, end_uid string, props {PROPS}")
             self.store.set_props("edge", changes.withColumnRenamed("props", "new"), overwrite)
 
     @staticmethod
@@ -183,16 +183,26 @@ class Graph:
                 own = (types if kind == "type" else terms).select(F.col("uid").alias("_u"), F.struct("uid", "repr").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             elif kind == "node":
-                own = frames.nodes.join(types, "uid", "left").withColumnRenamed("repr", "type").join(terms, "uid", "left").withColumnRenamed("repr", "term")
+                own = frames.nodes.join(terms, "uid", "left").withColumnRenamed("repr", "term")
                 own = own.select(F.col("uid").alias("_u"), F.struct("uid", "type", "term", "props").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             else:
-                t, x = (d.withColumnRenamed("uid", "type_uid") for d in (types, terms))
-                own = frames.edges.join(t, "type_uid", "left").withColumnRenamed("repr", "type").join(x, "type_uid", "left").withColumnRenamed("repr", "term")
-                own = own.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), F.struct("start_uid", "end_uid", "type_uid", "type", "term", "props").alias(column(name, "r_")))
-                df = df.join(own, (v["start"] == F.col("_s")) & (v["end"] == F.col("_e")), "left").drop("_s", "_e")
+                if column(name, SHOWN) not in df.columns:
+                    own = frames.edges.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), edge_shown().alias(column(name, SHOWN)))
+                    df = df.join(own, (v["start"] == F.col("_s")) & (v["end"] == F.col("_e")), "left").drop("_s", "_e")
+                shown = F.col(column(name, SHOWN))
+                df = df.withColumn(column(name, "r_"), F.struct(v["start"].alias("start_uid"), v["end"].alias("end_uid"), *(shown[f].alias(f) for f in ("type_uid", "type", "term", "props"))))
         return df.select(*(F.col(column(name, "r_")).alias(name) for name in names)) if names else df.select(F.lit(0).alias("_"))
 
+    @staticmethod
+    def shown(df: DataFrame, name: str) -> Column:
+        """The string of an element from its struct in table()."""
+        x, fields = F.col(name), df.schema[name].dataType.fieldNames()
+        if "props" not in fields:
+            return x["repr"]
+        begin = "Edge(" if "start_uid" in fields else "Node("
+        return F.concat(F.lit(begin), x["type"], F.lit(":"), F.coalesce(x["term"], F.lit("")), F.lit(" "), shown_props(x["props"]), F.lit(")"))
+
     def elements(self, rows: Rows, names: tuple[str, ...]) -> Iterator[dict[str, Element]]:
         if isinstance(self.store, LocalStore):
             columns = [F.col(column(n)) for n in names] or [F.lit(0)]
@@ -287,6 +297,11 @@ class Query:
             raise MissingError("there is no such variable")
         return self.graph.table(rows, variables)
 
+    def to_strings(self, *variables: str) -> DataFrame:
+        """The elements as str() shows them, lazily: a string column for each variable."""
+        df = self.to_table(*variables)
+        return df.select(*(self.graph.shown(df, name).alias(name) for name in variables))
+
     @staticmethod
     def checked(rows: Rows, names: tuple[str, ...]) -> Rows | None:
         """rows, or None if a variable is missing and there are no rows."""
@@ -391,7 +406,7 @@ class Query:
                     store.set_props(kind, key["uid"] if kind == "node" else tuple(key), props, overwrite)
             else:
                 store.set_props(kind, keys.withColumn("new", literal_props(plain)), overwrite)
-        return rows
+        return rows.bare()
 
     def _remove(self, rows: Rows, names: tuple[str, ...]) -> Rows:
         for name in names:
@@ -404,5 +419,5 @@ class Query:
                     store.remove_node(key["uid"]) if kind == "node" else store.remove_edge(tuple(key))
             else:
                 store.remove(kind, keys)
-            rows = Rows(rows.df.drop(column(name)), {n: k for n, k in rows.kinds.items() if n != name})
+            rows = Rows(rows.df.drop(column(name)), {n: k for n, k in rows.kinds.items() if n != name}).bare()
         return rows

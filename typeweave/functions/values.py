@@ -1,7 +1,7 @@
 """Property values: cells of a property map, and their comparison as expressions.
 
 A cell is a struct with a tag t: i, d, b, s for numbers, truth values and strings; n for null;
-l and m for lists and dicts, whose canonical JSON stands in j; o for any other Python object,
+l and m for lists and dicts, whose canonical JSON stands in j and whose string in s; o for any other Python object,
 which is kept on the driver under the number in i and equals itself only.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from typing import Any
 
 from pyspark.sql import Column
@@ -59,6 +60,7 @@ def cell(value: Any) -> dict:
     made["t"] = tag
     if tag in "lm":
         made["j"] = json.dumps({tag: plain}, ensure_ascii=False, sort_keys=True)
+        made["s"] = show_value(value)
     elif tag == "d":
         made["d"] = value
     elif tag == "o" or tag == "i":
@@ -108,6 +110,21 @@ def show_props(values: dict[str, Any]) -> str:
     return "{" + ", ".join(f"{k}: {show_value(values[k])}" for k in sorted(values)) + "}"
 
 
+#: A float in canonical JSON. Quotes within strings are escaped there, so no string holds this.
+_FLOAT = r'\{"d": "([^"]*)"\}'
+_NO_FLOAT = '{"d": ""}'
+
+
+def _nested_equals(j: Column, wanted: str) -> Column:
+    """Whether canonical JSON is the wanted one, floats within EPSILON."""
+    floats = [float(x) for x in re.findall(_FLOAT, wanted)]
+    if not floats:
+        return j == F.lit(wanted)
+    own = F.transform(F.regexp_extract_all(j, F.lit(_FLOAT), F.lit(1)), lambda x: x.cast("double"))
+    near = F.zip_with(own, F.array(*map(F.lit, floats)), lambda a, b: F.coalesce(~F.isnan(a) & ~F.isnan(b) & (F.abs(a - b) < F.lit(EPSILON)), F.lit(False)))
+    return (F.regexp_replace(j, _FLOAT, _NO_FLOAT) == F.lit(re.sub(_FLOAT, _NO_FLOAT, wanted))) & F.forall(near, lambda x: x)
+
+
 def cell_equals(c: Column, value: Any) -> Column:
     """Whether a cell equals a Python value: of the same kind, floats within EPSILON, null never.
 
@@ -120,7 +137,7 @@ def cell_equals(c: Column, value: Any) -> Column:
     if tag == "d":
         same = F.lit(False) if math.isnan(value) else F.abs(c["d"] - F.lit(value)) < F.lit(EPSILON)
     elif tag in "lm":
-        same = c["j"] == F.lit(own["j"])
+        same = _nested_equals(c["j"], own["j"])
     else:
         field = "i" if tag in "io" else tag
         same = c[field] == F.lit(own[field])
@@ -137,6 +154,20 @@ def matches(props: Column, wanted: dict[str, Any], missing: bool) -> Column:
     return out
 
 
+def shown_cell(c: Column) -> Column:
+    """What show_value() gives, from a cell; floats as Spark shows them."""
+    quoted = F.to_json(F.array(c["s"]))
+    shown = F.when(c["t"] == "s", F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    shown = shown.when(c["t"] == "b", c["b"].cast("string")).when(c["t"] == "d", c["d"].cast("string"))
+    return F.coalesce(shown.when(c["t"].isin("l", "m"), c["s"]).when(c["t"].isin("i", "o"), c["i"].cast("string")), F.lit("()"))
+
+
+def shown_props(props: Column) -> Column:
+    """What show_props() gives, from a property map."""
+    pairs = F.transform(F.array_sort(F.map_keys(props)), lambda k: F.concat(k, F.lit(": "), shown_cell(props[k])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def cell_column(value: Column, tag: str) -> Column:
     """A cell from a column of long (i), double (d), boolean (b) or string (s) values; null has tag n."""
     kinds = {"i": "bigint", "d": "double", "b": "boolean", "s": "string"}

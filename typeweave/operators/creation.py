@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from typeweave.functions.types import arrow_uid, show_type, type_uid
 from typeweave.operators.frames import OF_EDGE, OF_NODE, PART, TERM_COLUMNS, TYPE_COLUMNS, Frames
 from typeweave.plans.inference import CONSTANT, Answers, Bindings, Constant, Created, Ref, TermRef, has_refs, infer, outcomes, type_of
-from typeweave.plans.match import column
+from typeweave.plans.match import REPR, column
 from typeweave.plans.patterns import PathPattern
 
-NODE = "struct<k:int,uid:string,full:string>"
-EDGE = "struct<k:int,s:string,e:string,type_uid:string,full:string,t_kind:string,t_name:string>"
+NODE = "struct<k:int,uid:string,type:string,full:string>"
+EDGE = "struct<k:int,s:string,e:string,type_uid:string,full:string,t_kind:string,t_name:string,start_type:string,end_type:string,term:string>"
 TYPE = "struct<" + ",".join(f"{c}:string" for c in TYPE_COLUMNS) + ">"
 #: Terms come with the rank and place by which candidates of one type are taken.
 TERM = "struct<rank:int,place:int,full:string," + ",".join(f"{c}:string" for c in TERM_COLUMNS if c != "full") + ">"
@@ -33,15 +33,23 @@ class Lookups:
     def __init__(self, kinds: dict[str, str], constants: dict[str, Constant]):
         self.kinds, self.constants = kinds, constants
         self.wanted: dict[tuple[str, tuple[str, ...]], Column] = {}
+        self.parts: set[tuple[str, tuple[str, ...]]] = set()
+        self.hashed: dict[tuple, Column] = {}
 
     def joined(self, df: DataFrame, frames: Frames) -> DataFrame:
-        """df with what was wanted so far."""
-        for number, ((table, path), uid) in enumerate(self.wanted.items()):
+        """df with what was wanted so far; what rows hold themselves need not be looked up."""
+        carried = set(df.columns)
+        for (table, path), uid in self.wanted.items():
             found = frames.types if table == "types" else frames.terms
             key = "uid" if table == "types" else "type_uid"
             columns = TYPE_COLUMNS if table == "types" else TERM_COLUMNS
+            if table == "types" and len(path) == 1 and column(path[0], REPR) in carried and (table, path) not in self.parts:
+                df = df.withColumn(self.name(table, path, "repr"), F.col(column(path[0], REPR)))
+                continue
             found = found.select(*(F.col(c).alias(self.name(table, path, c)) for c in columns))
             df = df.join(found, uid == F.col(self.name(table, path, key)), "left")
+        for number, uid in enumerate(self.hashed.values()):
+            df = df.withColumn(f"_uid{number}", uid)
         return df
 
     def name(self, table: str, path: tuple[str, ...], field: str) -> str:
@@ -50,6 +58,8 @@ class Lookups:
     def field(self, table: str, path: tuple[str, ...], field: str) -> Column:
         if (table, path) not in self.wanted:
             self.wanted[table, path] = self.place(path)
+        if field != "repr":
+            self.parts.add((table, path))
         return F.col(self.name(table, path, field))
 
     def place(self, path: tuple[str, ...]) -> Column:
@@ -66,7 +76,12 @@ class Lookups:
     def uid(self, t: Any) -> Column:
         if isinstance(t, Ref):
             return self.place(t.path)
-        return arrow_uid(self.uid(t[0]), self.uid(t[1])) if has_refs(t) else F.lit(type_uid(t))
+        if not has_refs(t):
+            return F.lit(type_uid(t))
+        if t not in self.hashed:
+            own = arrow_uid(self.uid(t[0]), self.uid(t[1]))
+            self.hashed[t] = own
+        return F.col(f"_uid{list(self.hashed).index(t)}")
 
     def shown(self, t: Any) -> Column:
         if isinstance(t, Ref):
@@ -175,6 +190,20 @@ def _captures(schema: tuple) -> list[str]:
     return [*_captures(schema[2]), schema[1]] if schema[0] == "capture" else []
 
 
+def merged(found: list[tuple[dict[tuple, bool], Any]]) -> list[tuple[dict[tuple, bool], Any]]:
+    """Outcomes without the questions whose answer makes no difference."""
+    same = lambda a, b: str(a) == str(b) if isinstance(a, Exception) and type(a) is type(b) else a == b
+    found = list(found)
+    for a, (known, got) in enumerate(found):
+        for b, (other, result) in enumerate(found[:a]):
+            differ = [q for q in known if other.get(q) is (not known[q])]
+            if known.keys() == other.keys() and len(differ) == 1 and same(got, result):
+                del found[a]
+                found[b] = ({q: v for q, v in other.items() if q not in differ}, result)
+                return merged(found)
+    return found
+
+
 def held_bindings(kinds: dict[str, str], used: set[str], answers: Answers) -> Bindings:
     """What rows of variables of some kinds hold; nodes may have a term."""
     out: Bindings = {}
@@ -204,12 +233,12 @@ def _outputs(got: Created, at: Lookups) -> dict[str, Column]:
     nodes, edges = [], []
     for k, t, term in got.nodes:
         at.type_rows(t, types)
-        nodes.append([F.lit(k), at.uid(t), none if term is None else at.whole(term, "full")])
+        nodes.append([F.lit(k), at.uid(t), at.shown(t), none if term is None else at.whole(term, "full")])
         if term is not None:
             at.term_rows(term, OF_NODE, k, terms, types)
     for k, term, (left, right) in got.edges:
         at.type_rows((left, right), types)
-        edges.append([F.lit(k), at.uid(left), at.uid(right), at.uid((left, right)), at.whole(term, "full"), at.kind(term), at.base_name(term) if isinstance(term, TermRef) or term[0] == "base" else none])
+        edges.append([F.lit(k), at.uid(left), at.uid(right), at.uid((left, right)), at.whole(term, "full"), at.kind(term), at.base_name(term) if isinstance(term, TermRef) or term[0] == "base" else none, at.shown(left), at.shown(right), at.whole(term, "repr")])
         at.term_rows(term, OF_EDGE, -k, terms, types)
     out = {"nodes": _array(nodes, NODE), "edges": _array(edges, EDGE), "types": _array(list(types.values()), TYPE), "terms": _array(list(terms.values()), TERM)}
     ends = {k: sides for k, _, sides in got.edges}
@@ -227,7 +256,7 @@ def _outputs(got: Created, at: Lookups) -> dict[str, Column]:
 def compiled(path: PathPattern, kinds: dict[str, str], constants: dict[str, Constant]) -> tuple[Callable[[DataFrame, Frames], DataFrame], dict[str, str], list[Exception], dict[str, bool]]:
     """(rows to rows with what they add, kinds of the new variables, the errors that rows may have, which outputs may be there)."""
     used = {p.var for p in [*path.nodes, *path.edges] if p.var}
-    found = outcomes(lambda answers: infer(path, held_bindings(kinds, used, answers), constants, answers))
+    found = merged(outcomes(lambda answers: infer(path, held_bindings(kinds, used, answers), constants, answers)))
     at = Lookups(kinds, constants)
     errors = [got for _, got in found if isinstance(got, Exception)]
     new: dict[str, str] = {}
@@ -249,14 +278,15 @@ def compiled(path: PathPattern, kinds: dict[str, str], constants: dict[str, Cons
     ddl |= {column(name): "struct<start:string,end:string>" if kind == "edge" else "string" for name, kind in new.items()}
 
     def run(df: DataFrame, frames: Frames) -> DataFrame:
-        kept = [column(name) for name in kinds]
-        made = []
+        kept, made = [column(name) for name in kinds], []
+        which = F.coalesce(*(F.when(condition, F.lit(number)) for number, (condition, _) in enumerate(branches)))
+        messages = [F.lit(out) if isinstance(out, str) else F.lit(None).cast("string") for _, out in branches]
+        if errors:
+            which = F.when(F.element_at(F.array(*messages), which + 1).isNotNull(), F.raise_error(F.element_at(F.array(*messages), which + 1)).cast("int")).otherwise(which)
         for name in names:
-            cases = F
-            for condition, out in branches:
-                value = F.raise_error(F.lit(out)) if isinstance(out, str) else out.get(name, F.lit(None))
-                cases = cases.when(condition, value.cast(ddl[name]))
+            values = [(number, out[name]) for number, (_, out) in enumerate(branches) if not isinstance(out, str) and name in out]
+            cases = F.coalesce(*(F.when(F.col("_which") == number, value.cast(ddl[name])) for number, value in values)) if len(branches) - len(errors) > 1 or not values else values[0][1].cast(ddl[name])
             made.append(cases.alias(name))
-        return at.joined(df, frames).select(*kept, *made)
+        return at.joined(df, frames).withColumn("_which", which).where("_which IS NOT NULL").select(*kept, *made)
 
     return run, new, errors, there

@@ -48,6 +48,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def present(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame | None:
+    """The keys of new rows that old rows have; None if there are none.
+
+    The new rows are few beside the old ones, so these stand on the side that is not dealt anew
+    where Spark finds the others small enough to send everywhere.
+    """
+    there = saved(old.select(*key).join(new.select(*key).distinct(), key, "left_semi").distinct(), "present")
+    return None if there.isEmpty() else there
+
+
 def literal_props(props: dict | None):
     """A map of cells as a literal."""
     cells = props_of(props or {})
@@ -91,13 +101,16 @@ class TableStore:
     def with_new(self, name: str, new: DataFrame, key: list[str]) -> None:
         """Adds those of new rows whose key isn't there."""
         old = getattr(self._now, name)
-        self.take(**{name: old.unionByName(saved(new.join(old.select(*key), key, "left_anti").select(*old.columns), name))})
+        new = saved(new.select(*old.columns), name)
+        there = present(old, new, key)
+        self.take(**{name: old.unionByName(new if there is None else new.join(there, key, "left_anti").select(*old.columns))})
 
     def with_edges(self, new: DataFrame) -> None:
         """Adds saved edges in place of those of the same ends."""
         key, old = ["start_uid", "end_uid"], self._now.edges
-        if not new.join(old.select(*key), key, "left_semi").isEmpty():
-            old = old.join(new.select(*key), key, "left_anti").select(*old.columns)
+        there = present(old, new, key)
+        if there is not None:
+            old = old.join(there, key, "left_anti").select(*old.columns)
         self.take(edges=old.unionByName(new.select(*old.columns)))
 
     # CREATE
@@ -142,23 +155,26 @@ class TableStore:
         fresh = None
         if there["terms"]:
             best = each("terms").groupBy("type_uid").agg(F.min(F.struct("rank", "place", "full", *(c for c in TERM_COLUMNS if c not in ("full", "type_uid")))).alias("best"))
-            best = best.select("type_uid", "best.*")
-            old = now.terms.select("type_uid", F.lit(True).alias("old"))
-            new = saved(best.join(old, "type_uid", "left").where((F.col("rank") == OF_EDGE) | F.col("old").isNull()).select(*TERM_COLUMNS, "old"), "terms")
-            terms, replaced = now.terms, new.where("old").select("type_uid")
-            if there["edges"] and not replaced.isEmpty():
-                terms = terms.join(replaced, "type_uid", "left_anti").select(*TERM_COLUMNS)
+            best = saved(best.select("type_uid", "best.*"), "terms")
+            known = present(now.terms, best, ["type_uid"])
+            new, terms = best, now.terms
+            if known is not None:
+                new = best.join(known.withColumn("old", F.lit(True)), "type_uid", "left").where((F.col("rank") == OF_EDGE) | F.col("old").isNull())
+                if there["edges"]:
+                    terms = terms.join(best.where(F.col("rank") == OF_EDGE).join(known, "type_uid", "left_semi").select("type_uid"), "type_uid", "left_anti").select(*TERM_COLUMNS)
+                fresh = new.where("old IS NULL")
+            else:
+                fresh = new
             self.take(terms=terms.unionByName(new.select(*TERM_COLUMNS)))
-            fresh = new.where("old IS NULL")
         if there["nodes"]:
             nodes = self.with_props(each("nodes"), path.nodes)
-            self.with_new("nodes", nodes.groupBy("uid").agg(F.min_by("props", "k").alias("props")), ["uid"])
+            self.with_new("nodes", nodes.groupBy("uid").agg(F.min("type").alias("type"), F.min_by("props", "k").alias("props")), ["uid"])
         fresh = fresh.join(each("nodes").select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi") if there["nodes"] and fresh is not None else None
         added = None
         if there["edges"]:
             first = F.struct((-F.col("k")).alias("place"), "full")
-            edges = self.with_props(each("edges"), path.edges).groupBy("s", "e").agg(F.min(F.struct((-F.col("k")).alias("place"), "full", "type_uid", "t_kind", "t_name")).alias("best"), F.min_by("props", first).alias("props"))
-            edges = edges.select(F.col("s").alias("start_uid"), F.col("e").alias("end_uid"), "best.type_uid", "best.t_kind", "best.t_name", "props")
+            edges = self.with_props(each("edges"), path.edges).groupBy("s", "e").agg(F.min(F.struct((-F.col("k")).alias("place"), "full", "type_uid", "t_kind", "t_name", "start_type", "end_type", "term")).alias("best"), F.min_by("props", first).alias("props"))
+            edges = edges.select(F.col("s").alias("start_uid"), F.col("e").alias("end_uid"), "best.*", "props")
             added = saved(edges.select(*EDGE_COLUMNS), "edges")
             self.with_edges(added)
         self.spread(self.with_types(fresh) if fresh is not None else None, added)
@@ -189,12 +205,15 @@ class TableStore:
             sources = []
             arrows = None if fresh is None else fresh.where("left_uid IS NOT NULL")
             if arrows is not None and not arrows.isEmpty():
-                own = arrows.select(F.col("left_uid").alias("start_uid"), F.col("right_uid").alias("end_uid"), "type_uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), literal_props({}).alias("props"))
-                own = saved(own.dropDuplicates(["start_uid", "end_uid"]), "arrows")
-                ends = own.select(F.explode(F.array("start_uid", "end_uid")).alias("uid")).distinct().join(self._now.nodes.select("uid"), "uid", "left_anti")
-                ends = saved(ends, "ends")
+                own = arrows.select(F.col("left_uid").alias("start_uid"), F.col("right_uid").alias("end_uid"), "type_uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("repr").alias("term"), literal_props({}).alias("props"))
+                for end in ("start", "end"):
+                    own = own.join(self._now.types.select(F.col("uid").alias(end + "_uid"), F.col("repr").alias(end + "_type")), end + "_uid")
+                own = saved(own.select(*EDGE_COLUMNS).dropDuplicates(["start_uid", "end_uid"]), "arrows")
+                both = own.select(F.explode(F.array(*(F.struct(F.col(e + "_uid").alias("uid"), F.col(e + "_type").alias("type")) for e in ("start", "end")))).alias("x")).select("x.*").distinct()
+                there = present(self._now.nodes, both, ["uid"])
+                ends = saved(both if there is None else both.join(there, "uid", "left_anti"), "ends")
                 made = self.with_types(self.constant_terms(ends).join(known.select("type_uid"), "type_uid", "left_anti"))
-                self.take(nodes=self._now.nodes.unionByName(ends.select("uid", literal_props({}).alias("props"))))
+                self.take(nodes=self._now.nodes.unionByName(ends.select("uid", "type", literal_props({}).alias("props"))))
                 self.with_edges(own)
                 if not made.isEmpty():
                     learned(made)

@@ -1,7 +1,8 @@
 """MATCH: a path pattern compiled to joins and filters over a graph's tables.
 
 Rows of bindings are a DataFrame with a column v_<name> for each variable: the uid of a type, a
-term (that of its type) or a node, or a struct of the uids of an edge's ends. Schemas without
+term (that of its type) or a node, or a struct of the uids of an edge's ends. Beside it, h:<name> holds what
+shows an edge, as long as nothing has changed the graph since, and r:<name> how a type is shown. Schemas without
 wildcards, captures and bound names are hashed here, so they become comparisons with a literal;
 an edge's type is that of its ends, so its schema is split on them; a node that is reached by an
 edge needs no look-up unless its properties are asked for.
@@ -21,7 +22,10 @@ from typeweave.operators.frames import Frames
 from typeweave.plans.inference import Constant, find_constant
 from typeweave.plans.patterns import EdgePattern, NodePattern, PathPattern
 
-CURSOR = "_cur"
+#: The uid of the type that a path has come to, and how that type is shown.
+CURSOR, CURSOR_REPR = "_cur", "_cur_repr"
+#: What rows hold beside a variable: what shows an edge; how the type of a node, or a type, is shown.
+SHOWN, REPR = "h:", "r:"
 
 
 def column(name: str, prefix: str = "v_") -> str:
@@ -30,6 +34,12 @@ def column(name: str, prefix: str = "v_") -> str:
     return f"{prefix}{name}{capitals}"
 
 
+def edge_shown() -> Column:
+    """What shows an edge, from the columns of the table of edges."""
+    shown = F.concat(F.lit("("), F.col("start_type"), F.lit(" -> "), F.col("end_type"), F.lit(")"))
+    return F.struct("type_uid", shown.alias("type"), "term", "props")
+
+
 @dataclass
 class Rows:
     """Rows of bindings; df is None for the one empty row that a query begins with."""
@@ -37,6 +47,11 @@ class Rows:
     df: DataFrame | None = None
     kinds: dict[str, str] = field(default_factory=dict)
 
+    def bare(self) -> Rows:
+        """The rows without what shows edges, which a change may have made untrue."""
+        hidden = [c for c in self.df.columns if c.startswith(SHOWN)] if self.df is not None else []
+        return replace(self, df=self.df.drop(*hidden)) if hidden else self
+
     def fail(self, error: Exception) -> None:
         """Errors that depend on rows are raised only if there are any."""
         if self.df is None or not self.df.isEmpty():
@@ -84,7 +99,10 @@ class Matcher:
         if name in rows.kinds:
             rows.fail(MissingError(f"the variable {name} is there already"))
             return rows
-        return Rows(rows.df.withColumn(column(name, prefix), F.col(uid)), rows.kinds | {name: kind})
+        df, shown = rows.df.withColumn(column(name, prefix), F.col(uid)).drop(column(name, REPR)), CURSOR_REPR
+        if uid == CURSOR and prefix == "v_" and shown in df.columns:
+            df = df.withColumn(column(name, REPR), F.col(shown))
+        return Rows(df, rows.kinds | {name: kind})
 
     @staticmethod
     def drop(rows: Rows, *columns: str) -> Rows:
@@ -145,11 +163,12 @@ class Matcher:
         """Rows with the cursor on a node of the graph, or on a bound one."""
         if p.var in rows.kinds:
             self.check_kind(rows, p.var, "node")
-            return self.node_filters(replace(rows, df=rows.df.withColumn(CURSOR, F.col(column(p.var)))), p)
+            df, shown = rows.df.withColumn(CURSOR, F.col(column(p.var))), column(p.var, REPR)
+            return self.node_filters(replace(rows, df=df.withColumn(CURSOR_REPR, F.col(shown)) if shown in df.columns else df), p)
         nodes = self.frames.nodes
         if p.props:
             nodes = nodes.where(matches(F.col("props"), p.props, missing=False))
-        nodes = nodes.select(F.col("uid").alias(CURSOR))
+        nodes = nodes.select(F.col("uid").alias(CURSOR), F.col("type").alias(CURSOR_REPR))
         if rows.df is None:
             rows = replace(rows, df=nodes)
         elif p.type and p.type[0] == "name" and rows.kinds.get(p.type[1]) == "type":
@@ -182,17 +201,18 @@ class Matcher:
 
     def edge_table(self, p: EdgePattern, kinds: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
         """The edges that may fit a pattern, from either end, and the names of their columns."""
-        c = {n: self.fresh(n) for n in ("start", "end", "uid", "kind", "name", "near", "far")}
+        c = {n: self.fresh(n) for n in ("start", "end", "start_type", "end_type", "uid", "kind", "name", "shown", "near", "far", "near_type", "far_type")}
         edges = self.frames.edges
         if p.props:
             edges = edges.where(matches(F.col("props"), p.props, missing=not self.strict))
-        edges = edges.select(F.col("start_uid").alias(c["start"]), F.col("end_uid").alias(c["end"]), F.col("type_uid").alias(c["uid"]), F.col("t_kind").alias(c["kind"]), F.col("t_name").alias(c["name"]))
+        edges = edges.select(F.col("start_uid").alias(c["start"]), F.col("end_uid").alias(c["end"]), F.col("type_uid").alias(c["uid"]), F.col("t_kind").alias(c["kind"]), F.col("t_name").alias(c["name"]), edge_shown().alias(c["shown"]), F.col("start_type").alias(c["start_type"]), F.col("end_type").alias(c["end_type"]))
         if p.type and p.type[0] == "name" and p.type[1] not in kinds:
             edges = edges.where(F.lit(False))  # an edge's type is an arrow, never a name
         if p.term and p.term[0] == "const" and p.term[1] in self.constants:
             edges = edges.where((F.col(c["kind"]) == "base") & (F.col(c["name"]) == p.term[1]))
         start, end = F.col(c["start"]), F.col(c["end"])
-        forward, backward = (edges.withColumns({c["near"]: near, c["far"]: far}) for near, far in ((start, end), (end, start)))
+        ends = {side: {c[f"{at}{what}"]: F.col(c[f"{own}{what}"]) for at, own in (("near", side), ("far", other)) for what in ("", "_type")} for side, other in (("start", "end"), ("end", "start"))}
+        forward, backward = (edges.withColumns(ends[side]) for side in ("start", "end"))
         if p.direction == "any":
             return forward.unionByName(backward.where(start != end)), c
         return (forward if p.direction == "forward" else backward), c
@@ -217,7 +237,7 @@ class Matcher:
             if node.type and (t := self.ground(node.type, rows.kinds)) is not None:
                 edges = edges.where(near == F.lit(type_uid(t)))
             df = edges if rows.df is None else rows.df.crossJoin(edges)
-        rows = self.node_filters(replace(rows, df=df.withColumn(CURSOR, near)), node)
+        rows = self.node_filters(replace(rows, df=df.withColumns({CURSOR: near, CURSOR_REPR: F.col(c["near_type"])})), node)
         if node.var:
             rows = self.bind(rows, node.var, "node", CURSOR)
             if node.var == p.var:
@@ -233,15 +253,16 @@ class Matcher:
         return self.edge_filters(replace(rows, df=rows.df.join(edges, condition)), p, c)
 
     def edge_filters(self, rows: Rows, p: EdgePattern, c: dict[str, str]) -> Rows:
-        rows = replace(rows, df=rows.df.withColumn(CURSOR, F.col(c["far"])).drop(c["near"], c["far"]))
+        rows = replace(rows, df=rows.df.withColumns({CURSOR: F.col(c["far"]), CURSOR_REPR: F.col(c["far_type"])}).drop(*(c[n] for n in ("near", "far", "near_type", "far_type"))))
         if p.type:
             rows = self.edge_type(rows, p.type, c["start"], c["end"], c["uid"])
         if p.term:
             rows = self.term_filter(rows, c["uid"], p.term, (c["kind"], c["name"]))
         if p.var and p.var not in rows.kinds:
             ends = F.struct(F.col(c["start"]).alias("start"), F.col(c["end"]).alias("end"))
-            rows = Rows(rows.df.withColumn(column(p.var), ends), rows.kinds | {p.var: "edge"})
-        return self.drop(rows, *(c[n] for n in ("start", "end", "uid", "kind", "name")))
+            made = rows.df.withColumns({column(p.var): ends, column(p.var, SHOWN): F.col(c["shown"])})
+            rows = Rows(made, rows.kinds | {p.var: "edge"})
+        return self.drop(rows, *(c[n] for n in ("start", "end", "start_type", "end_type", "uid", "kind", "name", "shown")))
 
     def edge_type(self, rows: Rows, schema: tuple, start: str, end: str, uid: str) -> Rows:
         if schema[0] == "arrow":
@@ -278,7 +299,7 @@ class Matcher:
             rows = self.first_node(rows, nodes[0])
         for edge, node in zip(edges, nodes[1:], strict=True):
             rows = self.next_node(self.edge(rows, edge), node)
-        return self.drop(rows, CURSOR)
+        return self.drop(rows, CURSOR, CURSOR_REPR)
 
 
 def _binds(schema: tuple) -> bool:

@@ -78,9 +78,9 @@ def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[E
     """A graph over relational tables; edges of a constant T -> U are declared as (S:*) -> (T:*)."""
     node_parts, type_parts, edge_parts, term_parts = [], [], [], []
     for table in nodes:
-        name = _name(table.kind, table.key)
-        node_parts.append(table.df.select(var_uid(name).alias("uid"), props_column(table.df, table.df.columns, kind=table.kind).alias("props")))
-        type_parts.append(table.df.select(var_uid(name).alias("uid"), F.lit("var").alias("kind"), name.alias("name"), _empty("string").alias("left_uid"), _empty("string").alias("right_uid"), name.alias("repr")))
+        name, df = _name(table.kind, table.key), table.df.where(F.col(table.key).isNotNull())
+        node_parts.append(df.select(var_uid(name).alias("uid"), name.alias("type"), props_column(df, df.columns, kind=table.kind).alias("props")))
+        type_parts.append(df.select(var_uid(name).alias("uid"), F.lit("var").alias("kind"), name.alias("name"), _empty("string").alias("left_uid"), _empty("string").alias("right_uid"), name.alias("repr")))
     for table in edges:
         df = table.df.where(F.col(table.start_key).isNotNull() & F.col(table.end_key).isNotNull())
         kept = [c for c in table.df.columns if c not in (table.start_key, table.end_key)] if table.order else []
@@ -90,7 +90,7 @@ def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[E
         start, end = _name(table.start, table.start_key), _name(table.end, table.end_key)
         uid = arrow_uid(var_uid(start), var_uid(end))
         shown = F.concat(F.lit("("), start, F.lit(" -> "), end, F.lit(")"))
-        edge_parts.append(df.select(var_uid(start).alias("start_uid"), var_uid(end).alias("end_uid"), uid.alias("type_uid"), F.lit("base").alias("t_kind"), F.lit(table.constant).alias("t_name"), props_column(df, kept).alias("props")))
+        edge_parts.append(df.select(var_uid(start).alias("start_uid"), var_uid(end).alias("end_uid"), uid.alias("type_uid"), F.lit("base").alias("t_kind"), F.lit(table.constant).alias("t_name"), start.alias("start_type"), end.alias("end_type"), F.lit(table.constant).alias("term"), props_column(df, kept).alias("props")))
         type_parts.append(df.select(uid.alias("uid"), F.lit("arr").alias("kind"), _empty("string").alias("name"), var_uid(start).alias("left_uid"), var_uid(end).alias("right_uid"), shown.alias("repr")))
         full = F.to_json(F.array(F.lit(table.constant), shown))
         term_parts.append(df.select(uid.alias("type_uid"), F.lit("base").alias("kind"), F.lit(table.constant).alias("name"), _empty("string").alias("function_uid"), _empty("string").alias("argument_uid"), F.lit(table.constant).alias("repr"), full.alias("full")))
