@@ -64,6 +64,49 @@ def test_a_failed_creation_leaves_tables_alone(spark):
     assert shown(graph) == before
 
 
+@pytest.mark.parametrize(
+    "match, create",
+    [
+        ("(x:(X:*))-[]->(y:(Y:*))", "(:Hub)<-[::@k(X, Hub) { of: 1 }]-(x)"),  # several rows make one node and give it terms
+        ("(x:(X:*))-[e]->(y:(Y:*))", "(x)-[{ again: true }]->(y)"),  # the term of an edge from the terms of its ends, or a constant
+        ("(x::t)", "(::t)"),
+        ("(x:(X:*))", "(z:X -> Far)"),  # nodes whose terms are edges, with ends that are made
+        ("()-[e::t]->()", "()-[d::t { copy: 1 }]->()"),
+        ("(x::f a)", "(p::a)-[::f]->(q)"),
+    ],
+)
+def test_both_stores_take_the_same_of_many_rows(spark, match, create):
+    constants = [Constant("s", "T1"), Constant("far", "(P:*) -> Far"), Constant("k", "(A:*) -> (B:*)")]
+    graphs = [Graph(constants, spark), Graph(constants, spark)]
+    for graph in graphs:
+        for a, b in ((1, 2), (2, 3), (1, 4), (4, 3), (3, 5)):
+            graph.query().create(f"()-[::@k(T{a}, T{b})]->()").execute()
+        graph.query().create("(:T1:@s())").execute()
+    graphs[1].to_tables()
+    found = []
+    for graph in graphs:
+        try:
+            rows = graph.query().match(match).create(create).to_df()
+            found.append(sorted(map(str, rows.collect())))
+        except (ValueError, TypeError) as error:
+            found.append(str(error))
+    assert found[0] == found[1]
+    assert shown(graphs[0]) == shown(graphs[1])
+
+
+def test_terms_spread_along_chains_in_tables(spark):
+    graphs = []
+    for tables in (False, True):
+        graph = Graph([Constant("k", "(A:*) -> (B:*)"), Constant("s", "T0")], spark)
+        for n in range(1, 7):
+            graph.query().create(f"(:T{n})").create(f"()-[::@k(T{n}, T{n + 1})]->()").execute()
+        if tables:
+            graph.to_tables()
+        graph.query().create("(:T0)").create("()-[::@k(T0, T1)]->()").execute()
+        graphs.append(shown(graph))
+    assert graphs[0] == graphs[1] and "Node(T7:(k (k (k (k (k (k (k s))))))) {})" in graphs[0][0]
+
+
 # a brute-force matcher
 
 
@@ -213,6 +256,16 @@ def test_relational_rows_with_nulls_and_repeats(spark):
     assert graph.query().match("(n { name: null })").return_("n") == []
 
 
+def test_relational_pairs_without_an_order_and_null_keys(spark):
+    people = spark.createDataFrame([(1, "x"), (None, "y")], "id long, name string")
+    likes = spark.createDataFrame([(1, 1), (1, 1), (None, 1)], "a long, b long")
+    node, edge = relational.NodeTable("p", people, "id"), relational.EdgeTable("likes", "p", "p", likes, "a", "b")
+    graph = relational.graph_from_tables(spark, [node], [edge])
+    assert shown(graph) == (['Node(p_1: {id: 1, kind: "p", name: "x"})'], ["Edge((p_1 -> p_1):likes {})"])
+    with pytest.raises(ValueError):
+        relational.graph_from_tables(spark, [node], [edge, relational.EdgeTable("hates", "p", "p", likes, "a", "b")])
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 2), (2, 3)], "a long, b long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("a long, b long").parquet(str(tmp_path / "in"))

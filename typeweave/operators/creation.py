@@ -155,12 +155,13 @@ class Lookups:
         for part in term[1:3] if app else ():
             self.term_rows(part, PART, 0, into, types)
         self.type_rows(type_of(term), types)
-        none = F.lit(None).cast("string")
+        none, t = F.lit(None).cast("string"), type_of(term)
+        arrow = F.when(F.startswith(self.shown(t), F.lit("(")), F.lit("y")).otherwise(F.lit("n")) if isinstance(t, Ref) else F.lit("n" if isinstance(t, str) else "y")
         if held:
             parts = [self.field("terms", term.path, c) for c in ("name", "function_uid", "argument_uid")]
         else:
             parts = [none, self.uid(type_of(term[1])), self.uid(type_of(term[2]))] if app else [self.base_name(term), none, none]
-        into[term, rank, place] = [F.lit(rank), F.lit(place), self.whole(term, "full"), self.uid(type_of(term)), self.kind(term), *parts, self.whole(term, "repr")]
+        into[term, rank, place] = [F.lit(rank), F.lit(place), self.whole(term, "full"), self.uid(t), arrow, self.kind(term), *parts, self.whole(term, "repr")]
 
     # questions
 

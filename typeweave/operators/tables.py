@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables; they may go once its graphs are no longer needed."""
+    return f"{checkpoint_dir(spark)}/typeweave/{spark.sparkContext.applicationId}/graph"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage."""
-    spark, path = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/typeweave/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def present(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame | None:
+def present(old: DataFrame, new: DataFrame, key: list[str], split: str | None = None, values: tuple[str, ...] = ()) -> DataFrame | None:
     """The keys of new rows that old rows have; None if there are none.
 
-    The new rows are few beside the old ones, so these stand on the side that is not dealt anew
-    where Spark finds the others small enough to send everywhere.
+    split is a column that equal keys have in common, of these values; of the old table only the
+    parts with values that new rows have are read. The new rows are few beside the old ones, so
+    these are not dealt anew where Spark finds the others small enough to send everywhere.
     """
-    there = saved(old.select(*key).join(new.select(*key).distinct(), key, "left_semi").distinct(), "present")
-    return None if there.isEmpty() else there
+    found = []
+    for value in values or (None,):
+        own = new if value is None else new.where(F.col(split) == value)
+        if value is None or not own.isEmpty():
+            part = old if value is None else old.where(F.col(split) == value)
+            there = saved(part.select(*key).join(own.select(*key).distinct(), key, "left_semi").distinct(), "present")
+            found += [] if there.isEmpty() else [there]
+    return _union(found) if found else None
+
+
+ARROW = ("arrow", ("n", "y"))
 
 
 def literal_props(props: dict | None):
@@ -98,11 +114,11 @@ class TableStore:
                 tables[name], self._changes[name] = saved(tables[name], name), 0
         self._now = replace(self._now, **tables)
 
-    def with_new(self, name: str, new: DataFrame, key: list[str]) -> None:
+    def with_new(self, name: str, new: DataFrame, key: list[str], *split: Any) -> None:
         """Adds those of new rows whose key isn't there."""
         old = getattr(self._now, name)
         new = saved(new.select(*old.columns), name)
-        there = present(old, new, key)
+        there = present(old, new, key, *split)
         self.take(**{name: old.unionByName(new if there is None else new.join(there, key, "left_anti").select(*old.columns))})
 
     def with_edges(self, new: DataFrame) -> None:
@@ -151,12 +167,12 @@ class TableStore:
         each = lambda name: found.select(F.explode(name).alias("x")).select("x.*")
         now = self._now
         if there["types"]:
-            self.with_new("types", each("types").dropDuplicates(["uid"]), ["uid"])
+            self.with_new("types", each("types").dropDuplicates(["uid"]), ["uid"], "kind", ("var", "arr"))
         fresh = None
         if there["terms"]:
             best = each("terms").groupBy("type_uid").agg(F.min(F.struct("rank", "place", "full", *(c for c in TERM_COLUMNS if c not in ("full", "type_uid")))).alias("best"))
             best = saved(best.select("type_uid", "best.*"), "terms")
-            known = present(now.terms, best, ["type_uid"])
+            known = present(now.terms, best, ["type_uid"], *ARROW)
             new, terms = best, now.terms
             if known is not None:
                 new = best.join(known.withColumn("old", F.lit(True)), "type_uid", "left").where((F.col("rank") == OF_EDGE) | F.col("old").isNull())
@@ -169,7 +185,8 @@ class TableStore:
         if there["nodes"]:
             nodes = self.with_props(each("nodes"), path.nodes)
             self.with_new("nodes", nodes.groupBy("uid").agg(F.min("type").alias("type"), F.min_by("props", "k").alias("props")), ["uid"])
-        fresh = fresh.join(each("nodes").select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi") if there["nodes"] and fresh is not None else None
+        if fresh is not None:
+            fresh = saved(fresh.select(*TERM_COLUMNS).join(each("nodes").select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi"), "fresh") if there["nodes"] else None
         added = None
         if there["edges"]:
             first = F.struct((-F.col("k")).alias("place"), "full")
@@ -177,77 +194,73 @@ class TableStore:
             edges = edges.select(F.col("s").alias("start_uid"), F.col("e").alias("end_uid"), "best.*", "props")
             added = saved(edges.select(*EDGE_COLUMNS), "edges")
             self.with_edges(added)
-        self.spread(self.with_types(fresh) if fresh is not None else None, added)
+        self.spread(fresh if fresh is not None and not fresh.isEmpty() else None, added)
 
     # propagation
 
-    def with_types(self, fresh: DataFrame) -> DataFrame:
-        """Fresh terms with the ends of their types, where these are arrows; saved."""
-        ends = self._now.types.select(F.col("uid").alias("type_uid"), "left_uid", "right_uid")
-        return saved(fresh.select(*TERM_COLUMNS).join(ends, "type_uid"), "fresh")
+    def arrows_of(self, fresh: DataFrame) -> DataFrame | None:
+        """Those of saved terms that are of arrow types, as the edges that they are; None if none is."""
+        arrows = fresh.where("arrow = 'y'")
+        if arrows.isEmpty():
+            return None
+        types = self._now.types
+        ends = types.where("kind = 'arr'").select(F.col("uid").alias("type_uid"), F.col("left_uid").alias("start_uid"), F.col("right_uid").alias("end_uid"))
+        own = arrows.join(ends, "type_uid").withColumnsRenamed({"kind": "t_kind", "name": "t_name", "repr": "term"}).withColumn("props", literal_props({}))
+        for end in ("start", "end"):
+            own = own.join(types.select(F.col("uid").alias(end + "_uid"), F.col("repr").alias(end + "_type")), end + "_uid")
+        return saved(own.select(*EDGE_COLUMNS).dropDuplicates(["start_uid", "end_uid"]), "arrows")
+
+    def with_ends(self, own: DataFrame, known: DataFrame) -> DataFrame | None:
+        """Makes nodes of those ends of edges that are none; the terms that constants give these, saved; None without any."""
+        both = own.select(F.explode(F.array(*(F.struct(F.col(e + "_uid").alias("uid"), F.col(e + "_type").alias("type")) for e in ("start", "end")))).alias("x")).select("x.*").distinct()
+        there = present(self._now.nodes, both, ["uid"])
+        ends = saved(both if there is None else both.join(there, "uid", "left_anti"), "ends")
+        self.take(nodes=self._now.nodes.unionByName(ends.select("uid", "type", literal_props({}).alias("props"))))
+        made = saved(self.constant_terms(ends), "made")
+        has = present(known, made, ["type_uid"], *ARROW)
+        made = made if has is None else saved(made.join(has, "type_uid", "left_anti"), "made")
+        return None if made.isEmpty() else made
 
     def spread(self, fresh: DataFrame | None, added: DataFrame | None) -> None:
         """Carries terms on, in rounds, until nothing changes.
 
-        fresh(*terms, left_uid, right_uid) are nodes that just got a term, added new edges. A fresh
+        fresh(*terms) are nodes that just got a term, added new edges; both are saved. A fresh
         term of an arrow type is an edge of its own, whose missing ends are made; then a node that has
         a term gives one to each node that its edges lead to and that has none, the smallest (start,
-        function, argument) of several. Rounds join what is new with the edges; terms are taken at the end.
+        function, argument) of several. A round joins what is new with the edges.
         """
-        known, got_all = self._now.terms, []
-
-        def learned(new: DataFrame) -> None:
-            nonlocal known
-            known = known.unionByName(new.select(*TERM_COLUMNS))
-            got_all.append(new)
-
+        is_arrow = lambda shown: F.when(F.startswith(shown, F.lit("(")), F.lit("y")).otherwise(F.lit("n"))
         while fresh is not None or added is not None:
-            sources = []
-            arrows = None if fresh is None else fresh.where("left_uid IS NOT NULL")
-            if arrows is not None and not arrows.isEmpty():
-                own = arrows.select(F.col("left_uid").alias("start_uid"), F.col("right_uid").alias("end_uid"), "type_uid", F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("repr").alias("term"), literal_props({}).alias("props"))
-                for end in ("start", "end"):
-                    own = own.join(self._now.types.select(F.col("uid").alias(end + "_uid"), F.col("repr").alias(end + "_type")), end + "_uid")
-                own = saved(own.select(*EDGE_COLUMNS).dropDuplicates(["start_uid", "end_uid"]), "arrows")
-                both = own.select(F.explode(F.array(*(F.struct(F.col(e + "_uid").alias("uid"), F.col(e + "_type").alias("type")) for e in ("start", "end")))).alias("x")).select("x.*").distinct()
-                there = present(self._now.nodes, both, ["uid"])
-                ends = saved(both if there is None else both.join(there, "uid", "left_anti"), "ends")
-                made = self.with_types(self.constant_terms(ends).join(known.select("type_uid"), "type_uid", "left_anti"))
-                self.take(nodes=self._now.nodes.unionByName(ends.select("uid", "type", literal_props({}).alias("props"))))
-                self.with_edges(own)
-                if not made.isEmpty():
-                    learned(made)
+            own, made = None if fresh is None else self.arrows_of(fresh), None
+            if own is not None:
+                made = self.with_ends(own, self._now.terms)
+                if made is not None:
+                    self.take(terms=self._now.terms.unionByName(made))
                     fresh = fresh.unionByName(made)
-                else:
-                    made = None
+                self.with_edges(own)
                 added = own if added is None else added.unionByName(own)
-            else:
-                made = None
-            edges = self._now.edges.select("start_uid", "end_uid", "type_uid")
-            if fresh is not None:
-                starts = fresh.select(F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"), F.col("repr").alias("shown"))
-                sources.append(edges.join(starts, "start_uid"))
-            if added is not None:
-                starts = known.select(F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"), F.col("repr").alias("shown"))
-                sources.append(added.select("start_uid", "end_uid", "type_uid").join(starts, "start_uid"))
-            steps = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1]).distinct()
-            steps = steps.join(known.select(F.col("type_uid").alias("end_uid")), "end_uid", "left_anti")
-            steps = steps.join(known.select("type_uid", F.col("full").alias("function"), F.col("repr").alias("f_shown")), "type_uid")
-            best = steps.groupBy("end_uid").agg(F.min(F.struct("start_uid", "function", "argument", "type_uid", "f_shown", "shown")).alias("m")).select("end_uid", "m.*")
-            shown = F.concat(F.lit("("), F.col("f_shown"), F.lit(" "), F.col("shown"), F.lit(")"))
-            full = F.concat(F.lit("["), F.col("function"), F.lit(","), F.col("argument"), F.lit("]"))
-            terms = best.select(F.col("end_uid").alias("type_uid"), F.lit("app").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("type_uid").alias("function_uid"), F.col("start_uid").alias("argument_uid"), shown.alias("repr"), full.alias("full"))
-            got = self.with_types(terms)
-            fresh = None if got.isEmpty() else got
+            now, steps = self._now, []
+            giver = [F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"), F.col("repr").alias("shown")]
             if fresh is not None:
-                learned(got)
-                fresh = got if made is None else got.unionByName(made)
-            elif made is not None:
-                fresh = made
-            added = None
-        if got_all:
-            new = got_all[0] if len(got_all) == 1 else saved(_union([g.select(*TERM_COLUMNS) for g in got_all]), "terms")
-            self.take(terms=self._now.terms.unionByName(new.select(*TERM_COLUMNS)))
+                steps.append(now.edges.drop("props").join(fresh.select(*giver), "start_uid"))
+            for flag in ARROW[1] if added is not None else ():
+                starts = added.drop("props").where(is_arrow(F.col("start_type")) == flag)
+                if not starts.isEmpty():
+                    steps.append(starts.join(now.terms.where(F.col("arrow") == flag).select(*giver), "start_uid"))
+            if not steps:
+                return
+            best = F.min(F.struct("start_uid", F.col("full").alias("function"), "argument", "type_uid", "term", "shown")).alias("m")
+            steps = saved(_union(steps).groupBy("end_uid", is_arrow(F.col("end_type")).alias("arrow")).agg(best).select(F.col("end_uid").alias("to_uid"), "arrow", "m.*"), "steps")
+            fresh, added = made, None
+            if not steps.isEmpty():
+                shown = F.concat(F.lit("("), F.col("term"), F.lit(" "), F.col("shown"), F.lit(")"))
+                full = F.concat(F.lit("["), F.col("function"), F.lit(","), F.col("argument"), F.lit("]"))
+                got = steps.select(F.col("to_uid").alias("type_uid"), "arrow", F.lit("app").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("type_uid").alias("function_uid"), F.col("start_uid").alias("argument_uid"), shown.alias("repr"), full.alias("full"))
+                has = present(now.terms, got, ["type_uid"], *ARROW)
+                got = got if has is None else saved(got.join(has, "type_uid", "left_anti").select(*TERM_COLUMNS), "got")
+                if not got.isEmpty():
+                    self.take(terms=now.terms.unionByName(got))
+                    fresh = got if made is None else got.unionByName(made)
 
     def constant_terms(self, ends: DataFrame) -> DataFrame:
         """Terms of the first constants that the types of ends(uid) fit; types that fit none have no row."""

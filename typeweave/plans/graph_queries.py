@@ -26,13 +26,13 @@ def graph(spark: SparkSession, sf_dir: str, constants: list[Constant] | None = N
     kinds += [("part", "part", "p_partkey"), ("order", "orders", "o_orderkey")] if orders else []
     nodes = [NodeTable(kind, table(name), key) for kind, name, key in kinds]
     edges = [
-        EdgeTable("in_region", "nation", "region", table("nation"), "n_nationkey", "n_regionkey"),
-        EdgeTable("in_nation", "customer", "nation", table("customer"), "c_custkey", "c_nationkey"),
-        EdgeTable("based_in", "supplier", "nation", table("supplier"), "s_suppkey", "s_nationkey"),
+        EdgeTable("in_region", "nation", "region", table("nation"), "n_nationkey", "n_regionkey", repeats=False),
+        EdgeTable("in_nation", "customer", "nation", table("customer"), "c_custkey", "c_nationkey", repeats=False),
+        EdgeTable("based_in", "supplier", "nation", table("supplier"), "s_suppkey", "s_nationkey", repeats=False),
     ]
     if orders:
         lines = table("lineitem").select("l_orderkey", "l_partkey", *CONTAINS_ORDER)
-        edges += [EdgeTable("placed_by", "order", "customer", table("orders"), "o_orderkey", "o_custkey"), EdgeTable("contains", "order", "part", lines, "l_orderkey", "l_partkey", CONTAINS_ORDER)]
+        edges += [EdgeTable("placed_by", "order", "customer", table("orders"), "o_orderkey", "o_custkey", repeats=False), EdgeTable("contains", "order", "part", lines, "l_orderkey", "l_partkey", CONTAINS_ORDER)]
     return graph_from_tables(spark, nodes, edges, constants)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from typeweave.api import Graph
+from typeweave.functions.errors import PatternError
 from typeweave.functions.types import arrow_uid, var_uid
 from typeweave.functions.values import PROPS, cell_column
 from typeweave.operators.frames import EDGES, NODES, TERMS, TYPES, Frames
@@ -35,7 +36,12 @@ class NodeTable:
 
 @dataclass
 class EdgeTable:
-    """Edges constant: start_<start> -> end_<end>; of rows of one pair, that with the largest order stays."""
+    """Edges constant: <start>_<key> -> <end>_<key>.
+
+    Of several rows of one pair, that with the largest order stays, with a property for each of its other
+    columns; without order, edges have no properties. repeats=False says that no pair comes twice,
+    as with a key at the start, so that none need be looked for.
+    """
 
     constant: str
     start: str
@@ -44,6 +50,7 @@ class EdgeTable:
     start_key: str
     end_key: str
     order: tuple[str, ...] = ()
+    repeats: bool = True
 
 
 def _tag(kind: T.DataType) -> str:
@@ -75,7 +82,13 @@ def _empty(kind: str) -> Column:
 
 
 def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[EdgeTable], constants: list[Constant] | None = None) -> Graph:
-    """A graph over relational tables; edges of a constant T -> U are declared as (S:*) -> (T:*)."""
+    """A graph over relational tables; edges of a constant T -> U are declared as (S:*) -> (T:*).
+
+    Rows with a null key are no nodes, and pairs with one no edges. Keys of node tables are taken as unique.
+    """
+    kinds = [(t.start, t.end) for t in edges]
+    if len(set(kinds)) < len(kinds) or len({t.kind for t in nodes}) < len(nodes):
+        raise PatternError("each kind of nodes, and each pair of kinds, may have one table: an edge is named by its ends")
     node_parts, type_parts, edge_parts, term_parts = [], [], [], []
     for table in nodes:
         name, df = _name(table.kind, table.key), table.df.where(F.col(table.key).isNotNull())
@@ -86,14 +99,17 @@ def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[E
         kept = [c for c in table.df.columns if c not in (table.start_key, table.end_key)] if table.order else []
         if table.order:
             top = F.max(F.struct(*table.order, *(c for c in kept if c not in table.order))).alias("_top")
+            pairs = df.select(table.start_key, table.end_key).distinct()
             df = df.groupBy(table.start_key, table.end_key).agg(top).select(table.start_key, table.end_key, *(F.col("_top")[c].alias(c) for c in kept))
+        else:
+            df = pairs = df.select(table.start_key, table.end_key).distinct() if table.repeats else df
         start, end = _name(table.start, table.start_key), _name(table.end, table.end_key)
         uid = arrow_uid(var_uid(start), var_uid(end))
         shown = F.concat(F.lit("("), start, F.lit(" -> "), end, F.lit(")"))
-        edge_parts.append(df.select(var_uid(start).alias("start_uid"), var_uid(end).alias("end_uid"), uid.alias("type_uid"), F.lit("base").alias("t_kind"), F.lit(table.constant).alias("t_name"), start.alias("start_type"), end.alias("end_type"), F.lit(table.constant).alias("term"), props_column(df, kept).alias("props")))
-        type_parts.append(df.select(uid.alias("uid"), F.lit("arr").alias("kind"), _empty("string").alias("name"), var_uid(start).alias("left_uid"), var_uid(end).alias("right_uid"), shown.alias("repr")))
         full = F.to_json(F.array(F.lit(table.constant), shown))
-        term_parts.append(df.select(uid.alias("type_uid"), F.lit("base").alias("kind"), F.lit(table.constant).alias("name"), _empty("string").alias("function_uid"), _empty("string").alias("argument_uid"), F.lit(table.constant).alias("repr"), full.alias("full")))
+        edge_parts.append(df.select(var_uid(start).alias("start_uid"), var_uid(end).alias("end_uid"), uid.alias("type_uid"), F.lit("base").alias("t_kind"), F.lit(table.constant).alias("t_name"), start.alias("start_type"), end.alias("end_type"), F.lit(table.constant).alias("term"), full.alias("full"), props_column(df, kept).alias("props")))
+        type_parts.append(pairs.select(uid.alias("uid"), F.lit("arr").alias("kind"), _empty("string").alias("name"), var_uid(start).alias("left_uid"), var_uid(end).alias("right_uid"), shown.alias("repr")))
+        term_parts.append(pairs.select(uid.alias("type_uid"), F.lit("y").alias("arrow"), F.lit("base").alias("kind"), F.lit(table.constant).alias("name"), _empty("string").alias("function_uid"), _empty("string").alias("argument_uid"), F.lit(table.constant).alias("repr"), full.alias("full")))
 
     def union(parts: list[DataFrame], schema: str) -> DataFrame:
         return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
