@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/typeweave/{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/typeweave/{spark.sparkContext.applicationId}/llm"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

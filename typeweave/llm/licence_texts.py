@@ -71,6 +71,51 @@ You should have received a copy of the GNU General Public License along with thi
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Titles under which a text is usual.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+#: Words with which a licence's text begins, in lower case.
+OPENINGS = ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "licensed under", "this program is free software", "everyone is permitted to copy")
+
+#: (licence id, SHA-256 of the canonical words) of long texts: the whole file as the licence's owner
+#: publishes it, and its terms alone, with and without the line "END OF TERMS AND CONDITIONS", where it
+#: has that line. tests/llm makes them again from the files, where a system has these.
+FULL_TEXT_DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "a8c08c2586209cd91725b34d43d30b4c8539020780b2b357912669c218bd3823"),
+    ("Apache-2.0", "fa87401c9a0d5a296078c67e49f13eee0aee5b1c3d39beea894e9d147a7412cb"),
+    ("Apache-2.0", "120fce35f2e6dfb5a31619685d6cdf77d68f2607d27d4d6bc2d25709f41e5a53"),
+    ("Artistic-1.0-Perl", "b96ef2925f1f75078aa022d55ff30275de60b9c278e03a99c0376de92675c719"),
+    ("CC0-1.0", "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa"),
+    ("GFDL-1.2", "7ce37cd6ff902c2b3b9383b30ddca3b9cf91892b7e7b907e5fcbfdd3a4b81cef"),
+    ("GFDL-1.3", "629faf5fc110851fa43945221a886b531116a9e9f7282ee2cec78d467f9089b6"),
+    ("GPL-1.0", "2648bfcd19c5d1e30a54b737a882411e39a34edc83e1b72eb44863dab221864a"),
+    ("GPL-1.0", "d7f6de13cd5a52ec61905ad6bd12470e509016b7383ce6c143a9f227f29e0537"),
+    ("GPL-1.0", "a635b3526a6a1871105b439cfb845695ed13106831b8f8c28b92299a97a08086"),
+    ("GPL-2.0", "d34e101d920610e1c11c6ba3ae470be2867dec20ba7964aae21d0742ea81fdc7"),
+    ("GPL-2.0", "e3383004db667f6b21484661ed79f21c7c43ff3db85f94743bff64ae74334296"),
+    ("GPL-2.0", "a39906d7efa04d9f2f7a1e6e48f42354f03343a4d02c4a0f5788922085e31a93"),
+    ("GPL-3.0", "b635d1c8fec6b4d690785401d6bb2467dfdd8b5173d007c712bbbb3350b87dbf"),
+    ("GPL-3.0", "db08bf93dbd409a86de1a8b64e31dbd74f4cbed34462169b7c7d2394e9015200"),
+    ("GPL-3.0", "10764700137b5f4efe5629a899caf911de2bc7fb666dcf56a76499a74c1e6b58"),
+    ("LGPL-2.0", "51daf1902ea85b4b8fa54993d268e5faf3dd63b038a2eafe79d4901554bf5982"),
+    ("LGPL-2.0", "6ce3efdc2b00cc48e6465b2e370b1887deca9e54e6cc608bfb819cc093091049"),
+    ("LGPL-2.0", "72d6ee6a431ca7d1679d879cdaba5364eaa1c3b5c423d1a8da9151df677f6da0"),
+    ("LGPL-2.1", "2f7d91a8e8fffc2c28f1ce8706acc589fa0701bddfa5b30b347badb65c00e239"),
+    ("LGPL-2.1", "e766808e5bbfb018cf2dfb2dfd98eb8386f16e9d15706e69229e1b4b330fb0be"),
+    ("LGPL-2.1", "a5af38fb5fc7332b3bc8f36b091485b01a30a9eb71dc2d7321dc599c1d154c1b"),
+    ("LGPL-3.0", "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45"),
+    ("MPL-1.1", "834d8efbf434d90ff23a4a979bcaf52a11488826fe31a18f74c0fa5a06258183"),
+    ("MPL-2.0", "c72d732662f1062b77b9075836226ca87c674ae131839c5a567b0749ff029ae3"),
+]
+
 #: Spellings, in canonical words, that the licence matching guidelines count as equal.
 EQUAL_SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"),
