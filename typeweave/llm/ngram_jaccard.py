@@ -324,7 +324,7 @@ def with_sets(members: DataFrame, n: int) -> DataFrame:
     """Rows (row, component, sig, size, near, keys, drops, shared, pivot_size) for members(row, component, sig, text).
 
     The pivot of a group is its class with the smallest row. Members are dealt into shares of
-    LEAST_TEXTS or more, each of which is led by the pivot's set, so no group comes together.
+    about LEAST_TEXTS, each of which is led by the pivot's set, so no group comes together.
     """
     kinds = "row bigint, component bigint, sig binary, size bigint, near boolean, keys binary, drops bigint, shared bigint, pivot_size bigint"
     names = [kind.split()[0] for kind in kinds.split(", ")]
@@ -354,7 +354,7 @@ def with_sets(members: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rest.column(3), rest.column(0), rest.column(4), *made], names)
 
     sets = staged(members.select("row", "component", "sig", "text").mapInArrow(hashed, "row bigint, component bigint, sig binary, hashes binary"), "sets")
-    groups = sets.groupBy("component").agg(F.min("row").alias("pivot"), F.ceil(F.count("*") / (8 * LEAST_TEXTS)).cast("int").alias("shares"))
+    groups = sets.groupBy("component").agg(F.min("row").alias("pivot"), F.ceil(F.count("*") / LEAST_TEXTS).cast("int").alias("shares"))
     dealt = sets.join(redealt(groups, "component"), "component")
     own = dealt.select("component", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("leads"), "row", "sig", "hashes")
     pivots = sets.join(groups.select(F.col("pivot").alias("row"), "shares"), "row")
