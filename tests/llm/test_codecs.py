@@ -1,6 +1,7 @@
 """GIF media, byte-level BPE, chat formatting, WARC archives and packing: exact round trips."""
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -125,6 +126,21 @@ def test_encoders_agree_with_their_libraries():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == wanted
 
 
+def test_ranks_are_taken_only_where_ids_follow_the_merges(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert isinstance(bpe_words.load_json_ranks(path, public_tokenizers.PATTERN), bpe_words.RankEncoder)
+    with open(path) as f:
+        made = json.load(f)
+    merges = made["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    other = bpe_words.load_json_ranks(str(tmp_path / "other.json"), public_tokenizers.PATTERN)
+    assert isinstance(other, bpe_words.PieceEncoder)
+    texts = ["the cat and a hat", " t a", ""]
+    library = Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe_words, "CACHE_PIECES", 5)
     encoder = bpe_words.load_json(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.PATTERN)

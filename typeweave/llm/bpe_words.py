@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import json
 import os
 from array import array
 from struct import pack
@@ -145,11 +146,26 @@ class PieceEncoder:
         return out
 
 
+def merges_by_rank(tokenizer: Tokenizer, specials: tuple[str, ...]) -> bool:
+    """Whether the ids of a byte-level BPE follow the order of its merges, as tiktoken takes them to.
+
+    The bytes must come first; every other token must be made by one merge, and later merges must make
+    larger ids. Then the pair that the library merges next is the one with the smallest id.
+    """
+    model = json.loads(tokenizer.to_str())["model"]
+    vocabulary = {token: number for token, number in model["vocab"].items() if token not in specials}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocabulary.get(a + b) for a, b in pairs]
+    singles = [number for token, number in vocabulary.items() if len(token) == 1]
+    if len(singles) != 256 or None in made or len(made) + 256 != len(vocabulary):
+        return False
+    return all(a < b for a, b in zip([max(singles), *made[:-1]], made, strict=True))
+
+
 class RankEncoder:
     """The ids that a tokenizers file of a byte-level BPE gives, by tiktoken's merges.
 
-    The vocabulary goes over as ranks, which gives equal ids where its ids follow the order of
-    its merges. The tokenizers library itself takes texts that hold its special tokens, which it
+    The vocabulary goes over as ranks, which is right where merges_by_rank() holds. The tokenizers library itself takes texts that hold its special tokens, which it
     recognises, and those of very long words, on which tiktoken's time grows with the square.
     """
 
@@ -187,10 +203,11 @@ def load_json(path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(tokenizer, pattern, _specials(tokenizer))
 
 
-def load_json_ranks(path: str, pattern: str) -> RankEncoder:
-    """The same ids as load_json gives, for long runs over much text."""
+def load_json_ranks(path: str, pattern: str) -> RankEncoder | PieceEncoder:
+    """The same ids as load_json gives, for long runs over much text; by ranks only where these are the merges' order."""
     tokenizer = Tokenizer.from_file(path)
-    return RankEncoder(tokenizer, pattern, _specials(tokenizer))
+    specials = _specials(tokenizer)
+    return (RankEncoder if merges_by_rank(tokenizer, specials) else PieceEncoder)(tokenizer, pattern, specials)
 
 
 def load_ranks(path: str, pattern: str) -> tuple[PieceEncoder, dict[bytes, int]]:

@@ -31,14 +31,15 @@ from typeweave.llm.common import slices, staged
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: The plan is broadcast; its rows are bounded by the sequence length, not by the data.
-MAX_PLAN_ROWS = 200_000
+#: The plan is broadcast up to these rows, beyond them it is joined by length. They grow with the sequence
+#: length, not with the data.
+BROADCAST_ROWS = 200_000
 
 PIECES = "doc_id {}, piece int, start bigint, length int, ids binary, part int, local_rank bigint"
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> bpe_words.RankEncoder:
+def _encoder(path: str) -> bpe_words.RankEncoder | bpe_words.PieceEncoder:
     return bpe_words.load_json_ranks(path, public_tokenizers.PATTERN)
 
 
@@ -139,10 +140,10 @@ def place(cut_pieces: DataFrame, columns: list[Column | str], size: int = SEQUEN
     counts = cut_pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan_rows(plan(histogram, size))
-    if len(rows) > MAX_PLAN_ROWS:
-        raise ValueError(f"a plan of {len(rows)} rows is too large to broadcast")
     schema = "of_length int, rank_from bigint, rank_to bigint, times bigint, first_sequence bigint, first_offset bigint"
     slots = spark.createDataFrame(rows, schema)
+    if len(rows) <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     at = F.col("rank") - F.col("rank_from")
@@ -150,7 +151,7 @@ def place(cut_pieces: DataFrame, columns: list[Column | str], size: int = SEQUEN
         cut_pieces.select(*columns, "length", "part", "local_rank")
         .join(earlier, ["length", "part"])
         .withColumn("rank", F.col("earlier") + F.col("local_rank"))
-        .join(F.broadcast(slots), (F.col("of_length") == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+        .join(slots, (F.col("of_length") == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
         .withColumn("sequence_id", F.col("first_sequence") + F.expr("(rank - rank_from) div times"))
         .withColumn("offset", F.col("first_offset") + at % F.col("times") * F.col("length"))
         .drop("of_length", "part", "local_rank", "earlier", "rank", "rank_from", "rank_to", "times", "first_sequence", "first_offset")
