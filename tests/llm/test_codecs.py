@@ -252,9 +252,25 @@ def test_archives(shipped, tmp_path):
     data = (tmp_path / "archives" / written[0].archive).read_bytes()
     size = int.from_bytes(data[4:8], "little")
     assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE_MAGIC
-    frame = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None).decompressobj()
+    assert size > 0
+    frame = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompressobj()
     assert frame.decompress(data[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: ")
     assert not [p for p in (tmp_path / "archives").iterdir() if p.name.startswith("_")]
+    (tmp_path / "archives" / "part-99999999-00000.warc.zst").write_bytes(data)  # of a write that was given up
+    names = shipped.createDataFrame([(w.archive,) for w in written], "archive string")
+    assert warc.read(shipped, path, names).count() == len(rows)
+    again = warc.write(df, f"file://{tmp_path}/again", archive_bytes=2000).collect()
+    for w in again:
+        assert (tmp_path / "again" / w.archive).read_bytes() == (tmp_path / "archives" / w.archive).read_bytes()
+
+
+def test_dictionaries_come_from_whole_archives(monkeypatch):
+    monkeypatch.setattr(warc, "TRAIN_BYTES", 64 << 10)
+    records = [bytes([65 + k // 10]) * 5000 for k in range(200)]
+    pieces = warc.training_pieces(records)
+    assert sum(map(len, pieces)) <= 64 << 10 and len({p[:1] for p in pieces}) >= 12 and {p[:1] for p in pieces} & {b"R", b"S", b"T"}
+    for few in ([b"WARC/1.1 one"], [b"WARC/1.1 one", b"WARC/1.1 two" * 9], [bytes(range(256)) * 40] * 30):
+        assert list(warc.read_archive(warc.write_archive(few))) == few
 
 
 def test_empty_and_damaged_archives(shipped, tmp_path):
@@ -271,7 +287,7 @@ def test_empty_and_damaged_archives(shipped, tmp_path):
 def test_record_ids_give_page_ids():
     for page in (0, 1, -1, 2**62, -(2**63)):
         assert warc.page_of(warc.record_id(page)) == page
-    assert warc.page_of(warc.record_id(None)) is None
+    assert warc.page_of(warc.record_id(None, "1/2/3")) is None and warc.record_id(None, "1/2/3") != warc.record_id(None, "1/2/4")
 
 
 # packing

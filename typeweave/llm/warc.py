@@ -7,6 +7,11 @@ page id; the others are revisit records that name it. Archives are of a bounded
 the executors to a temporary name in the shared folder and then renamed, so that a task that is
 run again, or twice, leaves whole files only.
 
+A dictionary is trained on pieces from the whole archive; where its records are too few or short for
+that, the pieces themselves are the dictionary. Record ids, and so the bytes of an archive, depend on
+its pages alone, so a task that runs again writes the same archives again. Readers take the archives
+that a write has returned, not what else may lie in the folder.
+
 Cases: a null html is an empty payload; a null url gives the target urn:page:<id>; line ends in
 a url are dropped; rows with a null page_id are responses, and no other record refers to them;
 repeated rows of the smallest page_id are all responses; an empty table gives no archive and an
@@ -19,6 +24,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
@@ -26,15 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import new_path, redealt, slices
+from typeweave.llm.common import new_path, redealt, slices, staged
 
 #: Payloads below this are never deduplicated.
 MIN_REVISIT_BYTES = 100
 #: Payload bytes of an archive, about; what a task holds at a time.
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
-#: Records whose first bytes train the dictionary: a bounded share of each archive.
-TRAIN_BYTES = 2 << 20
+#: Bytes of an archive that train its dictionary, in pieces that lie evenly over all of it.
+TRAIN_BYTES, PIECE_BYTES = 2 << 20, 4 << 10
 LEVEL = 3
 READ_BYTES = 4096
 #: Fixed values of the formats.
@@ -42,12 +48,12 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The upper half of the record ids; the lower half is the page id.
-_ID_BASE = 0x7E1F5A6C0B3D4C8E << 64
+_ID_BASE = 0xFE1F5A6C0B3D4C8E << 64
 
 
-def record_id(page_id: int | None) -> str:
-    """A record's id, from which the page id can be read again."""
-    number = uuid.uuid4().int if page_id is None else _ID_BASE | page_id & (1 << 64) - 1
+def record_id(page_id: int | None, place: str = "") -> str:
+    """A record's id, from which the page id can be read again; without one it is made of a place."""
+    number = int.from_bytes(hashlib.md5(place.encode()).digest(), "big") >> 1 if page_id is None else _ID_BASE | page_id & (1 << 64) - 1
     return f"<urn:uuid:{uuid.UUID(int=number)}>"
 
 
@@ -59,26 +65,35 @@ def page_of(record: str) -> int | None:
     return low - (1 << 64) if low >> 63 else low
 
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record where refers_to is given."""
+def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """A response record, or a revisit record where refers_to is given; place tells pages without id apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     target = "".join((url or f"urn:page:{page_id}").splitlines()).encode("utf-8", "replace").decode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, place)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def training_pieces(records: list[bytes]) -> list[bytes]:
+    """Pieces of TRAIN_BYTES in all, evenly over the records' bytes; whole records where there are fewer."""
+    ends = np.cumsum([len(r) for r in records])
+    total = int(ends[-1]) if len(ends) else 0
+    if total <= TRAIN_BYTES:
+        return records
+    pieces = []
+    for at in np.linspace(0, total - PIECE_BYTES, TRAIN_BYTES // PIECE_BYTES, dtype=np.int64).tolist():
+        k = int(np.searchsorted(ends, at, side="right"))
+        first = at - (int(ends[k - 1]) if k else 0)
+        pieces.append(records[k][first : first + PIECE_BYTES])
+    return pieces
+
+
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from records; nothing where they are too few or too short to give one."""
-    samples, room = [], TRAIN_BYTES
-    for record in records:
-        if room <= 0:
-            break
-        samples.append(record[: min(room, 1 << 14)])
-        room -= len(samples[-1])
+    """A dictionary from records; of few or short ones, what they hold is the dictionary."""
+    samples = training_pieces(records)
     for step in (None, 512, 64):
         cut = samples if step is None else [s[at : at + step] for s in samples for at in range(0, len(s), step)]
         if len(cut) < 8:
@@ -88,16 +103,15 @@ def build_dictionary(records: list[bytes]) -> bytes:
             return zstandard.train_dictionary(size, cut, k=200, d=8).as_bytes()
         except zstandard.ZstdError:
             continue
-    return b""
+    return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def write_archive(records: list[bytes]) -> bytes:
     """The bytes of an archive: the dictionary's skippable frame, then a frame for each record."""
     raw = build_dictionary(records)
     parts = [SKIPPABLE_MAGIC.to_bytes(4, "little"), len(raw).to_bytes(4, "little"), raw]
-    made = zstandard.ZstdCompressionDict(raw) if raw else None
-    if made is not None:
-        made.precompute_compress(LEVEL)
+    made = zstandard.ZstdCompressionDict(raw)
+    made.precompute_compress(LEVEL)
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=made)
     return b"".join(parts + [compressor.compress(r) for r in records])
 
@@ -108,7 +122,7 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         raise ValueError("an archive must begin with the frame of its dictionary")
     at = 8 + int.from_bytes(data[4:8], "little")
     raw = data[8:at]
-    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     while at < len(data):
         one, parts = decompressor.decompressobj(), []
         while not one.eof:
@@ -165,7 +179,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         records, size = [], 0
         for batch in slices(batches):
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                records.append(write_record(page_id, url, payload, digest, refers_to))
+                place = f"{task}/{len(written)}/{len(records)}"
+                records.append(write_record(page_id, url, payload, digest, refers_to, place))
                 size += len(records[-1])
                 if size >= archive_bytes:
                     close(records)
@@ -177,8 +192,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     return dealt.mapInArrow(run, "archive string, records bigint, bytes bigint")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all records in a folder of archives: (archive, record_id, page_id, url, record_type, refers_to, digest, payload_bytes, payload).
+def read(spark: SparkSession, path: str, written: DataFrame | None = None) -> DataFrame:
+    """Rows of all records in a folder's archives, or in those that written(archive) names: (archive, record_id, page_id, url, record_type, refers_to, digest, payload_bytes, payload).
 
     payload is null for revisits; payload_bytes and digest are those of the full payload. A
     response whose payload does not have its digest raises ValueError.
@@ -206,6 +221,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     kinds = "archive string, record_id string, page_id bigint, url string, record_type string, refers_to bigint, digest string, payload_bytes bigint, payload binary"
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.warc.zst").load(path)
+    if written is not None:
+        files = files.withColumn("archive", F.element_at(F.split("path", "/"), -1)).join(written.select("archive"), "archive", "left_semi")
     return files.select("path", "content").mapInArrow(run, kinds)
 
 
@@ -213,10 +230,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives in the shared folder, and read back from there."""
     path = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    written = write(pages, path).agg(F.sum("records").alias("n")).collect()[0]["n"]
-    if not written:
+    written = staged(write(pages, path), "written")
+    if written.isEmpty():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    return read(spark, path).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return read(spark, path, written).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 QUERIES = {"op7_warc": query}
