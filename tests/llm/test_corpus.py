@@ -365,6 +365,66 @@ def test_languages(shipped):
     assert {r.lang_pred for r in language_id.predict(df.where("doc_id < 5"), one).collect()} == {"en"}
 
 
+def brute_prediction(model, text):
+    """Language, score and share of known trigrams of a text, n-gram by n-gram."""
+    data = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in " ".join(text.lower().split()).encode()) + b"    "
+    counts, threes = {}, {}
+    bucket = lambda own: (lambda x: ((x ^ x >> 15) & 0xFFFFFFFF) >> 17)((int.from_bytes(own, "big") + len(own) * 0x51ED) * 0x9E3779B1 & 0xFFFFFFFF)
+    for at in range(len(data) - 3):
+        for n in (1, 2, 3, 4):
+            own = data[at : at + n]
+            counts[bucket(own)] = counts.get(bucket(own), 0) + 1
+            if n == 3 and data[at] != 32:
+                threes[bucket(own)] = threes.get(bucket(own), 0) + 1
+    norm = sum(c * c for c in counts.values()) ** 0.5
+    odds = [(sum(c * float(model.weights[b, k]) for b, c in counts.items()) / norm + model.biases[k]) * model.scales[k] for k in range(model.weights.shape[1])]
+    chance = [1 / (1 + np.exp(-min(30, max(-30, x)))) for x in odds]
+    family, part = 0, 1.0
+    if len(model.families) > 1:
+        own = [chance[k] for k in model.one_versus_rest]
+        family = max(range(len(own)), key=lambda k: odds[model.one_versus_rest[k]])
+        part = own[family] / sum(own)
+    names = model.families[family][1]
+    votes, margins, likely = [0] * len(names), [0.0] * len(names), [0.0] * len(names)
+    for f, i, j, k in model.pairs:
+        if f == family:
+            votes[i if chance[k] >= 0.5 else j] += 1
+            for own, sign in ((i, 1), (j, -1)):
+                margins[own] += sign * odds[k]
+                likely[own] += chance[k] if sign > 0 else 1 - chance[k]
+    best = max(range(len(names)), key=lambda k: (votes[k], margins[k]))
+    known = sum(c for b, c in threes.items() if model.known[b])
+    return names[best], part * (likely[best] / (len(names) - 1) if len(names) > 1 else 1.0), (known + 8) / (sum(threes.values()) + 8)
+
+
+def test_predictions_are_those_of_a_plain_version(shipped):
+    rng = random.Random(12)
+    langs = ["de", "en", "nl", "fr", "es", "xx"]
+    words = {lang: SAMPLES.get(lang, "een het van ik je dat niet zijn op maar wat".split()) for lang in langs}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randrange(4, 40))), lang) for k, lang in enumerate(rng.choices(langs, k=400))]
+    model = language_id.train(shipped.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [t for _, t, _ in rows[:60]] + ["Größe & Maß, 12 Stück!", "a", "漢字 und Wörter", "the and of " * 3000, "x" * 40_000]
+    for text, (lang, score, share) in zip(texts, model.predict(texts), strict=True):
+        wanted = brute_prediction(model, text)
+        assert lang == wanted[0] and score == pytest.approx(wanted[1], abs=1e-4) and share == pytest.approx(wanted[2], abs=1e-9)
+
+
+def test_samples_keep_their_bounds(shipped, monkeypatch):
+    monkeypatch.setattr(language_id, "FIT_ROWS_EACH", 30)
+    monkeypatch.setattr(language_id, "FIT_ROWS", 90)
+    monkeypatch.setattr(language_id, "FIT_LANGUAGES", 4)
+    rows = [(k, "some words of a text", f"l{k % 3 if k < 1500 else k}") for k in range(1600)]
+    df = shipped.createDataFrame(rows, "id long, text string, lang string")
+    got = language_id.labelled_sample(df).collect()
+    assert {r.lang for r in got} <= {"l0", "l1", "l2", "l1500"} and {"l0", "l1", "l2"} <= {r.lang for r in got}
+    assert len(got) < 130
+    monkeypatch.setattr(language_id, "FIT_BYTES", 2000)
+    assert 0 < language_id.labelled_sample(df).count() < 60
+    long = shipped.createDataFrame([(1, "the and of with that " * 100_000, "en"), (2, "der und die das " * 100_000, "de")], "doc_id long, text string, lang string")
+    monkeypatch.undo()
+    assert {r.lang_pred for r in language_id.predict(long, language_id.train(long)).collect()} == {"en", "de"}
+
+
 def test_language_of_the_test_data_held_out(shipped):
     docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.query(shipped, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'").toPandas()

@@ -10,13 +10,14 @@ Scores only compare the languages of the model. Whether a text is in one of them
 the share of its trigrams that the labelled rows hold: foreign texts and random letters have a low
 one, however many languages there are. Its least value is taken from the labelled rows themselves.
 
-The models are fitted on the driver to a bounded sample of labelled rows: at most
-FIT_ROWS_EACH rows of a language, those with the smallest hashes of their ids. Whole texts are
-read, in fitting and in prediction.
+The models are fitted on the driver to a bounded sample of labelled rows: about FIT_ROWS_EACH rows
+of a language, FIT_ROWS and FIT_BYTES of text in all, drawn by the hashes of their ids, of the
+FIT_LANGUAGES most frequent languages. Whole texts are read, in fitting and in prediction. A
+binary model has 128 KB; those of all languages in FAMILIES have 31 MB, and are broadcast.
 
 Cases: a null text, or one without letters, is `und` with score 0; where no row is labelled,
 everything is `und`; languages that FAMILIES doesn't name are a family of their own each;
-repeated rows are predicted each; an empty table gives an empty result; lang is read for fitting
+repeated rows are predicted each; long texts are rows like others; an empty table gives an empty result; lang is read for fitting
 only, other columns are not read.
 """
 
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from typeweave.llm.common import slices
 
 UNKNOWN = "und"
-FIT_ROWS_EACH = 400
+#: Bounds of the sample to which the models are fitted; with fewer rows all are taken.
+FIT_ROWS_EACH, FIT_ROWS, FIT_BYTES, FIT_LANGUAGES = 400, 8192, 32 << 20, 256
 #: Of fewer labelled rows no least share of known trigrams is taken: they hold too little of a language.
 SHARE_ROWS = 50
 #: A trigram is known if a labelled row has it, and one more for each so many, so that a few odd rows add none.
@@ -67,12 +69,14 @@ def has_letters(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (orders x places) of the n-grams that begin at each byte, and where each text begins.
+def grams(texts: list[str]) -> list[np.ndarray]:
+    """For each text the buckets (orders x places) of the n-grams that begin at each of its bytes.
 
-    Every text stands between blanks; n-grams do not reach from one text into the next.
+    Every text stands between blanks, of which those at its end that a longest n-gram would pass begin none;
+    so a text's n-grams do not depend on the text behind it.
     """
-    parts = [b" " + " ".join(t.lower().split()).encode("utf-8", "replace").translate(_BLANKS) + b"    " for t in texts]
+    behind = max(ORDERS) - 1
+    parts = [b" " + " ".join(t.lower().split()).encode("utf-8", "replace").translate(_BLANKS) + b" " * (behind + 1) for t in texts]
     starts = np.cumsum([0, *map(len, parts)])
     raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     out, code = np.empty((len(ORDERS), len(raw)), np.uint16), np.zeros(len(raw), np.uint32)
@@ -83,7 +87,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if order in ORDERS:
             mixed = (code + np.uint32(order * 0x51ED)) * np.uint32(0x9E3779B1)
             out[ORDERS.index(order)] = (mixed ^ mixed >> np.uint32(15)) >> np.uint32(17)
-    return out, starts
+    return [out[:, a : b - behind] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
 #: The bucket of a blank.
@@ -115,7 +119,7 @@ def known_share(at: np.ndarray, counts: np.ndarray, known: np.ndarray) -> float:
 
 def mean_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares among its n-grams."""
-    codes, _ = grams([text])
+    (codes,) = grams([text])
     counts = np.bincount(codes.ravel(), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), (counts[at] / codes.size).astype(np.float32)
@@ -166,13 +170,13 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """Language, score and share of known trigrams of each text."""
-        codes, starts = grams(texts)
+        codes = grams(texts)
         sums = np.zeros((len(texts), self.weights.shape[1]), np.float64)
         norms = np.empty(len(texts))
-        for row, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-            counts = np.bincount(codes[:, a:b].ravel(), minlength=BUCKETS) if 4 * (b - a) > BUCKETS else None
+        for row, buckets in enumerate(codes):
+            counts = np.bincount(buckets.ravel(), minlength=BUCKETS) if buckets.size > BUCKETS else None
             if counts is None:
-                at, own = np.unique(codes[:, a:b], return_counts=True)
+                at, own = np.unique(buckets, return_counts=True)
             else:
                 at = np.flatnonzero(counts)
                 own = counts[at]
@@ -201,7 +205,7 @@ class Model:
                     likely[j] += 1 - p
             best = max(range(len(names)), key=lambda k: (votes[k], margins[k]))
             within = likely[best] / (len(names) - 1) if len(names) > 1 else 1.0
-            share = 1.0 if self.known is None else known_share(*trigrams(codes[:, starts[row] : starts[row + 1]]), self.known)
+            share = 1.0 if self.known is None else known_share(*trigrams(codes[row]), self.known)
             out.append((names[best], float(min(1.0, family_chance * within)), share))
         return out
 
@@ -238,17 +242,20 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
 
 
 def labelled_sample(df: DataFrame) -> DataFrame:
-    """Rows (lang, buckets binary of int32, values binary of float32, trigrams binary of uint16, counts binary of uint32): at most about FIT_ROWS_EACH of each language of df(id, text, lang).
+    """Rows (lang, buckets binary of int32, values binary of float32, trigrams binary of uint16, counts binary of uint32): a sample of df(id, text, lang) within the bounds.
 
     A language's rows are thinned by a threshold on the hash of their id, so no task gets all
-    rows of a frequent language.
+    rows of a frequent language; so bounds hold on average, and one row may pass that of bytes.
     """
     spark = df.sparkSession
     usable = df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    found = sizes.orderBy(F.col("n").desc(), "lang").limit(FIT_LANGUAGES).collect()
+    if not found:
         return spark.createDataFrame([], "lang string, buckets binary, values binary, trigrams binary, counts binary")
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, FIT_ROWS_EACH / n))))
+    rows, size = min(FIT_ROWS_EACH, FIT_ROWS // len(found)), FIT_BYTES // len(found)
+    shares = {r["lang"]: min(1.0, rows / r["n"], size / r["bytes"]) for r in found}
+    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
     draw = F.pmod(F.xxhash64(F.lit("language id"), F.col("id")), F.lit(1 << 20)) / (1 << 20)
 
     def run(batches):
