@@ -3,12 +3,17 @@
 A bounded sample gives a graph of nearest neighbours, which is cut into balanced parts; a small
 network learns to tell a vector's parts from the vector. It then deals every vector to its most
 probable part, and routes every query to several; how many is measured on sample vectors held
-back from the network. Parts are searched in blocks of bounded size, candidates by a matrix
-product, and the best are scored again in double precision in the order of the components.
+back from the network. The number of parts grows with the vectors, and the sample with the parts.
+A part is one block, or more if it has more vectors; each vector goes to one block, and the queries
+that visit a part stream past its blocks. Candidates are found by a matrix product, and the best
+are scored again in double precision in the order of the components.
+
+Vectors of each dimension are searched among their own. The most frequent MAX_NETWORKS dimensions
+have networks; any others are searched whole, in blocks.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part;
-nor do rows without id, nor vectors of another dimension than most have. Repeated ids count once
-(the smallest vector). Ties go to the smaller id. Fewer candidates than asked for are all
+nor do rows without id. Repeated ids count once (the vector of the smallest dimension, and the smallest of these).
+Ties go to the smaller id. Fewer candidates than asked for are all
 returned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -24,17 +29,19 @@ from pyspark.sql.window import Window
 
 from typeweave.llm.common import list_array, slices, staged
 
-#: Vectors that parts and network are fitted to, about; those whose ids have small hashes.
-FIT_ROWS = 4096
+#: Vectors that parts and network are fitted to: so many a part, within these bounds, and bytes at most.
+FIT_ROWS_A_PART, FIT_ROWS, MAX_FIT_ROWS, FIT_BYTES = 64, 4096, 65_536, 128 << 20
 HELD_BACK = 512
 GRAPH_NEIGHBOURS = 10
 #: Vectors a part should have; parts are between these numbers.
-PART_ROWS = 4096
-MIN_PARTS, MAX_PARTS = 8, 256
+PART_ROWS = 1024
+MIN_PARTS, MAX_PARTS = 8, 4096
+#: Dimensions that have a network of their own.
+MAX_NETWORKS = 8
 #: Recall of the true neighbours that routing must reach on the vectors held back.
 ROUTE_RECALL = 0.94
-BLOCK_ROWS = 4096
-QUERY_ROWS = 2048
+#: Vectors of a block, about, which a task holds while queries stream past.
+BLOCK_ROWS = 16_384
 
 
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -168,15 +175,23 @@ def exact_scores(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, id, score) of the k best of a block for each query, its own id left out."""
+    """(query id, id, score) of the k best of a block for each query, its own id left out.
+
+    The matrix product may err by as much as the lengths of both vectors and their dimension allow;
+    all candidates within twice that of the k-th are scored exactly.
+    """
     out, vectors64 = [], vectors.astype(np.float64)
-    for at in range(0, len(queries), 256):
-        scores = queries[at : at + 256].astype(np.float64) @ vectors64.T
-        scores[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+    longest = float(np.sqrt((vectors64 * vectors64).sum(1).max())) if len(vectors64) else 0.0
+    step = max(1, (4 << 20) // max(1, len(ids)))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step].astype(np.float64)
+        slack = 4 * vectors64.shape[1] * 2.0**-52 * longest * np.sqrt((part * part).sum(1))
+        scores = part @ vectors64.T
+        scores[query_ids[at : at + step, None] == ids[None, :]] = -np.inf
         keep = min(k, scores.shape[1])
         edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
         for row, least in enumerate(edge):
-            near = scores[row] >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else np.isfinite(scores[row])
+            near = scores[row] >= least - slack[row] if np.isfinite(least) else np.isfinite(scores[row])
             found = np.flatnonzero(near)
             exact = exact_scores(queries[at + row], vectors[found])
             best = np.lexsort((ids[found], -exact))[:keep]
@@ -184,63 +199,102 @@ def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
     return out
 
 
+@dataclass
+class Routes:
+    """How the vectors of one dimension are dealt and routed."""
+
+    network: Network
+    parts: int
+    visits: int
+
+
+def fitted(rows: DataFrame, dim: int, n: int, k: int) -> Routes | None:
+    """Parts of the n vectors of a dimension, learned from a sample; None where one part will do."""
+    parts = min(MAX_PARTS, max(MIN_PARTS, -(-n // PART_ROWS)))
+    wanted = min(max(FIT_ROWS, FIT_ROWS_A_PART * parts), MAX_FIT_ROWS, FIT_BYTES // (4 * dim))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / (1 << 30)
+    drawn = rows.where((F.size("vector") == dim) & (draw < min(1.0, wanted / n))).select("id", "vector").collect()
+    sample = np.asarray([r["vector"] for r in sorted(drawn, key=lambda r: r["id"])], np.float32).reshape(-1, dim)
+    parts = min(parts, len(sample) // 16)
+    if parts < 2:
+        return None
+    sample = sample[np.random.default_rng(1).permutation(len(sample))]
+    network, visits = fit(sample, parts, k)
+    return Routes(network, parts, visits)
+
+
 def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for the rows where is_query holds, the k nearest others.
 
     is_query speaks of the columns id and vector. Nearness is the largest inner product.
     """
     spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    kind = "array<double>" if "double" in df.schema[vector_col].dataType.simpleString() else "array<float>"
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    number = np.dtype(np.float32 if kind == "array<float>" else np.float64)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(kind).alias("vector")).where(F.col("id").isNotNull() & valid(F.col("vector")))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return empty
-    dim = min(sizes, key=lambda d: (-sizes[d], d))
-    rows = rows.where(F.size("vector") == dim).groupBy("id").agg(F.min("vector").alias("vector"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.where(draw < min(1.0, FIT_ROWS / sizes[dim])).collect()
-    sample = np.asarray([r["vector"] for r in sorted(drawn, key=lambda r: r["id"])], np.float32).reshape(-1, dim)
-    parts = min(MAX_PARTS, max(MIN_PARTS, -(-sizes[dim] // PART_ROWS)), max(1, len(sample) // 16))
-    sample = sample[np.random.default_rng(1).permutation(len(sample))]
-    network, visits = fit(sample, parts, k) if parts > 1 else (None, 1)
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
+    frequent = sizes.orderBy(F.col("n").desc(), "dim").limit(MAX_NETWORKS).collect()
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.size("vector").alias("dim"), "vector")).alias("v")).select("id", "v.vector")
+    routes = {r["dim"]: made for r in frequent if (made := fitted(rows, r["dim"], r["n"], k)) is not None}
 
     def deal(batches):
         for part in slices(batches, 4096):
-            vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            logits = network.logits(vectors) if network else np.zeros((len(vectors), 1))
-            order = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
-            asked = part.column(2).to_pylist()
-            routes = [order[i] if q else order[i, :1] for i, q in enumerate(asked)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(order[:, 0], pa.int32()), list_array(np.concatenate(routes), np.asarray(list(map(len, routes))), pa.int32())], ["id", "vector", "asked", "part", "routes"])
-
-    dealt = staged(rows.select("id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked")).mapInArrow(deal, f"id bigint, vector {kind}, asked boolean, part int, routes array<int>"), "ann")
-    counts = [0] * parts
-    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect():
-        counts[r["part"]] = r["n"]
-    least = np.cumsum(sorted(counts))
-    visits = max(visits, int(np.searchsorted(least, k + 1)) + 1)
-    asked = dealt.where("asked").select(F.col("id"), "vector", F.explode(F.slice("routes", 1, min(visits, parts))).alias("part"))
-    askers = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    per_part = lambda n: F.element_at(F.array(*map(F.lit, n)), F.col("part") + 1)
-    blocks = per_part([max(1, -(-n // BLOCK_ROWS)) for n in counts])
-    groups = per_part([max(1, -(-askers.get(p, 0) // QUERY_ROWS)) for p in range(parts)])
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    salt = F.xxhash64("id", F.lit(1))
-    left = asked.withColumn("many", blocks).select("id", "vector", "part", F.pmod(salt, groups).cast("int").alias("group"), every(F.col("many")).alias("block"))
-    right = dealt.withColumn("many", groups).select("id", "vector", "part", every(F.col("many")).alias("group"), F.pmod(salt, blocks).cast("int").alias("block"))
-
-    def join(key, queries, block):
-        if not queries.num_rows or not block.num_rows:
-            found = []
-        else:
-            q, v = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (queries, block))
-            found = block_best(q, queries.column("id").to_numpy(), v, block.column("id").to_numpy(), k)
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-    keys = ["part", "group", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(join, "query_id bigint, vec_id bigint, score double")
+            vectors, asked = part.column(1), part.column(2).to_pylist()
+            offsets = vectors.offsets.to_numpy()
+            flat, dims = vectors.values.to_numpy(zero_copy_only=False), np.diff(offsets)
+            own, orders = np.zeros(len(dims), np.int32), [np.zeros(1, np.int32)] * len(dims)
+            for dim in set(dims.tolist()) & set(routes):
+                at = np.flatnonzero(dims == dim)
+                logits = routes[dim].network.logits(flat[offsets[at][:, None] + np.arange(dim)])
+                order = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
+                own[at] = order[:, 0]
+                for i, o in zip(at.tolist(), order, strict=True):
+                    orders[i] = o
+            routed = [o if q else o[:0] for o, q in zip(orders, asked, strict=True)]
+            raw = [flat[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), pa.array(dims, pa.int32()), pa.array(asked, pa.bool_()), pa.array(own, pa.int32()), list_array(np.concatenate(routed), np.asarray(list(map(len, routed))), pa.int32())], ["id", "vector", "dim", "asked", "part", "routes"])
+
+    schema = "id bigint, vector binary, dim int, asked boolean, part int, routes array<int>"
+    dealt = staged(rows.select("id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked")).mapInArrow(deal, schema), "ann")
+    held = staged(dealt.groupBy("dim", "part").agg(F.count("*").alias("n")), "parts")
+    visits = F.size("routes")
+    for dim, own in routes.items():
+        least = np.cumsum(sorted(r["n"] for r in held.where(F.col("dim") == dim).collect()))
+        enough = int(np.searchsorted(least, k + 1)) + 1 + own.parts - len(least)  # parts without vectors may be the first
+        visits = F.when(F.col("dim") == dim, F.lit(min(own.parts, max(own.visits, enough)))).otherwise(visits)
+    blocks = held.select("dim", "part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asked = dealt.where("asked").select("id", "vector", "dim", F.explode(F.slice("routes", 1, F.greatest(visits, F.lit(1)))).alias("part"))
+    passing = asked.join(blocks, ["dim", "part"]).select("dim", "part", every.alias("block"), F.lit(True).alias("asks"), "id", "vector")
+    standing = dealt.select("id", "vector", "dim", "part").join(blocks, ["dim", "part"]).select("dim", "part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "vector")
+    ordered = standing.unionByName(passing).repartition("dim", "part", "block").sortWithinPartitions("dim", "part", "block", "asks", "id")
+
+    def compare(batches):
+        key, ids, vectors, block = None, [], [], None
+        for part in slices(batches, 1024):
+            dims, parts, numbers, asks, own, raw = (c.to_pylist() for c in part.columns)
+            found, at = [], 0
+            while at < part.num_rows:
+                here = dims[at], parts[at], numbers[at]
+                if here != key:
+                    key, ids, vectors, block = here, [], [], None
+                end = at
+                while end < part.num_rows and (dims[end], parts[end], numbers[end], asks[end]) == (*here, asks[at]):
+                    end += 1
+                if not asks[at]:
+                    ids += own[at:end]
+                    vectors += raw[at:end]
+                elif block is not None or ids:
+                    if block is None:
+                        block, vectors = np.frombuffer(b"".join(vectors), number).reshape(-1, here[0]), []
+                        ids = np.asarray(ids, np.int64)
+                    queries = np.frombuffer(b"".join(raw[at:end]), number).reshape(-1, here[0])
+                    found += block_best(queries, np.asarray(own[at:end], np.int64), block, ids, k)
+                at = end
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    found = ordered.mapInArrow(compare, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
