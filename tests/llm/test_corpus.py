@@ -438,7 +438,7 @@ def brute_nearest(rows, is_query, k):
     good = {}
     for key, v in rows:
         if key is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[key] = min(good.get(key, v), v)
+            good[key] = min(good.get(key, v), v, key=lambda x: (len(x), x))
     out = {}
     for q in filter(is_query, good):
         scores = [(-float(np.dot(np.float64(good[q]), np.float64(v))), key) for key, v in good.items() if key != q and len(v) == len(good[q])]
@@ -448,12 +448,12 @@ def brute_nearest(rows, is_query, k):
 
 def test_few_vectors_are_found_exactly(shipped):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, []), (20, [-1.0, 0.25]), (None, [1.0, 1.0]), (3, [0.5, 0.25]), (40, [2.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, []), (20, [-1.0, 0.25]), (None, [1.0, 1.0]), (3, [0.5, 0.25]), (40, [2.0, 1.0]), (60, [1.0, 2.0, 3.0]), (61, [0.0, 0.0, 1.0]), (62, [3.0, 2.0, 1.0]), (80, [1.0]), (100, [1.0, 2.0, 3.0, 4.0]), (100, [9.0, 9.0])]
     df = shipped.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, part string")
     got: dict = {}
     for r in learned_ann.search(df, F.col("id") % 20 == 0, k=4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
-    assert got == brute_nearest(rows, lambda q: q % 20 == 0, 4)
+    assert got == {q: own for q, own in brute_nearest(rows, lambda q: q % 20 == 0, 4).items() if own}
     assert learned_ann.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
     assert learned_ann.search(df.where("vec_id = 0"), F.col("id") % 20 == 0).collect() == []
 
@@ -463,7 +463,6 @@ def test_recall(shipped, monkeypatch, hot):
     monkeypatch.setattr(learned_ann, "FIT_ROWS", 1024)
     monkeypatch.setattr(learned_ann, "PART_ROWS", 200)
     monkeypatch.setattr(learned_ann, "BLOCK_ROWS", 150)
-    monkeypatch.setattr(learned_ann, "QUERY_ROWS", 20)
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(40, 24))
     vectors = centres[rng.integers(0, 40, 2500)] + 0.35 * rng.normal(size=(2500, 24))
@@ -486,6 +485,40 @@ def test_recall(shipped, monkeypatch, hot):
         assert [k for k, _ in got[20]] == list(range(10))
 
 
+def test_clusters_need_few_parts():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 64))
+    vectors = (centres[rng.integers(0, 200, 4096)] + 0.35 * rng.normal(size=(4096, 64))).astype(np.float32)
+    network, visits = learned_ann.fit(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), 32, 20)
+    assert visits <= 0.3 * 32
+
+
+def test_long_vectors_whose_products_cancel(shipped):
+    """The matrix product may be wrong by more than the difference of two candidates."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        half = rng.normal(size=16) * 1e8
+        rows.append((k, [*half.tolist(), *(-half + rng.normal(size=16) * 1e-7).tolist()]))
+    rows[0] = (0, [1e8] * 32)
+    df = shipped.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in learned_ann.search(df, F.col("id") == 0, k=5).orderBy("rank").collect()]
+    plain = lambda a, b: float(np.cumsum(np.float64(a) * np.float64(b))[-1])
+    assert got == [(key, -s) for s, key in sorted((-plain(rows[0][1], v), key) for key, v in rows[1:])[:5]]
+
+
+def test_without_networks_blocks_are_searched_whole(shipped, monkeypatch):
+    monkeypatch.setattr(learned_ann, "MAX_NETWORKS", 0)
+    monkeypatch.setattr(learned_ann, "BLOCK_ROWS", 900)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.integers(-3, 4, 3).astype(float).tolist()) for k in range(2500)]
+    df = shipped.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in learned_ann.search(df, F.col("id") >= 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == brute_nearest(rows, lambda q: True, 3)
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(0)
     graph = learned_ann.neighbour_graph(rng.normal(size=(400, 8)), 6)

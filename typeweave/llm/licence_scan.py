@@ -16,6 +16,8 @@ an empty table on either side gives no match; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ RIGHTS = r"all rights reserved[^\na-z0-9]*"
 CLAIM_LINES = rf"(^|\n)([^\na-z0-9]*({NOTICE}[^\n]{{0,200}}|{RIGHTS})(\n|\z))+"
 #: A claim with a sign or year in the line in which the licence begins, whose first words are the last group.
 CLAIM_BEFORE = rf"(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9])[^\n]{{0,200}}?({RIGHTS})?({'|'.join(OPENINGS)})"
+#: Without any of these a text has no claim.
+CLAIM_SIGNS = ("copyright", "(c)", "©", "all rights")
 #: Numbers and letters of a list, at the beginning of a line or behind the end of what was before.
-BULLETS = r"(^|\n|[.:;][ \t])[ \t]*([0-9]{1,2}|[a-z])[.)][ \t]"
+BULLETS = r"(?:^|\n|[.:;][ \t])[ \t]*(?:[0-9]{1,2}|[a-z])[.)][ \t]"
 #: Everything but ASCII letters and digits and the letters of other scripts.
 NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -46,7 +50,8 @@ def _spellings() -> list[tuple[str, str]]:
 def canonical(text: Column) -> Column:
     """The canonical words of a text, parted by single blanks."""
     out = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, CLAIM_LINES, "\n"), CLAIM_BEFORE, "$4")
+    claims = functools.reduce(Column.__or__, (F.contains(out, F.lit(sign)) for sign in CLAIM_SIGNS))
+    out = F.when(claims, F.regexp_replace(F.regexp_replace(out, CLAIM_LINES, "\n"), CLAIM_BEFORE, "$4")).otherwise(out)
     out = F.regexp_replace(out, BULLETS, "\n")
     out = F.concat(F.lit(" "), F.regexp_replace(out, NO_WORD, "  "), F.lit(" "))
     for old, new in _spellings():
