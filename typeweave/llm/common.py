@@ -140,37 +140,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: One random 64-bit value a byte, from a fixed seed: the digits of the polynomial hash.
-_DIGIT = np.random.Generator(np.random.PCG64(20240607)).integers(1, _M64, size=256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two sets of one random 64-bit value a byte, from a fixed seed: the digits of two polynomial hashes.
+_DIGITS = np.random.Generator(np.random.PCG64(20240607)).integers(1, _M64, size=(2, 256), dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
+def _powers(n: int, kind: int, inverse: bool) -> np.ndarray:
+    """At least n powers of a base, or of its inverse, modulo 2**64."""
+    table = _POWERS.get((kind, inverse))
+    if table is None or len(table) < n:
         size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table, step = np.ones(1, np.uint64), base
-            while len(table) < size:
-                table, step = np.concatenate([table, table * np.uint64(step)]), step * step & _M64
-            _POWERS[k] = table
-    return _POWERS[0], _POWERS[1]
+        table, step = np.ones(1, np.uint64), pow(_BASES[kind], -1 if inverse else 1, 1 << 64)
+        while len(table) < size:
+            table, step = np.concatenate([table, table * np.uint64(step)]), step * step & _M64
+        _POWERS[kind, inverse] = table
+    return table
 
 
 class SpanHasher:
     """64-bit hashes of any spans of one byte string, from prefix sums of a polynomial.
 
     Equal spans have equal hashes wherever they stand; spans of different bytes share a
-    hash with a probability of about 2**-64.
+    hash with a probability of about 2**-64. Hashes of kinds 0 and 1 are independent.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kind: int = 0):
         raw = np.frombuffer(data, np.uint8)
-        powers, self.inverse = _powers(len(raw) + 1)
+        self.inverse = _powers(len(raw) + 1, kind, True)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_DIGIT[raw] * powers[: len(raw)], out=self.sums[1:])
+        np.cumsum(_DIGITS[kind][raw] * _powers(len(raw) + 1, kind, False)[: len(raw)], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         x = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]

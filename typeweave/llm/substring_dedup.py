@@ -4,7 +4,9 @@ A gear hash rolls over the bytes of a text's words; a chunk ends behind the word
 smallest of some run of words, so the ends depend on the words around only and an insertion shifts
 no others. Chunks are matched by digest. A window of MIN_WORDS words is looked at if all chunks that
 its own words fix are held by more than one place: it is matched by its hash, and of equal windows
-all but the first (by document, then place) are duplicates. What is removed is the union of a text's
+all but the first (by document, then place) are duplicates. Texts that equal an earlier one word for
+word are known by the digest of their words: all of such a text is duplicate, and only the first of
+them goes on, so copies cost nothing further, however many there are. Hashes of windows have 96 bits. What is removed is the union of a text's
 duplicate windows, so a removed span has at least MIN_WORDS words, all of which stand elsewhere, and
 every repeated passage of that length stays in its first place only.
 
@@ -22,6 +24,8 @@ an empty table gives an empty result; other columns stay as they are.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -93,7 +97,8 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(texts: DataFrame, min_words: int) -> DataFrame:
-    """Rows (id, of, digests array<bigint>, row): a text's chunks. row is unique once the result is staged.
+    """Rows (id, of, digests array<bigint>, whole binary, words int, row): a text's chunks, the digest and
+    number of its words. row is unique once the result is staged.
 
     A digest is that of the chunk and of the bytes before it on which its beginning depends.
     """
@@ -101,9 +106,11 @@ def chunks(texts: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            digests = []
+            digests, whole, words = [], [], []
             for text in part.column(2).to_pylist():
                 data = normal_words(text)
+                whole.append(hashlib.md5(data).digest())
+                words.append(data.count(b" ") + 1 if data else 0)
                 if not data:
                     digests.append(np.empty(0, np.int64))
                     continue
@@ -111,13 +118,20 @@ def chunks(texts: DataFrame, min_words: int) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 digests.append(SpanHasher(data).spans(np.maximum(starts - GEAR_BYTES, 0), ends).view(np.int64))
             lengths = np.asarray(list(map(len, digests)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(np.concatenate(digests), lengths, pa.int64())], ["id", "of", "digests"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(np.concatenate(digests), lengths, pa.int64()), pa.array(whole, pa.binary()), pa.array(words, pa.int32())], ["id", "of", "digests", "whole", "words"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    made = texts.mapInArrow(run, f"id {kind}, of bigint, digests array<bigint>")
+    made = texts.mapInArrow(run, f"id {kind}, of bigint, digests array<bigint>, whole binary, words int")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
+def copied(chunked: DataFrame, min_words: int) -> DataFrame:
+    """Rows (id, of, words, rep_id, rep_of) of texts that have the same words as an earlier one, the rep."""
+    each = chunked.where(F.col("words") >= min_words).groupBy("id", "of").agg(F.min("row").alias("row"), F.min("whole").alias("whole"), F.min("words").alias("words"))
+    first = each.groupBy("whole").agg(F.min(F.struct("id", "row", "of")).alias("rep"), F.count("*").alias("n")).where("n > 1").select("whole", F.col("rep.id").alias("rep_id"), F.col("rep.of").alias("rep_of"), F.col("rep.row").alias("rep_row"))
+    return each.join(redealt(first, "whole"), "whole").where("row <> rep_row").select("id", "of", "words", "rep_id", "rep_of")
+
+
 def repeated(items: DataFrame, item: str) -> DataFrame:
     """The rows of items whose value of a column more than one row has; no group comes together."""
     many = items.groupBy(item).agg(F.count("*").alias("n")).where("n > 1").select(item)
@@ -146,8 +160,8 @@ def candidate_runs(chunked: DataFrame) -> DataFrame:
 
 
 def windows(texts: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (row, id, of, at array<int>, hashes array<bigint>): the windows of min_words words, by
-    the number of their first word, whose own chunks are all in runs: those between the first and
+    """Rows (row, id, of, at array<int>, hashes array<bigint>, more array<int>): the windows of min_words words,
+    by the number of their first word, whose own chunks are all in runs: those between the first and
     the last end that the window fixes.
     """
     kind = texts.schema["id"].dataType.simpleString()
@@ -155,7 +169,7 @@ def windows(texts: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            all_at, all_hashes = [], []
+            all_at, all_hashes, all_more = [], [], []
             for text, own in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                 data = normal_words(text)
                 raw = np.frombuffer(data, np.uint8)
@@ -170,13 +184,16 @@ def windows(texts: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
                 first, last = (behind[at : at + n] for at in (GEAR_WORDS, min_words - width))
                 at = np.flatnonzero(lone[last] == lone[first]) if n else np.empty(0, np.int64)
                 all_at.append(at.astype(np.int32))
-                all_hashes.append(SpanHasher(data).spans(starts[at], stops[at + min_words - 1]).view(np.int64) if len(at) else np.empty(0, np.int64))
+                both = [SpanHasher(data, kind).spans(starts[at], stops[at + min_words - 1]) if len(at) else np.empty(0, np.uint64) for kind in (0, 1)]
+                all_hashes.append(both[0].view(np.int64))
+                all_more.append(both[1].astype(np.uint32).view(np.int32))
             lengths = np.asarray(list(map(len, all_at)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], list_array(np.concatenate(all_at), lengths, pa.int32()), list_array(np.concatenate(all_hashes), lengths, pa.int64())], ["row", "id", "of", "at", "hashes"])
+            flat = [list_array(np.concatenate(x), lengths, t) for x, t in ((all_at, pa.int32()), (all_hashes, pa.int64()), (all_more, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *flat], ["row", "id", "of", "at", "hashes", "more"])
 
     once = runs.groupBy("id", "of").agg(F.min(F.struct("row", "runs")).alias("r"))
     joined = texts.join(once, ["id", "of"]).select(F.col("r.row").alias("row"), "id", "of", "text", F.col("r.runs").alias("runs"))
-    return joined.mapInArrow(run, f"row bigint, id {kind}, of bigint, at array<int>, hashes array<bigint>")
+    return joined.mapInArrow(run, f"row bigint, id {kind}, of bigint, at array<int>, hashes array<bigint>, more array<int>")
 
 
 def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -187,14 +204,15 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = _texts(df, id_col, text_col)
     chunked = staged(chunks(texts, min_words), "chunks")
-    runs = staged(candidate_runs(chunked), "runs")
+    copies = staged(copied(chunked, min_words), "copies")
+    runs = staged(candidate_runs(chunked.join(copies.select("id", "of"), ["id", "of"], "left_anti")), "runs")
     release(chunked)
     looked = staged(windows(texts, runs, min_words), "windows")
     release(runs)
-    each = looked.select("row", "id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("row", "id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"))
-    first = each.groupBy("hash").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first.*")
-    first = redealt(first, "hash").toDF("hash", "first_id", "first_row", "first_at")
-    later = each.select("row", "at", "hash").join(first, "hash").where("row <> first_row OR at <> first_at").select("row", "at", "first_id")
+    each = looked.select("row", "id", F.explode(F.arrays_zip("at", "hashes", "more")).alias("w")).select("row", "id", F.col("w.at").alias("at"), F.col("w.hashes").alias("hash"), F.col("w.more").alias("more"))
+    first = each.groupBy("hash", "more").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "first.*")
+    first = redealt(staged(first, "first"), "hash").toDF("hash", "more", "first_id", "first_row", "first_at")
+    later = each.select("row", "at", "hash", "more").join(first, ["hash", "more"]).where("row <> first_row OR at <> first_at").select("row", "at", "first_id")
     found = later.groupBy("row").agg(F.collect_list(F.struct("at", "first_id")).alias("found"))
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -215,7 +233,11 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("first_id", of_id)])))], ["id", "of", "spans"])
 
     joined = found.join(looked.select("row", "id", "of").dropDuplicates(["row"]), "row").select("id", "of", "found")
-    return joined.mapInArrow(run, f"id {kind}, of bigint, spans array<struct<first_word:int,words:int,first_id:{kind}>>")
+    out = staged(joined.mapInArrow(run, f"id {kind}, of bigint, spans array<struct<first_word:int,words:int,first_id:{kind}>>"), "spans")
+    release(looked)
+    begins = out.where(F.col("spans")[0]["first_word"] == 0).select(F.col("id").alias("rep_id"), F.col("of").alias("rep_of"), F.col("spans")[0]["first_id"].alias("first_id"))
+    whole = F.struct(F.lit(0).alias("first_word"), "words", F.coalesce("first_id", "rep_id").alias("first_id"))
+    return out.unionByName(copies.join(redealt(begins, "rep_of"), ["rep_id", "rep_of"], "left").select("id", "of", F.array(whole).alias("spans")))
 
 
 def cut_text(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
