@@ -16,7 +16,7 @@ def test_names():
     assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
 
 
-@pytest.mark.parametrize("number", [1, 5, 7, 9])
+@pytest.mark.parametrize("number", [1, 5, 6, 7, 9])
 def test_queries_with_sql(spark, number):
     (name,) = (n for n in __spark_entry__.queries() if n.startswith(f"op{number}_"))
     con = duckdb.connect()
