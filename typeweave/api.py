@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeweave.functions.conditions import lenient, to_sql, tokens
 from typeweave.functions.errors import MissingError, PatternError
 from typeweave.functions.types import show_term, show_type, type_uid
 from typeweave.functions.values import PROPS, plain_props, props_of, show_props, shown_props
@@ -194,6 +195,16 @@ class Graph:
                 df = df.withColumn(column(name, "r_"), F.struct(v["start"].alias("start_uid"), v["end"].alias("end_uid"), *(shown[f].alias(f) for f in ("type_uid", "type", "term", "props"))))
         return df.select(*(F.col(column(name, "r_")).alias(name) for name in names)) if names else df.select(F.lit(0).alias("_"))
 
+    def with_props(self, df: DataFrame, kind: str, name: str) -> DataFrame:
+        """Rows with the properties of a variable in _props."""
+        v, frames = F.col(column(name)), self.frames()
+        if kind == "node":
+            return df.join(frames.nodes.select(F.col("uid").alias("_u"), F.col("props").alias("_props")), v == F.col("_u"), "left").drop("_u")
+        if column(name, SHOWN) in df.columns:
+            return df.withColumn("_props", F.col(column(name, SHOWN))["props"])
+        own = frames.edges.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), F.col("props").alias("_props"))
+        return df.join(own, (v["start"] == F.col("_s")) & (v["end"] == F.col("_e")), "left").drop("_s", "_e")
+
     @staticmethod
     def shown(df: DataFrame, name: str) -> Column:
         """The string of an element from its struct in table()."""
@@ -260,7 +271,10 @@ class Query:
         return self
 
     def where(self, condition: Any) -> Query:
-        """Keeps the rows that a condition on the columns of to_df() holds for; null counts as false."""
+        """Keeps the rows that a condition holds for; null counts as false.
+
+        A condition is a column over those of to_df(), or text as in functions.conditions.
+        """
         self.clauses.append(("where", condition))
         return self
 
@@ -325,8 +339,21 @@ class Query:
 
     def _where(self, rows: Rows, condition: Any) -> Rows:
         rows = self.checked(rows, ())
-        named = rows.df.withColumns({n: F.col(column(n)) for n in rows.kinds})
-        return Rows(named.where(F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))).drop(*rows.kinds), rows.kinds)
+        df, asked = rows.df, {}
+        if isinstance(condition, str):
+
+            def column_of(name: str, key: str, as_kind: str) -> str | None:
+                kind = rows.kinds.get(name)
+                if kind not in ("node", "edge") or kind == "edge" and key in ("start", "end"):
+                    return None
+                return asked.setdefault((name, key, as_kind), f"p:{len(asked)}")
+
+            condition = F.expr(to_sql(tokens(condition), column_of))
+            for name in dict.fromkeys(name for name, _, _ in asked):
+                own = {made: lenient(F.col("_props")[key], as_kind) for (n, key, as_kind), made in asked.items() if n == name}
+                df = self.graph.with_props(df, rows.kinds[name], name).withColumns(own).drop("_props")
+        named = df.withColumns({n: F.col(column(n)) for n in rows.kinds})
+        return Rows(named.where(F.coalesce(condition, F.lit(False))).drop(*rows.kinds, *asked.values()), rows.kinds)
 
     def _create(self, rows: Rows, path: PathPattern) -> Rows:
         path.check()

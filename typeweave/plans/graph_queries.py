@@ -133,6 +133,14 @@ def _where(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("where_clause", _where, f"SELECT s AS a, e AS b FROM ({_IN_NATION}) WHERE e = '{_N3}' OR starts_with(s, 'a')")
 
 
+def _where_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    condition = "n.p_size > 40 XOR n.p_brand STARTS WITH 'Brand#1' OR NOT n.p_size >= 3"
+    return graph(spark, sf_dir).query().match("(n { kind: 'part' })").where(condition).to_df("n")
+
+
+_add("where_properties", _where_props, f"SELECT {_var('part', 'p_partkey')} AS n FROM part WHERE ((p_size > 40) <> starts_with(p_brand, 'Brand#1')) OR NOT p_size >= 3")
+
+
 def _rendered(var: str, pattern: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: graph(spark, sf_dir).query().match(pattern).to_strings(var).withColumnRenamed(var, "shown")
 
@@ -390,3 +398,34 @@ _add(
 UNION ALL SELECT DISTINCT 'Node(region_' || n_regionkey || ':' || CASE WHEN n_regionkey = 0 THEN 'top' ELSE '' END || ' {})', 'region_' || n_regionkey, CASE WHEN n_regionkey = 0 THEN 'top' ELSE 'None' END FROM nation
 UNION ALL SELECT 'Edge((nation_' || n_nationkey || ' -> region_' || n_regionkey || '):in {w: 0.5})', '(nation_' || n_nationkey || ' -> region_' || n_regionkey || ')', 'in' FROM nation""",
 )
+
+
+def _bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of error a clause raises, and that it has changed nothing."""
+    rows = []
+    for clause, pattern in BAD_CLAUSES:
+        g = Graph([Constant("to", "(S:*) -> (T:*)"), Constant("one", "A -> B")], spark)
+        try:
+            getattr(g.query(), clause)(pattern).execute()
+            rows.append((pattern, None, len(g.nodes())))
+        except (TypeError, ValueError, KeyError) as error:
+            rows.append((pattern, next(k.__name__ for k in (KeyError, TypeError, ValueError) if isinstance(error, k)), len(g.nodes())))
+    return spark.createDataFrame(rows, "pattern string, error string, n_nodes bigint")
+
+
+#: Patterns that can't be read or carried out: brackets, names, paths; wildcards, schemas that don't fit, unknown constants.
+BAD_CLAUSES = [("match", p) for p in ("(n", "(n]", "(1n)", "(None)", "(a)(b)", "(a)-[]->", "-[]->(a)", "(a:A:b:c)", "(a { k })", "(a)-[e]=>(b)", "")]
+BAD_CLAUSES += [("create", p) for p in ("(:*)", "()", "(:A)-[::@to(A, B)]-(:B)", "(::@to(A))", "(:B)-[::@one()]->(:A)", "(:A)-[:A -> B:@to(B, A)]->(:B)", "(n:A:@one())", "(::@none())", "(:A)-[::t]->(:C)")]
+_ERRORS = {"(:B)-[::@one()]->(:A)": "TypeError", "(::@none())": "KeyError", "(:A)-[:A -> B:@to(B, A)]->(:B)": "ValueError"}
+_add("clause_errors", _bad, " UNION ALL ".join(f"SELECT '{p}' AS pattern, '{_ERRORS.get(p, 'ValueError')}' AS error, 0::BIGINT AS n_nodes" for _, p in BAD_CLAUSES))
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of all clauses as text, and the names that the package exports."""
+    import typeweave
+
+    q = Graph([], spark).query().match("(n:A)-[e]->(m)").where("n.k > 1").create("(:B { k: 1 })").set("n", {"k": "x", "l": [1, 2.5]}).set("e", {"k": None}, False).remove("n", "e")
+    return spark.createDataFrame([(line,) for line in [*str(q).splitlines(), *sorted(typeweave.__all__)]], "line string")
+
+
+_add("query_text", _text, "SELECT unnest(['MATCH (n:A)-[e]->(m)', 'WHERE n.k > 1', 'CREATE (:B { k: 1 })', 'SET n = {k: \"x\", l: [1, 2.5]}', 'SET e += {k: ()}', 'REMOVE n, e', 'Constant', 'Edge', 'Element', 'Graph', 'Node', 'Query', 'Term', 'Type']) AS line")
