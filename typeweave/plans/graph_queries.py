@@ -85,7 +85,7 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -
     ORACLES[name] = sql
 
 
-_add("flagship_path", matched("(c { kind: 'customer' })-[e]->(n)-[]->(r { r_name: 'ASIA' })", c_uid="c", n_uid="n"), _WITH + f"SELECT a.s AS c_uid, a.e AS n_uid FROM e a JOIN e b ON a.e = b.s JOIN region ON b.e = {_var('region', 'r_regionkey')} WHERE a.c = 'in_nation' AND r_name = 'ASIA'")
+_add("flagship_path", matched("(c { kind: 'customer' })-[e]->(n)-[]->(r { r_name: 'ASIA' })", c_uid="c", n_uid="n"), f"SELECT {_var('customer', 'c_custkey')} AS c_uid, {_var('nation', 'n_nationkey')} AS n_uid FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 _add("node_scan", matched("(n)", uid="n"), _WITH + "SELECT uid FROM n")
 _add("node_exact_type", matched("(n:nation_3)", uid="n"), _WITH + f"SELECT uid FROM n WHERE uid = '{_N3}'")
 _add("node_type_capture", matched("(n:(X:*))", uid="n", x="X"), _WITH + "SELECT uid, uid AS x FROM n")
