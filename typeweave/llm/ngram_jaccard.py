@@ -366,7 +366,7 @@ def with_sets(members: DataFrame, n: int) -> DataFrame:
 
 
 def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Rows (row, links, root) for members(row, component, sig, text) of candidate groups."""
+    """Rows (row, links, root) for members(row, component, sig, text) of candidate groups; staged."""
     sets = with_sets(members, n)
     sizes = sets.groupBy("component").agg(F.count("*").alias("texts"), F.sum(F.length("keys").cast("bigint")).alias("bytes"))
     even = F.least(F.lit(SPREAD_BLOCKS), F.ceil(F.col("texts") / LEAST_TEXTS))
@@ -393,7 +393,9 @@ def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
     alive = staged(in_units(units, partners, ["component", "x", "y", "side", "row"]), "partners")
     columns = ["sig", "size", "near", "keys", "drops", "shared", "pivot_size"]
     dealt = alive.join(sets.select("row", *columns), "row").select("component", "x", "y", "side", "row", *columns)
-    return in_units(dealt, links, ["row", "links", "root"])
+    out = staged(in_units(dealt, links, ["row", "links", "root"]), "links")
+    release(sets, alive)
+    return out
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -414,7 +416,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
     first = made.select("row", "id").join(wanted, "row")  # one document's text stands for its class
     members = staged(texts.join(first, ["id", "digest"]).groupBy("row").agg(F.first("component").alias("component"), F.first("sig").alias("sig"), F.first("text").alias("text")), "members")
-    found = staged(verified(members, n, threshold), "links")
+    found = verified(members, n, threshold)
     release(members, reps)
     links = found.groupBy("row").agg(F.sum("links").alias("n_links"))
     tied = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
