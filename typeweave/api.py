@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from typeweave.functions.conditions import lenient, to_sql, tokens
 from typeweave.functions.errors import MissingError, PatternError
-from typeweave.functions.types import show_term, show_type, type_uid
+from typeweave.functions.types import show_term, show_type, shown_uid, type_uid
 from typeweave.functions.values import PROPS, plain_props, props_of, show_props, shown_props
 from typeweave.operators.frames import Frames, LocalStore, local_frame
 from typeweave.operators.tables import TableStore, literal_props
@@ -93,6 +93,16 @@ class Edge(_Element):
 Element = Type | Term | Node | Edge
 
 
+def _plain_uid(value: Any) -> Any:
+    """A uid from a row in hex; the two of an edge as a tuple."""
+    return tuple(map(_plain_uid, value)) if isinstance(value, tuple) else bytes(value).hex()
+
+
+def _shown(kind: str, v: Column) -> Column:
+    """A variable's column as users see it."""
+    return F.struct(*(shown_uid(v[end]).alias(end) for end in ("start", "end"))) if kind == "edge" else shown_uid(v)
+
+
 def _session(spark: SparkSession | None) -> SparkSession:
     return spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
@@ -146,7 +156,7 @@ class Graph:
             for uid, own in made.items():
                 self.store.set_props("node", uid, own, overwrite)
         elif made:
-            changes = local_frame(self.spark, [(uid, list(own.items())) for uid, own in made.items()], f"uid string, props {PROPS}")
+            changes = local_frame(self.spark, [(uid, list(own.items())) for uid, own in made.items()], f"uid binary, props {PROPS}")
             self.store.set_props("node", changes.withColumnRenamed("props", "new"), overwrite)
 
     def set_edge_properties(self, values: dict[tuple[str, str], dict[str, Any]], overwrite: bool = True) -> None:
@@ -159,7 +169,7 @@ class Graph:
             for edge, own in made.items():
                 self.store.set_props("edge", edge, own, overwrite)
         elif made:
-            changes = local_frame(self.spark, [(*edge, list(own.items())) for edge, own in made.items()], f"start_uid string, end_uid string, props {PROPS}")
+            changes = local_frame(self.spark, [(*edge, list(own.items())) for edge, own in made.items()], f"start_uid binary, end_uid binary, props {PROPS}")
             self.store.set_props("edge", changes.withColumnRenamed("props", "new"), overwrite)
 
     @staticmethod
@@ -181,18 +191,18 @@ class Graph:
         for name in dict.fromkeys(names):
             kind, v = rows.kinds[name], F.col(column(name))
             if kind in ("type", "term"):
-                own = (types if kind == "type" else terms).select(F.col("uid").alias("_u"), F.struct("uid", "repr").alias(column(name, "r_")))
+                own = (types if kind == "type" else terms).select(F.col("uid").alias("_u"), F.struct(shown_uid(F.col("uid")).alias("uid"), "repr").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             elif kind == "node":
                 own = frames.nodes.join(terms, "uid", "left").withColumnRenamed("repr", "term")
-                own = own.select(F.col("uid").alias("_u"), F.struct("uid", "type", "term", "props").alias(column(name, "r_")))
+                own = own.select(F.col("uid").alias("_u"), F.struct(shown_uid(F.col("uid")).alias("uid"), "type", "term", "props").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             else:
                 if column(name, SHOWN) not in df.columns:
                     own = frames.edges.select(F.col("start_uid").alias("_s"), F.col("end_uid").alias("_e"), edge_shown().alias(column(name, SHOWN)))
                     df = df.join(own, (v["start"] == F.col("_s")) & (v["end"] == F.col("_e")), "left").drop("_s", "_e")
                 shown = F.col(column(name, SHOWN))
-                df = df.withColumn(column(name, "r_"), F.struct(v["start"].alias("start_uid"), v["end"].alias("end_uid"), *(shown[f].alias(f) for f in ("type_uid", "type", "term", "props"))))
+                df = df.withColumn(column(name, "r_"), F.struct(*(shown_uid(c).alias(n) for c, n in ((v["start"], "start_uid"), (v["end"], "end_uid"), (shown["type_uid"], "type_uid"))), *(shown[f].alias(f) for f in ("type", "term", "props"))))
         return df.select(*(F.col(column(name, "r_")).alias(name) for name in names)) if names else df.select(F.lit(0).alias("_"))
 
     def with_props(self, df: DataFrame, kind: str, name: str) -> DataFrame:
@@ -218,7 +228,7 @@ class Graph:
         if isinstance(self.store, LocalStore):
             columns = [F.col(column(n)) for n in names] or [F.lit(0)]
             for row in rows.df.select(*columns).collect():
-                yield {n: self._local(rows.kinds[n], value) for n, value in zip(names, row, strict=False)}
+                yield {n: self._local(rows.kinds[n], _plain_uid(value)) for n, value in zip(names, row, strict=False)}
             return
         kinds = {"type": Type, "term": Term, "node": Node}
         for row in self.table(rows, names).collect():
@@ -242,7 +252,7 @@ class Graph:
         if kind == "node":
             term = store.terms.get(value)
             return Node(uid=value, type=show_type(store.types[value]), term=show_term(term) if term else None, props=plain_props(store.nodes[value]))
-        edge = (value["start"], value["end"])
+        edge = value
         own = store.edge_type(edge)
         return Edge(uid=edge, type_uid=own, type=show_type(store.types[own]), term=show_term(store.terms[own]), props=plain_props(store.edges[edge]))
 
@@ -302,7 +312,7 @@ class Query:
         names = variables or tuple(rows.kinds)
         if (rows := self.checked(rows, names)) is None:
             raise MissingError("there is no such variable")
-        return rows.df.select(*(F.col(column(n)).alias(n) for n in names))
+        return rows.df.select(*(_shown(rows.kinds[n], F.col(column(n))).alias(n) for n in names))
 
     def to_table(self, *variables: str) -> DataFrame:
         """The elements, lazily: a struct column for each variable."""
@@ -352,7 +362,7 @@ class Query:
             for name in dict.fromkeys(name for name, _, _ in asked):
                 own = {made: lenient(F.col("_props")[key], as_kind) for (n, key, as_kind), made in asked.items() if n == name}
                 df = self.graph.with_props(df, rows.kinds[name], name).withColumns(own).drop("_props")
-        named = df.withColumns({n: F.col(column(n)) for n in rows.kinds})
+        named = df.withColumns({n: _shown(kind, F.col(column(n))) for n, kind in rows.kinds.items()})
         return Rows(named.where(F.coalesce(condition, F.lit(False))).drop(*rows.kinds, *asked.values()), rows.kinds)
 
     def _create(self, rows: Rows, path: PathPattern) -> Rows:
@@ -371,7 +381,7 @@ class Query:
             return [{}]
         names = list(rows.kinds)
         got = rows.df.select(*(F.col(column(n)) for n in names), F.lit(0)).limit(LOCAL_ROWS + 1).collect()
-        return None if len(got) > LOCAL_ROWS else [dict(zip(names, row[: len(names)], strict=True)) for row in got]
+        return None if len(got) > LOCAL_ROWS else [dict(zip(names, map(_plain_uid, row[: len(names)]), strict=True)) for row in got]
 
     def _create_local(self, rows: Rows, path: PathPattern, local: list[dict[str, Any]]) -> Rows:
         store = self.graph.store
@@ -388,7 +398,7 @@ class Query:
                 elif kind == "node":
                     bindings[name] = ("node", (store.types[value], store.terms.get(value)))
                 else:
-                    bindings[name] = ("edge", store.terms[store.edge_type((value["start"], value["end"]))])
+                    bindings[name] = ("edge", store.terms[store.edge_type(value)])
             created.append(infer(path, bindings, store.constants))
         store.add([n for got in created for n in got.nodes], [e for got in created for e in got.edges], node_props, edge_props)
         out = [got.bindings for got in created]
@@ -398,7 +408,7 @@ class Query:
     def _from_bindings(self, found: list[dict], kinds: dict[str, str]) -> Rows:
         parts, columns = [], []
         for name, kind in kinds.items():
-            parts += [column(name, p) + " string" for p in (("s_", "e_") if kind == "edge" else ("v_",))]
+            parts += [column(name, p) + " binary" for p in (("s_", "e_") if kind == "edge" else ("v_",))]
         for bindings in found:
             row: list[str] = []
             for name, kind in kinds.items():
@@ -430,7 +440,7 @@ class Query:
             store, kind = self.graph.store, rows.kinds[name]
             if isinstance(store, LocalStore):
                 for key in keys.collect():
-                    store.set_props(kind, key["uid"] if kind == "node" else tuple(key), props, overwrite)
+                    store.set_props(kind, _plain_uid(key["uid"]) if kind == "node" else _plain_uid(key), props, overwrite)
             else:
                 store.set_props(kind, keys.withColumn("new", literal_props(plain)), overwrite)
         return rows.bare()
@@ -443,7 +453,7 @@ class Query:
             store, kind = self.graph.store, rows.kinds[name]
             if isinstance(store, LocalStore):
                 for key in keys.collect():
-                    store.remove_node(key["uid"]) if kind == "node" else store.remove_edge(tuple(key))
+                    store.remove_node(_plain_uid(key["uid"])) if kind == "node" else store.remove_edge(_plain_uid(key))
             else:
                 store.remove(kind, keys)
             rows = Rows(rows.df.drop(column(name)), {n: k for n, k in rows.kinds.items() if n != name}).bare()

@@ -41,11 +41,21 @@ def type_uid(t: Type) -> str:
 
 
 def var_uid(name: Column) -> Column:
-    return F.sha2(F.concat(F.lit("var:"), name), 256)
+    """The uid of a named type in columns, where uids are the 32 bytes themselves."""
+    return F.unhex(F.sha2(F.concat(F.lit("var:"), name), 256))
 
 
 def arrow_uid(left: Column, right: Column) -> Column:
-    return F.sha2(F.concat(F.lit("arr:").cast("binary"), F.unhex(left), F.lit(":").cast("binary"), F.unhex(right)), 256)
+    return F.unhex(F.sha2(F.concat(F.lit("arr:").cast("binary"), left, F.lit(":").cast("binary"), right), 256))
+
+
+def uid_lit(t: Type) -> Column:
+    return F.lit(bytes.fromhex(type_uid(t)))
+
+
+def shown_uid(uid: Column) -> Column:
+    """A uid as users see it: in lower-case hex."""
+    return F.lower(F.hex(uid))
 
 
 def show_type(t: Type) -> str:

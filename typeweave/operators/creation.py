@@ -14,17 +14,18 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.functions.types import arrow_uid, show_type, type_uid
-from typeweave.operators.frames import OF_EDGE, OF_NODE, PART, TERM_COLUMNS, TYPE_COLUMNS, Frames
+from typeweave.functions.types import arrow_uid, show_type, uid_lit
+from typeweave.operators.frames import OF_EDGE, OF_NODE, PART, TERM_COLUMNS, TERMS, TYPE_COLUMNS, TYPES, Frames
 from typeweave.plans.inference import CONSTANT, Answers, Bindings, Constant, Created, Ref, TermRef, has_refs, infer, outcomes, type_of
 from typeweave.plans.match import REPR, column
 from typeweave.plans.patterns import PathPattern
 
-NODE = "struct<k:int,uid:string,type:string,full:string>"
-EDGE = "struct<k:int,s:string,e:string,type_uid:string,full:string,t_kind:string,t_name:string,start_type:string,end_type:string,term:string>"
-TYPE = "struct<" + ",".join(f"{c}:string" for c in TYPE_COLUMNS) + ">"
+NODE = "struct<k:int,uid:binary,type:string,full:string>"
+EDGE = "struct<k:int,s:binary,e:binary,type_uid:binary,full:string,t_kind:string,t_name:string,start_type:string,end_type:string,term:string>"
+KIND_OF = {part.split()[0]: part.split()[1] for part in f"{TYPES}, {TERMS}".split(", ")}
+TYPE = "struct<" + ",".join(f"{c}:{KIND_OF[c]}" for c in TYPE_COLUMNS) + ">"
 #: Terms come with the rank and place by which candidates of one type are taken.
-TERM = "struct<rank:int,place:int,full:string," + ",".join(f"{c}:string" for c in TERM_COLUMNS if c != "full") + ">"
+TERM = "struct<rank:int,place:int,full:string," + ",".join(f"{c}:{KIND_OF[c]}" for c in TERM_COLUMNS if c != "full") + ">"
 
 
 class Lookups:
@@ -77,7 +78,7 @@ class Lookups:
         if isinstance(t, Ref):
             return self.place(t.path)
         if not has_refs(t):
-            return F.lit(type_uid(t))
+            return uid_lit(t)
         if t not in self.hashed:
             own = arrow_uid(self.uid(t[0]), self.uid(t[1]))
             self.hashed[t] = own
@@ -96,8 +97,8 @@ class Lookups:
             return
         for part in () if isinstance(t, str) else t:
             self.type_rows(part, into)
-        none = F.lit(None).cast("string")
-        rest = [F.lit("var"), F.lit(t), none, none] if isinstance(t, str) else [F.lit("arr"), none, self.uid(t[0]), self.uid(t[1])]
+        none = F.lit(None).cast("binary")
+        rest = [F.lit("var"), F.lit(t), none, none] if isinstance(t, str) else [F.lit("arr"), F.lit(None).cast("string"), self.uid(t[0]), self.uid(t[1])]
         into[t] = [self.uid(t), *rest, self.shown(t)]
 
     # terms
@@ -155,12 +156,12 @@ class Lookups:
         for part in term[1:3] if app else ():
             self.term_rows(part, PART, 0, into, types)
         self.type_rows(type_of(term), types)
-        none, t = F.lit(None).cast("string"), type_of(term)
+        none, t = F.lit(None).cast("binary"), type_of(term)
         arrow = F.when(F.startswith(self.shown(t), F.lit("(")), F.lit("y")).otherwise(F.lit("n")) if isinstance(t, Ref) else F.lit("n" if isinstance(t, str) else "y")
         if held:
             parts = [self.field("terms", term.path, c) for c in ("name", "function_uid", "argument_uid")]
         else:
-            parts = [none, self.uid(type_of(term[1])), self.uid(type_of(term[2]))] if app else [self.base_name(term), none, none]
+            parts = [F.lit(None).cast("string"), self.uid(type_of(term[1])), self.uid(type_of(term[2]))] if app else [self.base_name(term), none, none]
         into[term, rank, place] = [F.lit(rank), F.lit(place), self.whole(term, "full"), self.uid(t), arrow, self.kind(term), *parts, self.whole(term, "repr")]
 
     # questions
@@ -276,7 +277,7 @@ def compiled(path: PathPattern, kinds: dict[str, str], constants: dict[str, Cons
     there["terms"] = there["edges"] or any(term is not None for _, got in found if isinstance(got, Created) for _, _, term in got.nodes)
     names = [*there, *(column(name) for name in new)]
     ddl = {"nodes": f"array<{NODE}>", "edges": f"array<{EDGE}>", "types": f"array<{TYPE}>", "terms": f"array<{TERM}>"}
-    ddl |= {column(name): "struct<start:string,end:string>" if kind == "edge" else "string" for name, kind in new.items()}
+    ddl |= {column(name): "struct<start:binary,end:binary>" if kind == "edge" else "binary" for name, kind in new.items()}
 
     def run(df: DataFrame, frames: Frames) -> DataFrame:
         kept, made = [column(name) for name in kinds], []

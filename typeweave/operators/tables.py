@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from typeweave.functions.errors import MissingError
 from typeweave.functions.values import CELL, PROPS, props_of
-from typeweave.operators.creation import Lookups, compiled
+from typeweave.operators.creation import KIND_OF, Lookups, compiled
 from typeweave.operators.frames import EDGE_COLUMNS, NODES, OF_EDGE, TERM_COLUMNS, TERMS, TYPE_COLUMNS, Frames
 from typeweave.plans.inference import CONSTANT, Constant, Ref, TermRef
 from typeweave.plans.match import Rows, column
@@ -271,7 +271,7 @@ class TableStore:
         (_, _, full, uid, kind, *rest), fits = rows[term, OF_EDGE, 0], at.constant(ref).isNotNull()
         named = dict(zip([c for c in TERM_COLUMNS if c != "full"], [uid, kind, *rest], strict=True)) | {"full": full}
         df = at.joined(ends.select(F.col("uid").alias(column("end"))), self._now)
-        return df.where(fits).select(*(c.cast("string").alias(name) for name, c in named.items()))
+        return df.where(fits).select(*(c.cast(KIND_OF[name]).alias(name) for name, c in named.items()))
 
     # REMOVE and SET
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeweave.api import Graph
-from typeweave.functions.types import type_uid
+from typeweave.functions.types import shown_uid, type_uid
 from typeweave.plans.inference import Constant
 from typeweave.sources.relational import EdgeTable, NodeTable, graph_from_tables
 
@@ -120,7 +120,7 @@ _add("type_uid", matched("(n { kind: 'order' })", uid="n"), f"SELECT {_var('orde
 
 
 def _arrow_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph(spark, sf_dir).frames().edges.where("t_name = 'placed_by'").select("type_uid", "start_uid")
+    return graph(spark, sf_dir).frames().edges.where("t_name = 'placed_by'").select(shown_uid(F.col("type_uid")).alias("type_uid"), shown_uid(F.col("start_uid")).alias("start_uid"))
 
 
 _add("arrow_uid", _arrow_uid, f"SELECT {_arr('s', 'e')} AS type_uid, s AS start_uid FROM ({_PLACED_BY})")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.functions.errors import MissingError, PatternError
-from typeweave.functions.types import type_uid
+from typeweave.functions.types import uid_lit
 from typeweave.functions.values import matches
 from typeweave.operators.frames import Frames
 from typeweave.plans.inference import Constant, find_constant
@@ -81,7 +81,7 @@ class Matcher:
         if schema[0] == "any":
             return rows
         if (t := self.ground(schema, rows.kinds)) is not None:
-            return replace(rows, df=rows.df.where(F.col(uid) == F.lit(type_uid(t))))
+            return replace(rows, df=rows.df.where(F.col(uid) == uid_lit(t)))
         if schema[0] == "name":
             if rows.kinds[schema[1]] != "type":
                 rows.fail(PatternError(f"the variable {schema[1]} is a {rows.kinds[schema[1]]}, not a type"))
@@ -175,7 +175,7 @@ class Matcher:
             rows = replace(rows, df=rows.df.join(nodes, F.col(column(p.type[1])) == F.col(CURSOR)))
         else:
             if p.type and (t := self.ground(p.type, rows.kinds)) is not None:
-                nodes = nodes.where(F.col(CURSOR) == F.lit(type_uid(t)))
+                nodes = nodes.where(F.col(CURSOR) == uid_lit(t))
             rows = replace(rows, df=rows.df.crossJoin(nodes))
         rows = self.node_filters(rows, replace(p, props=None))
         return self.bind(rows, p.var, "node", CURSOR) if p.var else rows
@@ -235,7 +235,7 @@ class Matcher:
             df = rows.df.join(edges, F.col(column(node.type[1])) == near)
         else:
             if node.type and (t := self.ground(node.type, rows.kinds)) is not None:
-                edges = edges.where(near == F.lit(type_uid(t)))
+                edges = edges.where(near == uid_lit(t))
             df = edges if rows.df is None else rows.df.crossJoin(edges)
         rows = self.node_filters(replace(rows, df=df.withColumns({CURSOR: near, CURSOR_REPR: F.col(c["near_type"])})), node)
         if node.var:

@@ -93,7 +93,7 @@ def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[E
     for table in nodes:
         name, df = _name(table.kind, table.key), table.df.where(F.col(table.key).isNotNull())
         node_parts.append(df.select(var_uid(name).alias("uid"), name.alias("type"), props_column(df, df.columns, kind=table.kind).alias("props")))
-        type_parts.append(df.select(var_uid(name).alias("uid"), F.lit("var").alias("kind"), name.alias("name"), _empty("string").alias("left_uid"), _empty("string").alias("right_uid"), name.alias("repr")))
+        type_parts.append(df.select(var_uid(name).alias("uid"), F.lit("var").alias("kind"), name.alias("name"), _empty("binary").alias("left_uid"), _empty("binary").alias("right_uid"), name.alias("repr")))
     for table in edges:
         df = table.df.where(F.col(table.start_key).isNotNull() & F.col(table.end_key).isNotNull())
         kept = [c for c in table.df.columns if c not in (table.start_key, table.end_key)] if table.order else []
@@ -109,7 +109,7 @@ def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[E
         full = F.to_json(F.array(F.lit(table.constant), shown))
         edge_parts.append(df.select(var_uid(start).alias("start_uid"), var_uid(end).alias("end_uid"), uid.alias("type_uid"), F.lit("base").alias("t_kind"), F.lit(table.constant).alias("t_name"), start.alias("start_type"), end.alias("end_type"), F.lit(table.constant).alias("term"), full.alias("full"), props_column(df, kept).alias("props")))
         type_parts.append(pairs.select(uid.alias("uid"), F.lit("arr").alias("kind"), _empty("string").alias("name"), var_uid(start).alias("left_uid"), var_uid(end).alias("right_uid"), shown.alias("repr")))
-        term_parts.append(pairs.select(uid.alias("type_uid"), F.lit("y").alias("arrow"), F.lit("base").alias("kind"), F.lit(table.constant).alias("name"), _empty("string").alias("function_uid"), _empty("string").alias("argument_uid"), F.lit(table.constant).alias("repr"), full.alias("full")))
+        term_parts.append(pairs.select(uid.alias("type_uid"), F.lit("y").alias("arrow"), F.lit("base").alias("kind"), F.lit(table.constant).alias("name"), _empty("binary").alias("function_uid"), _empty("binary").alias("argument_uid"), F.lit(table.constant).alias("repr"), full.alias("full")))
 
     def union(parts: list[DataFrame], schema: str) -> DataFrame:
         return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
