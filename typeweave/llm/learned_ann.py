@@ -6,7 +6,7 @@ probable part, and routes every query to several; how many is measured on sample
 back from the network. The number of parts grows with the vectors, and the sample with the parts.
 A part is one block, or more if it has more vectors; each vector goes to one block, and the queries
 that visit a part stream past its blocks. Candidates are found by a matrix product, and the best
-are scored again in double precision in the order of the components.
+are scored again in double precision in the order of the components. What a query finds in a block is one row.
 
 Vectors of each dimension are searched among their own. The most frequent MAX_NETWORKS dimensions
 have networks; any others are searched whole, in blocks.
@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from typeweave.llm.common import list_array, slices, staged
+from typeweave.llm.common import list_array, rows_of, slices, staged
 
 #: Vectors that parts and network are fitted to: so many a part, within these bounds, and bytes at most.
 FIT_ROWS_A_PART, FIT_ROWS, MAX_FIT_ROWS, FIT_BYTES = 64, 4096, 65_536, 128 << 20
@@ -174,8 +173,8 @@ def exact_scores(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return np.cumsum(candidates.astype(np.float64) * query.astype(np.float64), axis=1)[:, -1]
 
 
-def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, id, score) of the k best of a block for each query, its own id left out.
+def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of the k best of a block for each query, its own id left out.
 
     The matrix product may err by as much as the lengths of both vectors and their dimension allow;
     all candidates within twice that of the k-th are scored exactly.
@@ -195,7 +194,7 @@ def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
             found = np.flatnonzero(near)
             exact = exact_scores(queries[at + row], vectors[found])
             best = np.lexsort((ids[found], -exact))[:keep]
-            out += zip([int(query_ids[at + row])] * len(best), ids[found][best].tolist(), exact[best].tolist(), strict=True)
+            out.append((int(query_ids[at + row]), ids[found][best], exact[best]))
     return out
 
 
@@ -291,12 +290,42 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                     queries = np.frombuffer(b"".join(raw[at:end]), number).reshape(-1, here[0])
                     found += block_best(queries, np.asarray(own[at:end], np.int64), block, ids, k)
                 at = end
-            columns = list(zip(*found, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            yield lists(found)
 
-    found = ordered.mapInArrow(compare, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def lists(found):
+        lengths = np.asarray([len(own) for _, own, _ in found], np.int64)
+        flat = [np.concatenate([row[k] for row in found]) if found else np.empty(0) for k in (1, 2)]
+        columns = [pa.array([q for q, _, _ in found], pa.int64()), list_array(flat[0].astype(np.int64), lengths, pa.int64()), list_array(flat[1], lengths, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "ids", "scores"])
+
+    def merge(batches):
+        """The k best of each query's lists, which come one after the other."""
+        query, own, scores = None, [], []
+
+        def best():
+            if query is None:
+                return []
+            all_ids, all_scores = np.concatenate(own), np.concatenate(scores)
+            order = np.lexsort((all_ids, -all_scores))[:k]
+            return [(query, rank, i, s) for rank, (i, s) in enumerate(zip(all_ids[order].tolist(), all_scores[order].tolist(), strict=True), 1)]
+
+        def rows(made):
+            columns = list(zip(*made, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
+
+        for part in slices(batches, 1024):
+            made = []
+            for q, ids, values in zip(part.column(0).to_pylist(), rows_of(part.column(1)), rows_of(part.column(2)), strict=True):
+                if q != query:
+                    made += best()
+                    query, own, scores = q, [], []
+                own.append(ids)
+                scores.append(values)
+            yield rows(made)
+        yield rows(best())
+
+    found = ordered.mapInArrow(compare, "query_id bigint, ids array<bigint>, scores array<double>")
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
