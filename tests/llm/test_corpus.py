@@ -252,6 +252,22 @@ def test_no_repeated_passage_is_missed(docs, letters, words):
     assert got == {doc: gone for (doc, _), gone in brute_spans(rows, 50).items()}
 
 
+def test_copies_of_texts_go_whole(docs):
+    rng = random.Random(9)
+    text, other, short = prose(rng, 90), prose(rng, 200), prose(rng, 49)
+    rows = [(k, " ".join(text)) for k in range(100, 400)] + [(k, " ".join(w.upper() for w in text)) for k in range(400, 420)]
+    rows += [(500, " ".join(other[:70] + text[:55] + other[70:])), (50, " ".join(other[:60])), (501, " ".join(short)), (502, " ".join(short)), (100, " ".join(text))]
+    got, first = {}, {}
+    for r in substring_dedup.duplicate_spans(docs(rows)).collect():
+        for s in r.spans:
+            got.setdefault(r.id, set()).update(range(s.first_word, s.first_word + s.words))
+            first.setdefault(r.id, []).append((s.first_word, s.first_id))
+    assert got == {doc: words for (doc, _), words in brute_spans(rows, 50).items()}
+    assert all(own == [(0, 100)] for k, own in first.items() if k < 500) and sorted(first[500]) == [(0, 50), (70, 100)]
+    early = [(1, " ".join(other[:20] + text)), *rows]  # an earlier text that holds the copies' words
+    assert {tuple(s.first_id for s in r.spans) for r in substring_dedup.duplicate_spans(docs(early)).collect() if 100 <= r.id < 420} == {(1,)}
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(5)
     words = prose(rng, 3000)
