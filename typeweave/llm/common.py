@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.functions.shipping import ship
+from typeweave.functions import shipping
 
 __all__ = ["SpanHasher", "clear", "list_array", "mix64", "new_path", "normal_words", "redealt", "release", "rows_of", "shared_dir", "ship", "slices", "staged", "word_bounds", "word_places"]
 
@@ -22,9 +22,20 @@ __all__ = ["SpanHasher", "clear", "list_array", "mix64", "new_path", "normal_wor
 SLICE_ROWS = 256
 SLICE_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch, where the session has Spark's default: a batch is there several times while it is worked on.
+BATCH_BYTES = 8 << 20
+
 _M64 = (1 << 64) - 1
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, and bounds the batches that Python workers get."""
+    shipping.ship(spark)
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
