@@ -7,7 +7,6 @@ types and terms, only where some expression needs it.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from typing import Any
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from typeweave.functions.types import arrow_uid, show_type, uid_lit
 from typeweave.operators.frames import OF_EDGE, OF_NODE, PART, TERM_COLUMNS, TERMS, TYPE_COLUMNS, TYPES, Frames
-from typeweave.plans.inference import CONSTANT, Answers, Bindings, Constant, Created, Ref, TermRef, has_refs, infer, outcomes, type_of
+from typeweave.plans.inference import CONSTANT, Answers, Bindings, Constant, Created, Ref, TermRef, decided, has_refs, infer, outcomes, type_of
 from typeweave.plans.match import REPR, column
 from typeweave.plans.patterns import PathPattern
 
@@ -166,7 +165,7 @@ class Lookups:
 
     # questions
 
-    def answer(self, question: tuple, wanted: bool) -> Column:
+    def answer(self, question: tuple) -> Column:
         what, x, *rest = question
         if what == "term":
             found = self.field("terms", (x,), "type_uid").isNotNull()
@@ -182,8 +181,7 @@ class Lookups:
             found = (self.kind(x) == "base") & (self.base_name(x) == rest[0])
         else:
             found = self.constant(x).isNotNull()
-        found = F.coalesce(found, F.lit(False))
-        return found if wanted else ~found
+        return F.coalesce(found, F.lit(False))
 
 
 def _captures(schema: tuple) -> list[str]:
@@ -192,20 +190,6 @@ def _captures(schema: tuple) -> list[str]:
     return [*_captures(schema[2]), schema[1]] if schema[0] == "capture" else []
 
 
-def merged(found: list[tuple[dict[tuple, bool], Any]]) -> list[tuple[dict[tuple, bool], Any]]:
-    """Outcomes without the questions whose answer makes no difference."""
-    same = lambda a, b: str(a) == str(b) if isinstance(a, Exception) and type(a) is type(b) else a == b
-    found = list(found)
-    for a, (known, got) in enumerate(found):
-        for b, (other, result) in enumerate(found[:a]):
-            differ = [q for q in known if other.get(q) is (not known[q])]
-            if known.keys() == other.keys() and len(differ) == 1 and same(got, result):
-                del found[a]
-                found[b] = ({q: v for q, v in other.items() if q not in differ}, result)
-                return merged(found)
-    return found
-
-
 def held_bindings(kinds: dict[str, str], used: set[str], answers: Answers) -> Bindings:
     """What rows of variables of some kinds hold; nodes may have a term."""
     out: Bindings = {}
@@ -258,37 +242,41 @@ def _outputs(got: Created, at: Lookups) -> dict[str, Column]:
 def compiled(path: PathPattern, kinds: dict[str, str], constants: dict[str, Constant]) -> tuple[Callable[[DataFrame, Frames], DataFrame], dict[str, str], list[Exception], dict[str, bool]]:
     """(rows to rows with what they add, kinds of the new variables, the errors that rows may have, which outputs may be there)."""
     used = {p.var for p in [*path.nodes, *path.edges] if p.var}
-    found = merged(outcomes(lambda answers: infer(path, held_bindings(kinds, used, answers), constants, answers)))
+    decision, found = decided(outcomes(lambda answers: infer(path, held_bindings(kinds, used, answers), constants, answers)), kinds)
     at = Lookups(kinds, constants)
-    errors = [got for _, got in found if isinstance(got, Exception)]
+    errors = [got for got in found if isinstance(got, Exception)]
     new: dict[str, str] = {}
     there = dict.fromkeys(("nodes", "edges", "types", "terms"), False)
-    branches: list[tuple[Column, dict[str, Column] | str]] = []
-    for known, got in found:
-        condition = functools.reduce(Column.__and__, (at.answer(q, a) for q, a in known.items()), F.lit(True))
+    branches: list[dict[str, Column] | str] = []
+    for got in found:
         if isinstance(got, Exception):
-            branches.append((condition, str(got)))
+            branches.append(str(got))
             continue
         new |= {name: kind for name, (kind, _) in got.bindings.items() if name not in kinds}
         there["nodes"] |= bool(got.nodes)
         there["edges"] |= bool(got.edges)
-        branches.append((condition, _outputs(got, at)))
+        branches.append(_outputs(got, at))
+
+    def choice(decision: Any) -> Column:
+        if isinstance(decision, tuple):
+            question, no, yes = decision
+            return F.when(at.answer(question), choice(yes)).otherwise(choice(no))
+        out = branches[decision]
+        return F.raise_error(F.lit(out)).cast("int") if isinstance(out, str) else F.lit(decision)
+
+    which = choice(decision)
     there["types"] = there["nodes"] or there["edges"]
-    there["terms"] = there["edges"] or any(term is not None for _, got in found if isinstance(got, Created) for _, _, term in got.nodes)
+    there["terms"] = there["edges"] or any(term is not None for got in found if isinstance(got, Created) for _, _, term in got.nodes)
     names = [*there, *(column(name) for name in new)]
     ddl = {"nodes": f"array<{NODE}>", "edges": f"array<{EDGE}>", "types": f"array<{TYPE}>", "terms": f"array<{TERM}>"}
     ddl |= {column(name): "struct<start:binary,end:binary>" if kind == "edge" else "binary" for name, kind in new.items()}
 
     def run(df: DataFrame, frames: Frames) -> DataFrame:
         kept, made = [column(name) for name in kinds], []
-        which = F.coalesce(*(F.when(condition, F.lit(number)) for number, (condition, _) in enumerate(branches)))
-        messages = [F.lit(out) if isinstance(out, str) else F.lit(None).cast("string") for _, out in branches]
-        if errors:
-            which = F.when(F.element_at(F.array(*messages), which + 1).isNotNull(), F.raise_error(F.element_at(F.array(*messages), which + 1)).cast("int")).otherwise(which)
         for name in names:
-            values = [(number, out[name]) for number, (_, out) in enumerate(branches) if not isinstance(out, str) and name in out]
-            cases = F.coalesce(*(F.when(F.col("_which") == number, value.cast(ddl[name])) for number, value in values)) if len(branches) - len(errors) > 1 or not values else values[0][1].cast(ddl[name])
-            made.append(cases.alias(name))
+            values = [(number, out[name].cast(ddl[name])) for number, out in enumerate(branches) if not isinstance(out, str) and name in out]
+            cases = [value if len(values) == 1 else F.when(F.col("_which") == number, value) for number, value in values]
+            made.append((F.coalesce(*cases) if cases else F.lit(None).cast(ddl[name])).alias(name))
         return at.joined(df, frames).withColumn("_which", which).where("_which IS NOT NULL").select(*kept, *made)
 
     return run, new, errors, there

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from typeweave.api import Graph
 from typeweave.functions.types import shown_uid, type_uid
@@ -19,9 +20,19 @@ from typeweave.sources.relational import EdgeTable, NodeTable, graph_from_tables
 CONTAINS_ORDER = ("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
+#: Schemas of files that were read before, so that they are read once.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def graph(spark: SparkSession, sf_dir: str, constants: list[Constant] | None = None, orders: bool = True) -> Graph:
     """The graph of the tables region, nation, customer, supplier, part, orders and lineitem."""
-    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = lambda name: _table(spark, f"{sf_dir}/{name}.parquet")
     kinds = [("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey")]
     kinds += [("part", "part", "p_partkey"), ("order", "orders", "o_orderkey")] if orders else []
     nodes = [NodeTable(kind, table(name), key) for kind, name, key in kinds]
