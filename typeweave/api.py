@@ -15,7 +15,7 @@ from typeweave.functions.values import PROPS, plain_props, props_of, show_props,
 from typeweave.operators.frames import Frames, LocalStore, local_frame
 from typeweave.operators.tables import TableStore, literal_props
 from typeweave.plans.inference import Constant, bound, infer
-from typeweave.plans.match import SHOWN, Matcher, Rows, column, edge_shown
+from typeweave.plans.match import SHOWN, Matcher, Rows, by_arrow, column, edge_shown
 from typeweave.plans.patterns import PathPattern, parse_path
 
 #: Rows of bindings that a graph on the driver takes; with more, it moves into tables, where the same rules hold.
@@ -187,14 +187,14 @@ class Graph:
         """rows with struct columns for what elements show."""
         frames, df = self.frames(), rows.df
         types = frames.types.select("uid", "repr")
-        terms = frames.terms.select(F.col("type_uid").alias("uid"), "repr")
+        terms = frames.terms.select(F.col("type_uid").alias("uid"), "arrow", "repr")
         for name in dict.fromkeys(names):
             kind, v = rows.kinds[name], F.col(column(name))
             if kind in ("type", "term"):
                 own = (types if kind == "type" else terms).select(F.col("uid").alias("_u"), F.struct(shown_uid(F.col("uid")).alias("uid"), "repr").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             elif kind == "node":
-                own = frames.nodes.join(terms, "uid", "left").withColumnRenamed("repr", "term")
+                own = by_arrow(frames.nodes, lambda nodes, flag: nodes.join(terms.where(F.col("arrow") == flag).drop("arrow"), "uid", "left")).withColumnRenamed("repr", "term")
                 own = own.select(F.col("uid").alias("_u"), F.struct(shown_uid(F.col("uid")).alias("uid"), "type", "term", "props").alias(column(name, "r_")))
                 df = df.join(own, v == F.col("_u"), "left").drop("_u")
             else:

@@ -19,7 +19,7 @@ from typeweave.plans.inference import CONSTANT, Answers, Bindings, Constant, Cre
 from typeweave.plans.match import REPR, column
 from typeweave.plans.patterns import PathPattern
 
-NODE = "struct<k:int,uid:binary,type:string,full:string>"
+NODE = "struct<k:int,uid:binary,type:string,arrow:string,full:string>"
 EDGE = "struct<k:int,s:binary,e:binary,type_uid:binary,full:string,t_kind:string,t_name:string,start_type:string,end_type:string,term:string>"
 KIND_OF = {part.split()[0]: part.split()[1] for part in f"{TYPES}, {TERMS}".split(", ")}
 TYPE = "struct<" + ",".join(f"{c}:{KIND_OF[c]}" for c in TYPE_COLUMNS) + ">"
@@ -27,6 +27,11 @@ TYPE = "struct<" + ",".join(f"{c}:{KIND_OF[c]}" for c in TYPE_COLUMNS) + ">"
 TERM = "struct<rank:int,place:int,full:string," + ",".join(f"{c}:{KIND_OF[c]}" for c in TERM_COLUMNS if c != "full") + ">"
 
 
+def is_arrow(shown: Column) -> Column:
+    """Whether a type is an arrow, as tables say it, by how it is shown."""
+    return F.when(F.startswith(shown, F.lit("(")), F.lit("y")).otherwise(F.lit("n"))
+
+
 class Lookups:
     """Columns of what references stand for, over rows with variables of some kinds."""
 
@@ -90,6 +95,9 @@ class Lookups:
             return F.lit(show_type(t))
         return F.concat(F.lit("("), self.shown(t[0]), F.lit(" -> "), self.shown(t[1]), F.lit(")"))
 
+    def arrow(self, t: Any) -> Column:
+        return is_arrow(self.shown(t)) if isinstance(t, Ref) else F.lit("n" if isinstance(t, str) else "y")
+
     def type_rows(self, t: Any, into: dict[Any, list[Column]]) -> None:
         """Adds a type and those within, but for what rows hold already."""
         if isinstance(t, Ref) or t in into:
@@ -156,12 +164,11 @@ class Lookups:
             self.term_rows(part, PART, 0, into, types)
         self.type_rows(type_of(term), types)
         none, t = F.lit(None).cast("binary"), type_of(term)
-        arrow = F.when(F.startswith(self.shown(t), F.lit("(")), F.lit("y")).otherwise(F.lit("n")) if isinstance(t, Ref) else F.lit("n" if isinstance(t, str) else "y")
         if held:
             parts = [self.field("terms", term.path, c) for c in ("name", "function_uid", "argument_uid")]
         else:
             parts = [F.lit(None).cast("string"), self.uid(type_of(term[1])), self.uid(type_of(term[2]))] if app else [self.base_name(term), none, none]
-        into[term, rank, place] = [F.lit(rank), F.lit(place), self.whole(term, "full"), self.uid(t), arrow, self.kind(term), *parts, self.whole(term, "repr")]
+        into[term, rank, place] = [F.lit(rank), F.lit(place), self.whole(term, "full"), self.uid(t), self.arrow(t), self.kind(term), *parts, self.whole(term, "repr")]
 
     # questions
 
@@ -219,7 +226,7 @@ def _outputs(got: Created, at: Lookups) -> dict[str, Column]:
     nodes, edges = [], []
     for k, t, term in got.nodes:
         at.type_rows(t, types)
-        nodes.append([F.lit(k), at.uid(t), at.shown(t), none if term is None else at.whole(term, "full")])
+        nodes.append([F.lit(k), at.uid(t), at.shown(t), at.arrow(t), none if term is None else at.whole(term, "full")])
         if term is not None:
             at.term_rows(term, OF_NODE, k, terms, types)
     for k, term, (left, right) in got.edges:

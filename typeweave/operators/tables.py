@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from typeweave.functions.errors import MissingError
 from typeweave.functions.values import CELL, PROPS, props_of
-from typeweave.operators.creation import KIND_OF, Lookups, compiled
-from typeweave.operators.frames import EDGE_COLUMNS, NODES, OF_EDGE, TERM_COLUMNS, TERMS, TYPE_COLUMNS, Frames
+from typeweave.operators.creation import KIND_OF, Lookups, compiled, is_arrow
+from typeweave.operators.frames import ARROWS, EDGE_COLUMNS, NODES, OF_EDGE, TERM_COLUMNS, TERMS, TYPE_COLUMNS, Frames
 from typeweave.plans.inference import CONSTANT, Constant, Ref, TermRef
 from typeweave.plans.match import Rows, column
 from typeweave.plans.patterns import PathPattern
@@ -71,7 +71,7 @@ def present(old: DataFrame, new: DataFrame, key: list[str], split: str | None =
     return _union(found) if found else None
 
 
-ARROW = ("arrow", ("n", "y"))
+ARROW = ("arrow", ARROWS)
 
 
 def literal_props(props: dict | None):
@@ -184,7 +184,7 @@ class TableStore:
             self.take(terms=terms.unionByName(new.select(*TERM_COLUMNS)))
         if there["nodes"]:
             nodes = self.with_props(each("nodes"), path.nodes)
-            self.with_new("nodes", nodes.groupBy("uid").agg(F.min("type").alias("type"), F.min_by("props", "k").alias("props")), ["uid"])
+            self.with_new("nodes", nodes.groupBy("uid").agg(F.min("type").alias("type"), F.min("arrow").alias("arrow"), F.min_by("props", "k").alias("props")), ["uid"])
         if fresh is not None:
             fresh = saved(fresh.select(*TERM_COLUMNS).join(each("nodes").select(F.col("uid").alias("type_uid")).distinct(), "type_uid", "left_semi"), "fresh") if there["nodes"] else None
         added = None
@@ -215,7 +215,7 @@ class TableStore:
         both = own.select(F.explode(F.array(*(F.struct(F.col(e + "_uid").alias("uid"), F.col(e + "_type").alias("type")) for e in ("start", "end")))).alias("x")).select("x.*").distinct()
         there = present(self._now.nodes, both, ["uid"])
         ends = saved(both if there is None else both.join(there, "uid", "left_anti"), "ends")
-        self.take(nodes=self._now.nodes.unionByName(ends.select("uid", "type", literal_props({}).alias("props"))))
+        self.take(nodes=self._now.nodes.unionByName(ends.select("uid", "type", is_arrow(F.col("type")).alias("arrow"), literal_props({}).alias("props"))))
         made = saved(self.constant_terms(ends), "made")
         has = present(known, made, ["type_uid"], *ARROW)
         made = made if has is None else saved(made.join(has, "type_uid", "left_anti"), "made")
@@ -229,7 +229,6 @@ class TableStore:
         a term gives one to each node that its edges lead to and that has none, the smallest (start,
         function, argument) of several. A round joins what is new with the edges.
         """
-        is_arrow = lambda shown: F.when(F.startswith(shown, F.lit("(")), F.lit("y")).otherwise(F.lit("n"))
         while fresh is not None or added is not None:
             own, made = None if fresh is None else self.arrows_of(fresh), None
             if own is not None:
@@ -243,7 +242,7 @@ class TableStore:
             giver = [F.col("type_uid").alias("start_uid"), F.col("full").alias("argument"), F.col("repr").alias("shown")]
             if fresh is not None:
                 steps.append(now.edges.drop("props").join(fresh.select(*giver), "start_uid"))
-            for flag in ARROW[1] if added is not None else ():
+            for flag in ARROWS if added is not None else ():
                 starts = added.drop("props").where(is_arrow(F.col("start_type")) == flag)
                 if not starts.isEmpty():
                     steps.append(starts.join(now.terms.where(F.col("arrow") == flag).select(*giver), "start_uid"))

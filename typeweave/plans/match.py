@@ -10,6 +10,7 @@ edge needs no look-up unless its properties are asked for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from typeweave.functions.errors import MissingError, PatternError
 from typeweave.functions.types import uid_lit
 from typeweave.functions.values import matches
-from typeweave.operators.frames import Frames
+from typeweave.operators.frames import ARROWS, Frames
 from typeweave.plans.inference import Constant, find_constant
 from typeweave.plans.patterns import EdgePattern, NodePattern, PathPattern
 
 #: The uid of the type that a path has come to, and how that type is shown.
 CURSOR, CURSOR_REPR = "_cur", "_cur_repr"
+#: Whether that is an arrow, as tables say it; only behind a scan of nodes.
+CURSOR_ARROW = "_cur_arrow"
 #: What rows hold beside a variable: what shows an edge; how the type of a node, or a type, is shown.
 SHOWN, REPR = "h:", "r:"
 
@@ -34,6 +37,16 @@ def column(name: str, prefix: str = "v_") -> str:
     return f"{prefix}{name}{capitals}"
 
 
+def by_arrow(df: DataFrame, join: Callable[[DataFrame, str], DataFrame], column: str = "arrow") -> DataFrame:
+    """What join makes of the rows whose types are names, and of those whose types are arrows.
+
+    Joins of terms part so, for where a table is made of others the names or the arrows of either
+    side are often nowhere, and Spark then leaves that part out.
+    """
+    names, arrows = (join(df.where(F.col(column) == flag), flag) for flag in ARROWS)
+    return names.unionByName(arrows)
+
+
 def edge_shown() -> Column:
     """What shows an edge, from the columns of the table of edges."""
     shown = F.concat(F.lit("("), F.col("start_type"), F.lit(" -> "), F.col("end_type"), F.lit(")"))
@@ -108,6 +121,14 @@ class Matcher:
     def drop(rows: Rows, *columns: str) -> Rows:
         return replace(rows, df=rows.df.drop(*columns))
 
+    @staticmethod
+    def with_terms(rows: Rows, uid: str, terms: DataFrame, columns: list[Column], key: str, how: str) -> Rows:
+        """rows joined to the terms of their types."""
+        if uid != CURSOR or CURSOR_ARROW not in rows.df.columns:
+            return replace(rows, df=rows.df.join(terms.select(*columns), F.col(uid) == F.col(key), how))
+        joined = by_arrow(rows.df, lambda df, flag: df.join(terms.where(F.col("arrow") == flag).select(*columns), F.col(uid) == F.col(key), how), CURSOR_ARROW)
+        return replace(rows, df=joined)
+
     def term_filter(self, rows: Rows, uid: str, schema: tuple, known: tuple[str, str] | None = None) -> Rows:
         """Rows whose term of the type in the column uid fits a schema.
 
@@ -116,7 +137,7 @@ class Matcher:
         if schema[0] in ("any", "name"):
             if known is None:
                 key = self.fresh("k")
-                rows = replace(rows, df=rows.df.join(self.frames.terms.select(F.col("type_uid").alias(key)), F.col(uid) == F.col(key), "left_semi"))
+                rows = self.with_terms(rows, uid, self.frames.terms, [F.col("type_uid").alias(key)], key, "left_semi")
             if schema[0] == "any":
                 return rows
             if schema[1] not in rows.kinds:
@@ -126,8 +147,8 @@ class Matcher:
             return replace(rows, df=rows.df.where(F.col(uid) == F.col(column(schema[1]))))
         if schema[0] == "app":
             key, function, argument = self.fresh("k"), self.fresh("f"), self.fresh("x")
-            terms = self.frames.terms.where("kind = 'app'").select(F.col("type_uid").alias(key), F.col("function_uid").alias(function), F.col("argument_uid").alias(argument))
-            rows = replace(rows, df=rows.df.join(terms, F.col(uid) == F.col(key)).drop(key))
+            parts = [F.col("type_uid").alias(key), F.col("function_uid").alias(function), F.col("argument_uid").alias(argument)]
+            rows = self.drop(self.with_terms(rows, uid, self.frames.terms.where("kind = 'app'"), parts, key, "inner"), key)
             rows = self.term_filter(rows, function, schema[1])
             return self.drop(self.term_filter(rows, argument, schema[2]), function, argument)
         if schema[1] not in self.constants:
@@ -136,8 +157,8 @@ class Matcher:
         constant = find_constant(self.constants, schema[1])
         if known is None:
             key, kind, name = self.fresh("k"), self.fresh("kind"), self.fresh("name")
-            terms = self.frames.terms.where((F.col("kind") == "base") & (F.col("name") == constant.name)).select(F.col("type_uid").alias(key))
-            rows = replace(rows, df=rows.df.join(terms, F.col(uid) == F.col(key), "left_semi"))
+            terms = self.frames.terms.where((F.col("kind") == "base") & (F.col("name") == constant.name))
+            rows = self.with_terms(rows, uid, terms, [F.col("type_uid").alias(key)], key, "left_semi")
         else:
             rows = replace(rows, df=rows.df.where((F.col(known[0]) == "base") & (F.col(known[1]) == constant.name)))
         return self.constant_args(rows, uid, constant, schema[2])
@@ -168,7 +189,7 @@ class Matcher:
         nodes = self.frames.nodes
         if p.props:
             nodes = nodes.where(matches(F.col("props"), p.props, missing=False))
-        nodes = nodes.select(F.col("uid").alias(CURSOR), F.col("type").alias(CURSOR_REPR))
+        nodes = nodes.select(F.col("uid").alias(CURSOR), F.col("type").alias(CURSOR_REPR), F.col("arrow").alias(CURSOR_ARROW))
         if rows.df is None:
             rows = replace(rows, df=nodes)
         elif p.type and p.type[0] == "name" and rows.kinds.get(p.type[1]) == "type":
@@ -177,7 +198,7 @@ class Matcher:
             if p.type and (t := self.ground(p.type, rows.kinds)) is not None:
                 nodes = nodes.where(F.col(CURSOR) == uid_lit(t))
             rows = replace(rows, df=rows.df.crossJoin(nodes))
-        rows = self.node_filters(rows, replace(p, props=None))
+        rows = self.drop(self.node_filters(rows, replace(p, props=None)), CURSOR_ARROW)
         return self.bind(rows, p.var, "node", CURSOR) if p.var else rows
 
     def node_filters(self, rows: Rows, p: NodePattern) -> Rows:

@@ -92,7 +92,7 @@ def graph_from_tables(spark: SparkSession, nodes: list[NodeTable], edges: list[E
     node_parts, type_parts, edge_parts, term_parts = [], [], [], []
     for table in nodes:
         name, df = _name(table.kind, table.key), table.df.where(F.col(table.key).isNotNull())
-        node_parts.append(df.select(var_uid(name).alias("uid"), name.alias("type"), props_column(df, df.columns, kind=table.kind).alias("props")))
+        node_parts.append(df.select(var_uid(name).alias("uid"), name.alias("type"), F.lit("n").alias("arrow"), props_column(df, df.columns, kind=table.kind).alias("props")))
         type_parts.append(df.select(var_uid(name).alias("uid"), F.lit("var").alias("kind"), name.alias("name"), _empty("binary").alias("left_uid"), _empty("binary").alias("right_uid"), name.alias("repr")))
     for table in edges:
         df = table.df.where(F.col(table.start_key).isNotNull() & F.col(table.end_key).isNotNull())
