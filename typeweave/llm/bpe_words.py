@@ -9,6 +9,7 @@ takes it as its first character, and looks only ahead.
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import json
 import os
@@ -207,7 +208,18 @@ def load_json_ranks(path: str, pattern: str) -> RankEncoder | PieceEncoder:
     """The same ids as load_json gives, for long runs over much text; by ranks only where these are the merges' order."""
     tokenizer = Tokenizer.from_file(path)
     specials = _specials(tokenizer)
-    return (RankEncoder if merges_by_rank(tokenizer, specials) else PieceEncoder)(tokenizer, pattern, specials)
+    kind = RankEncoder if merges_by_rank(tokenizer, specials) else PieceEncoder
+    _trim()
+    return kind(tokenizer, pattern, specials)
+
+
+def _trim() -> None:
+    """Gives memory that is free again back to the system, where the C library can: workers live long."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def load_ranks(path: str, pattern: str) -> tuple[PieceEncoder, dict[bytes, int]]:

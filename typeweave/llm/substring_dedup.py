@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,10 +266,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
 def cut(text: Column, spans: Column) -> Column:
     """text without the words of spans, as a column."""
 
-    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return texts.combine(spans, lambda t, s: t if s is None or t is None else cut_text(t, list(s))[0])
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([t if s is None or t is None else cut_text(t, s)[0] for t, s in pairs], pa.string())
 
-    return F.pandas_udf(run, "string")(text, spans)
+    return F.arrow_udf(run, "string")(text, spans)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
