@@ -4,6 +4,7 @@ against brute-force versions on small tables."""
 import os
 import random
 import unicodedata
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -441,6 +442,52 @@ def test_samples_keep_their_bounds(shipped, monkeypatch):
     assert {r.lang_pred for r in language_id.predict(long, language_id.train(long)).collect()} == {"en", "de"}
 
 
+def test_trigrams_and_least_share_are_those_of_all_labelled_rows(shipped, monkeypatch):
+    monkeypatch.setattr(language_id, "FIT_ROWS_EACH", 20)
+    monkeypatch.setattr(language_id, "COUNTED_LANGUAGES", 2)
+    rng = random.Random(21)
+    rows = [(k, " ".join(rng.choices(SAMPLES[lang], k=rng.randrange(3, 30))), lang) for k, lang in enumerate(rng.choices(["en", "de", "fr", "es"], k=1900))]
+    rows += [(k, " ".join(SAMPLES["xx"]), "xx") for k in range(1900, 1903)]  # rare, but its trigrams are known
+    rows += [(k, "".join(rng.choices("bcdfghjkmpqvwxyz", k=60)), "en") for k in range(1903, 1913)]  # odd rows add no trigrams
+    rows += [(2000, "the and of", None), (2001, "12 !", "en"), (2002, None, "de")]
+    df = shipped.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    usable = [(t, lang) for _, t, lang in rows if lang and t and any(c.isalpha() for c in t)]
+    three, found = language_id.ORDERS.index(3), []
+    for text, lang in usable:
+        (codes,) = language_id.grams([text])
+        data = (" " + text).encode()
+        found.append((lang, [int(codes[three][at]) for at in range(len(data)) if data[at] != 32]))
+    total, sizes = Counter(b for _, own in found for b in set(own)), Counter(lang for _, lang in usable)
+    of_lang = Counter((lang, b) for lang, own in found for b in set(own))
+
+    def known(bucket, more):
+        return total[bucket] >= 1 + len(found) // 500 + more or any(of_lang[lang, bucket] >= 2 + n // 500 + more for lang, n in sizes.items())
+
+    wanted = {b for b in total if known(b, 0)}
+    shares = sorted(((sum(known(b, 1) for b in own) + 8) / (len(own) + 8), min(sizes[lang], 50) / sizes[lang]) for lang, own in found)
+    weights = np.cumsum([w for _, w in shares])
+    model = language_id.train(df)
+    assert set(np.flatnonzero(model.known).tolist()) == wanted
+    assert model.least_share == pytest.approx(0.9 * shares[int((weights > (weights[-1] - 1) / 100).argmax())][0], abs=1e-12)
+    rare, odd = (share for _, _, share in model.predict([rows[1900][1], rows[1910][1]]))
+    assert rare == 1.0 and odd < 0.5
+
+
+def test_low_shares_are_found_by_their_bits(shipped, monkeypatch):
+    rng = random.Random(3)
+    value = lambda: rng.choice([0.0, 1.0, 0.5, rng.random(), rng.random() / 1e6, 0.7 + rng.random() / 1e14])
+    rows = [(lang, value()) for lang, n in (("en", 400), ("de", 100), ("xx", 7)) for _ in range(n)]
+    sizes = Counter(lang for lang, _ in rows)
+    df = shipped.createDataFrame([(lang, int(np.float64(v).view(np.int64))) for lang, v in rows], "lang string, bits long")
+    for part in (1000, 9, 3, 2):
+        monkeypatch.setattr(language_id, "LOW_ROWS", part)
+        left = (sum(min(n, 50) for n in sizes.values()) - 1) / part
+        for wanted in sorted(v for _, v in rows):
+            if sum(min(sizes[lang], 50) / sizes[lang] for lang, v in rows if v <= wanted) > left:
+                break
+        assert language_id.low_share(df, shipped.createDataFrame(list(sizes.items()), "lang string, rows long")) == wanted
+
+
 def test_language_of_the_test_data_held_out(shipped):
     docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.query(shipped, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'").toPandas()

@@ -9,6 +9,8 @@ times the mean of the pairwise ones.
 Scores only compare the languages of the model. Whether a text is in one of them at all is told by
 the share of its trigrams that the labelled rows hold: foreign texts and random letters have a low
 one, however many languages there are. Its least value is taken from the labelled rows themselves.
+All labelled rows of all languages are counted for both, in two readings of their texts; the driver
+gets BUCKETS rows of counts, and no more rows for each step towards the least value.
 
 The models are fitted on the driver to a bounded sample of labelled rows: about FIT_ROWS_EACH rows
 of a language, FIT_ROWS and FIT_BYTES of text in all, drawn by the hashes of their ids, of the
@@ -31,15 +33,21 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import slices
+from typeweave.llm.common import release, slices, staged
 
 UNKNOWN = "und"
 #: Bounds of the sample to which the models are fitted; with fewer rows all are taken.
 FIT_ROWS_EACH, FIT_ROWS, FIT_BYTES, FIT_LANGUAGES = 400, 8192, 32 << 20, 256
 #: Of fewer labelled rows no least share of known trigrams is taken: they hold too little of a language.
 SHARE_ROWS = 50
-#: A trigram is known if a labelled row has it, and one more for each so many, so that a few odd rows add none.
+#: A trigram is known if a labelled row has it, and one more for each so many, so that a few odd rows add none;
+#: or if two rows of a language have it, and one more for each so many of that language, however rare it is.
 ROWS_A_VOTE = 500
+#: The least share is taken from that below which one in so many labelled rows are. Languages count alike there,
+#: as SHARE_ROWS rows each, so that the rows of a frequent one decide no more than others.
+LOW_ROWS = 100
+#: Languages whose counts a task holds at a time, 256 KB each.
+COUNTED_LANGUAGES = 32
 #: Known trigrams that each text is given, or one odd word would be too many in a short one.
 GIVEN = 8
 #: The least share is this part of the share that 99 % of the labelled rows have.
@@ -69,7 +77,7 @@ def has_letters(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def grams(texts: list[str]) -> list[np.ndarray]:
+def grams(texts: list[str], orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
     """For each text the buckets (orders x places) of the n-grams that begin at each of its bytes.
 
     Every text stands between blanks, of which those at its end that a longest n-gram would pass begin none;
@@ -79,14 +87,14 @@ def grams(texts: list[str]) -> list[np.ndarray]:
     parts = [b" " + " ".join(t.lower().split()).encode("utf-8", "replace").translate(_BLANKS) + b" " * (behind + 1) for t in texts]
     starts = np.cumsum([0, *map(len, parts)])
     raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    out, code = np.empty((len(ORDERS), len(raw)), np.uint16), np.zeros(len(raw), np.uint32)
-    for order in range(1, max(ORDERS) + 1):
+    out, code = np.empty((len(orders), len(raw)), np.uint16), np.zeros(len(raw), np.uint32)
+    for order in range(1, max(orders) + 1):
         shifted = np.zeros(len(raw), np.uint32)
         shifted[: len(raw) - order + 1] = raw[order - 1 :]
         code = (code << np.uint32(8)) | shifted
-        if order in ORDERS:
+        if order in orders:
             mixed = (code + np.uint32(order * 0x51ED)) * np.uint32(0x9E3779B1)
-            out[ORDERS.index(order)] = (mixed ^ mixed >> np.uint32(15)) >> np.uint32(17)
+            out[orders.index(order)] = (mixed ^ mixed >> np.uint32(15)) >> np.uint32(17)
     return [out[:, a : b - behind] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
@@ -94,23 +102,93 @@ def grams(texts: list[str]) -> list[np.ndarray]:
 _BLANK = int(grams([""])[0][0, 0])
 
 
-def trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a text's trigrams that begin with a letter, and the number of each."""
-    at, counts = np.unique(codes[ORDERS.index(3)][codes[ORDERS.index(1)] != _BLANK], return_counts=True)
+def trigrams(codes: np.ndarray, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's trigrams that begin with a letter, and the number of each; from its grams() of these orders."""
+    at, counts = np.unique(codes[orders.index(3)][codes[orders.index(1)] != _BLANK], return_counts=True)
     return at, counts.astype(np.uint32)
 
 
-def known_trigrams(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+def usable(df: DataFrame) -> DataFrame:
+    """The labelled rows of df(id, text, lang): those with a lang and a letter."""
+    return df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+
+def trigram_rows(df: DataFrame) -> DataFrame:
+    """Rows (lang, bucket, n): how many of the labelled rows df(lang, text) of a language have a trigram of the bucket."""
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def counted():
+            for lang, rows_of in held.items():
+                at = np.flatnonzero(rows_of)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(rows_of[at])], ["lang", "bucket", "n"])
+            held.clear()
+
+        for part in slices(batches):
+            for lang, codes in zip(part.column(0).to_pylist(), grams(part.column(1).to_pylist(), (1, 3)), strict=True):
+                if lang not in held and len(held) == COUNTED_LANGUAGES:
+                    yield from counted()
+                held.setdefault(lang, np.zeros(BUCKETS, np.int64))[trigrams(codes, (1, 3))[0]] += 1
+        yield from counted()
+
+    return df.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def known_trigrams(df: DataFrame) -> tuple[np.ndarray, float]:
     """Whether each bucket is one of a known trigram, and the least share of them in a text; from
-    the trigrams of the labelled rows. A row's own vote doesn't count for its share."""
-    rows_of = np.zeros(BUCKETS, np.int32)
-    for at, _ in rows:
-        rows_of[at] += 1
-    votes = 1 + len(rows) // ROWS_A_VOTE
-    if len(rows) < SHARE_ROWS:
-        return rows_of >= votes, 0.0
-    shares = [known_share(at, counts, rows_of > votes) for at, counts in rows]
-    return rows_of >= votes, SHARE_PART * float(np.quantile(shares, 0.01, method="lower"))
+    all labelled rows of df(id, text, lang). For these shares a trigram needs a vote more, so a row's own doesn't count."""
+    own = usable(df).select("lang", "text")
+    sizes = staged(own.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    spare = F.col("n") - (2 + F.floor(F.col("rows") / ROWS_A_VOTE))
+    got = trigram_rows(own).join(sizes, "lang").groupBy("bucket").agg(F.greatest(F.sum("n") - (1 + total // ROWS_A_VOTE), F.max(spare)).alias("spare")).where("spare >= 0").toArrow()
+    known, sure = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, bool)
+    at, spares = got.column("bucket").to_numpy(), got.column("spare").to_numpy()
+    known[at], sure[at[spares > 0]] = True, True
+    least = 0.0
+    if total >= SHARE_ROWS:
+        shares = staged(known_shares(own, sure), "shares")
+        least = SHARE_PART * low_share(shares, sizes)
+        release(shares)
+    release(sizes)
+    return known, least
+
+
+def known_shares(df: DataFrame, known: np.ndarray) -> DataFrame:
+    """Rows (lang, bits): the share of known trigrams of each row of df(lang, text), as the bits of a double."""
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for part in slices(batches):
+            shares = [known_share(*trigrams(codes, (1, 3)), shared.value) for codes in grams(part.column(1).to_pylist(), (1, 3))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.asarray(shares, np.float64).view(np.int64))], ["lang", "bits"])
+
+    return df.mapInArrow(run, "lang string, bits long")
+
+
+def low_share(df: DataFrame, sizes: DataFrame) -> float:
+    """The share below which one in LOW_ROWS is, rounded down; of all rows df(lang, bits), where every language
+    counts as SHARE_ROWS rows, or as its own if it has fewer. sizes(lang, rows) has the rows of each.
+
+    Bits of doubles of 0 or more are in the order of the numbers. They are counted by their first 16, then by 16 more
+    of those that begin as the wanted one does, so that the driver gets 65,536 rows at most each time.
+    """
+    unit = 1 << 36
+    weight = F.expr(f"least(rows, {SHARE_ROWS}) * {unit}L div rows")
+    sought = (sizes.agg(F.sum(F.col("rows") * weight)).first()[0] - unit) // LOW_ROWS
+    for shift in (48, 32, 16, 0):
+        first = F.shiftright("bits", shift)
+        found = df.groupBy("lang", first.alias("first")).agg(F.count("*").alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high")).join(sizes, "lang")
+        found = found.groupBy("first").agg(F.sum(F.col("n") * weight).alias("weight"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow().sort_by("first")
+        ends = np.cumsum(found.column("weight").to_numpy())
+        at = int(np.searchsorted(ends, sought, side="right"))
+        begin, low, high = (found.column(c)[at].as_py() for c in ("first", "low", "high"))
+        if low == high:
+            break
+        sought -= int(ends[at - 1]) if at else 0
+        df = df.where(first == begin)
+    return float(np.int64(low).view(np.float64))
 
 
 def known_share(at: np.ndarray, counts: np.ndarray, known: np.ndarray) -> float:
@@ -242,17 +320,17 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
 
 
 def labelled_sample(df: DataFrame) -> DataFrame:
-    """Rows (lang, buckets binary of int32, values binary of float32, trigrams binary of uint16, counts binary of uint32): a sample of df(id, text, lang) within the bounds.
+    """Rows (lang, buckets binary of int32, values binary of float32): a sample of df(id, text, lang) within the bounds.
 
     A language's rows are thinned by a threshold on the hash of their id, so no task gets all
     rows of a frequent language; so bounds hold on average, and one row may pass that of bytes.
     """
     spark = df.sparkSession
-    usable = df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    labelled = usable(df)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
     found = sizes.orderBy(F.col("n").desc(), "lang").limit(FIT_LANGUAGES).collect()
     if not found:
-        return spark.createDataFrame([], "lang string, buckets binary, values binary, trigrams binary, counts binary")
+        return spark.createDataFrame([], "lang string, buckets binary, values binary")
     rows, size = min(FIT_ROWS_EACH, FIT_ROWS // len(found)), FIT_BYTES // len(found)
     shares = {r["lang"]: min(1.0, rows / r["n"], size / r["bytes"]) for r in found}
     share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
@@ -260,20 +338,19 @@ def labelled_sample(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            texts = part.column(1).to_pylist()
-            got = [mean_features(t) for t in texts]
-            own = [trigrams(grams([t])[0]) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary()), pa.array([a.tobytes() for a, _ in own], pa.binary()), pa.array([n.tobytes() for _, n in own], pa.binary())], ["lang", "buckets", "values", "trigrams", "counts"])
+            got = [mean_features(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["lang", "buckets", "values"])
 
-    return usable.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, buckets binary, values binary, trigrams binary, counts binary")
+    return labelled.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, buckets binary, values binary")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shares: bool = True) -> Model | None:
+    """A model of the labelled rows; without shares it knows of no trigrams, and all shares are 1."""
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = labelled_sample(own).collect()
     model = fit(sorted(((r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
-    if model is not None:
-        model.known, model.least_share = known_trigrams([(np.frombuffer(r["trigrams"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows])
+    if model is not None and shares:
+        model.known, model.least_share = known_trigrams(own)
     return model
 
 
@@ -307,7 +384,7 @@ def held_out(doc_id: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))), shares=False)
     out = predict(docs, model).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
