@@ -172,6 +172,23 @@ def test_components(shipped):
     assert components.components(shipped.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 400])
+def test_components_by_rounds_and_in_one_task(shipped, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(7, 7), (None, 3)]
+    wanted = {k: {k} for e in edges for k in e if None not in e and e[0] != e[1]}
+    for a, b in edges:
+        if a in wanted and b in wanted and wanted[a] is not wanted[b]:
+            wanted[a] |= wanted[b]
+            wanted |= dict.fromkeys(wanted[a], wanted[a])
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda now: rounds.append(1) or star(now))
+    got = components.components(shipped.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert len(got) == len(wanted) and {r.id: r.component for r in got} == {k: min(v) for k, v in wanted.items()}
+    assert bool(rounds) == (few == 0)
+
+
 # repeated passages
 
 
