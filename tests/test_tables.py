@@ -324,3 +324,46 @@ def test_queries_against_sql(spark, name):
     wanted = sorted(map(key, theirs.fillna(-1).astype(ours.select(*columns).fillna(-1).toPandas().dtypes.to_dict()).itertuples(index=False)))
     assert got == wanted
 
+
+
+# families of types
+
+
+def test_families_are_told_alike_by_types_and_columns(spark):
+    from pyspark.sql import functions as F
+
+    from typeweave.functions.types import family, family_column
+
+    cases = {"nation_3": "nation", "a_b_-12": "a_b", "Alice": "", "x_": "", ("nation_3", "region_1"): "nation -> region", ("Alice", "region_1"): " -> ", (("a_1", "b_2"), "c_3"): " -> "}
+    found = spark.createDataFrame([(show_type(t),) for t in cases], "shown string").select(family_column(F.col("shown"))).collect()
+    assert [family(t) for t in cases] == [row[0] for row in found] == list(cases.values())
+
+
+def read_files(df):
+    """The tables that a plan reads."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    own = df._jdf.queryExecution().executedPlan().toString()
+    return {name for name in ("customer", "supplier", "part", "orders", "lineitem", "nation", "region") if f"{SF}/{name}.parquet" in plan + own}
+
+
+@pytest.mark.parametrize("name", ["flagship_path", "path_mixed", "propagate_terms", "create_edge_again", "node_term_kept"])
+def test_plans_read_only_tables_of_fitting_families(spark, name):
+    found = read_files(__spark_entry__.queries()[name](spark, SF))
+    assert not found & {"lineitem", "orders", "part"}
+
+
+def test_creations_read_only_tables_of_their_families(spark, monkeypatch):
+    from typeweave.operators import tables
+
+    read, kept = set(), tables.saved
+
+    def saved(df, name):
+        read.update(read_files(df))
+        return kept(df, name)
+
+    monkeypatch.setattr(tables, "saved", saved)
+    graph = graph_queries.graph(spark, SF, [Constant("to", "(S:*) -> region_1")])
+    graph.query().match("(n:(X:*) { kind: 'nation' })").create("(:X -> region_1)").execute()
+    assert read and not read & {"lineitem", "orders", "part"}
+    changed = graph.frames().parts
+    assert set(changed["edges"]) == set(graph_queries.graph(spark, SF).frames().parts["edges"])
