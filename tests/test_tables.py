@@ -367,3 +367,14 @@ def test_creations_read_only_tables_of_their_families(spark, monkeypatch):
     assert read and not read & {"lineitem", "orders", "part"}
     changed = graph.frames().parts
     assert set(changed["edges"]) == set(graph_queries.graph(spark, SF).frames().parts["edges"])
+
+
+def test_paths_against_edges_go_in_pieces(spark, monkeypatch):
+    from typeweave.plans import match
+
+    found = []
+    for size in (1000, 2):
+        monkeypatch.setattr(match, "PIECE", size)
+        df = __spark_entry__.queries()["path_mixed"](spark, SF)
+        found.append((sorted(df.collect()), "pmod" in df._jdf.queryExecution().executedPlan().toString()))
+    assert found[0][0] == found[1][0] and found[0][0] and found[1][1]
